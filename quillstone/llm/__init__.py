@@ -10,7 +10,11 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "exact_dedup",
+    "simhash_vp",
+    "separator_scan",
     "quality",
+    "line_dedup",
     "langid",
     "bpe",
     "packing",
