@@ -1,16 +1,53 @@
-"""Corpus preparation: language, quality, exact and near duplicates, packing."""
+"""Corpus preparation: language, quality, exact and near duplicates, packing.
+
+Every stage works on all rows that its predecessor kept and, but for the last, returns the
+columns of documents. Stages handle nulls, empty tables and repeated rows as their operators
+do: texts without letters go in the first stage, short and repetitive ones in the second.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm.common import table, written
+from quillstone.llm.exact_dedup import without_copies
+from quillstone.llm.langid import with_language
+from quillstone.llm.packing import pack
+from quillstone.llm.quality import good
+from quillstone.llm.simhash_vp import one_of_each
+
+#: A text whose best cosine is lower is in no learned language; clean short texts come close to 0.05.
+MIN_SCORE = 0.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_language(docs, MIN_SCORE)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("language", language), ("quality", quality), ("exact", exact), ("near", near), ("packing", packing)]
 
-STAGES: list = []
+#: The language and near-duplicate stages aren't SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

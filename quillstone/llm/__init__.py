@@ -15,6 +15,8 @@ MODULES = (
     "separator_scan",
     "quality",
     "line_dedup",
+    "html_main",
+    "url_trees",
     "langid",
     "bpe",
     "packing",

@@ -62,17 +62,21 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) > 8, of(words)).otherwise(F.lit(0).cast("long"))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms chars and words (array<long>)."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts, and the histograms chars and words (array<long>); with whole,
+    also the input row as one column."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"))
+    of = [F.struct(*[docs[c] for c in docs.columns]).alias("whole")] if whole else []
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"), *of)
     t = F.col("t")
     words = F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     common = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![^\x20\x09-\x0D])({'|'.join(sorted(WORDS, key=len, reverse=True))})(?![^\x20\x09-\x0D])"), F.lit(1))
+    of = ["whole"] if whole else []
     out = base.select(
         "doc_id",
         "lang",
+        *of,
         F.length(t).cast("long").alias("n_chars"),
         F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         *[_count(t, v).alias(k) for k, v in CLASSES.items()],
@@ -86,6 +90,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return out.select(
         "doc_id",
         "lang",
+        *of,
         F.col("w.n").alias("n_words"),
         "word_chars",
         F.col("symbol").alias("n_symbols"),
@@ -114,9 +119,9 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
     """The base counts with char_distance, word_distance, base_failed and kept of every row."""
-    counted = written(counts(docs, id_col, text_col, lang_col), "quality-counts")
+    counted = written(counts(docs, id_col, text_col, lang_col, whole), "quality-counts")
     refs = references(counted).select("lang", F.struct("chars", "words").alias("r"))
     refs = written(refs, "quality-shares")
     pooled = refs.where("lang is null").select("r").first()
@@ -133,6 +138,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
+def good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with their columns."""
+    return judged(docs, id_col, text_col, lang_col, whole=True).where("kept").select("whole.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged(table(spark, sf_dir, "documents")).select(*cols)
