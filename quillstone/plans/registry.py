@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("quillstone.plans.profiles", "quillstone.plans.graphs", "quillstone.plans.entities")
 
 
 def _all(what: str) -> dict:
