@@ -103,9 +103,9 @@ def rg11(v):
     return R.sequence_quality(ends(settled(v)), v("v_concepts"))
 
 
-@page("rg15_orphans", " select concept_id from v_concepts where concept_id not in (select from_concept_id from lnk where doc_id < 120 union select to_concept_id from lnk where doc_id < 120)")
+@book.page("rg15_orphans", "v_repertoires v_concepts", "select concept_id from v_concepts where concept_id not in (select concept_id from v_repertoires union select concepto_confundido from v_repertoires where concepto_confundido is not null)")
 def rg15(v):
-    return R.orphans(linked(v).where("doc_id < 120"), v("v_concepts"))
+    return R.orphans(v("v_repertoires").select(F.col("concept_id").alias("from_concept_id"), F.col("concepto_confundido").alias("to_concept_id")), v("v_concepts"))
 
 
 @book.page("rg16_no_link_pairs", "v_theses v_concepts", """select distinct least(concept_id, o) as a, greatest(concept_id, o) as b from (select concept_id, 'c'||cast(cast(substr(framework_id, 2) as int) * 7 as string) as o from v_theses)
@@ -116,7 +116,7 @@ def rg16(v):
 
 
 #: Mentions: a concept is in a paragraph if one of its title's words is.
-_MENTIONS = """, form as (select concept_id, title from v_concepts where seq < 60), par as (select doc_id * 100000 + seq as par, ' '||lower(text)||' ' as t from v_segments where length(text) > 80),
+_MENTIONS = """, par as (select doc_id * 100000 + seq as par, ' '||lower(text)||' ' as t from v_segments where length(text) > 80),
  m as (select distinct par, 'c'||cast(ascii(w) % 40 as string) as concept_id from (select par, unnest(string_split(trim(t), ' ')) as w from par) where length(w) = 7)"""
 
 
@@ -130,12 +130,12 @@ def rg13(v):
     return R.co_occurrences(m)
 
 
-@page("rg14_described_edges", """, d as (select doc_id, l.seq, f.title||' y '||f.definition as description, lower(f.title) as fa, lower(t.title) as fb from lnk l join v_concepts f on f.concept_id = from_concept_id join v_concepts t on t.concept_id = to_concept_id where doc_id < 500)
+@page("rg14_described_edges", """, d as (select doc_id, l.seq, f.title||' y '||f.definition as description, lower(f.title) as fa, lower(t.title) as fb from lnk l join v_concepts f on f.concept_id = from_concept_id join v_concepts t on t.concept_id = to_concept_id)
 select doc_id, seq, (contains(' '||dn||' ', ' '||fa||' ') or (len(list_filter(string_split(fa, ' '), lambda w: length(w) > 3)) > 0 and len(list_filter(string_split(fa, ' '), lambda w: length(w) > 3 and not list_contains(string_split(dn, ' '), w))) = 0))::int
  + (contains(' '||dn||' ', ' '||fb||' ') or (len(list_filter(string_split(fb, ' '), lambda w: length(w) > 3)) > 0 and len(list_filter(string_split(fb, ' '), lambda w: length(w) > 3 and not list_contains(string_split(dn, ' '), w))) = 0))::int as mentioned from (select *, regexp_replace(regexp_replace(lower(description), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g') as dn from d)""")
 def rg14(v):
     c = v("v_concepts")
-    d = linked(v).where("doc_id < 500").join(c.select(F.col("concept_id").alias("from_concept_id"), F.concat_ws(" y ", "title", "definition").alias("description")), "from_concept_id")
+    d = linked(v).join(c.select(F.col("concept_id").alias("from_concept_id"), F.concat_ws(" y ", "title", "definition").alias("description")), "from_concept_id")
     return R.described(d, c, source_norm).select("doc_id", "seq", "mentioned")
 
 
@@ -147,15 +147,15 @@ def rg17(v):
     return R.hinted(pairs, ends(settled(v).where("relation_type = 'requiere'")), 8)
 
 
-_POSITIONS = """select 'x'||cast(l_suppkey % 8 as string) as axis_id, 'c'||cast(l_partkey % 220 as string) as concept_id, l_orderkey * 10 + l_linenumber as seq, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 as o, l_discount * 10 as position from lineitem where l_orderkey < 800"""
+_POSITIONS = """select 'x'||cast(l_suppkey % 8 as string) as axis_id, 'c'||cast(l_partkey % 220 as string) as concept_id, l_orderkey * 10 + l_linenumber as seq, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 as o, l_discount * 10 as position from lineitem"""
 
 
 @book.page("rg18_axis_positions", "v_concepts", f"""with p as ({_POSITIONS}), f as (select axis_id, concept_id, arg_min(position, (seq, position)) as position from p where concept_id in (select concept_id from v_concepts) group by all)
-select axis_id, count(*) as n, (sum(cast(round(position * 1000) as bigint))::bigint // count(*)) / 1000 as mean_position from f group by all having count(*) >= greatest(4, 0.4::double * (select count(*) from v_concepts))""")
+select axis_id, count(*) as n, (sum(cast(round(position * 1000) as bigint))::bigint // count(*)) / 1000 as mean_position from f group by all having count(*) >= greatest(4, 0.05::double * (select count(*) from v_concepts))""")
 def rg18(v):
-    li = v("lineitem").where("l_orderkey < 800")
+    li = v("lineitem")
     p = li.select(F.concat(F.lit("x"), F.col("l_suppkey") % 8).alias("axis_id"), F.concat(F.lit("c"), F.col("l_partkey") % 220).alias("concept_id"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_discount") * 10).alias("seq"), (F.col("l_discount") * 10).alias("position"))
-    return R.axis_positions(p, v("v_concepts"))
+    return R.axis_positions(p, v("v_concepts"), min_share=0.05)
 
 
 @book.page("rg19_facet_names", "v_concepts", "select definition as name, min(seq) as first_seq from v_concepts group by all order by first_seq, name limit 60")

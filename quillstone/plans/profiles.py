@@ -130,10 +130,7 @@ def pr12(v):
     return last.select("event_id", F.when(F.col("event_type").isin("click", "view"), "failed").otherwise(F.col("event_type")).alias("status"))
 
 
-@book.page("pr13_plan_progress", "v_signals v_concepts", PROFILE + """ select s.student_id, c.concept_id, coalesce(p.score, 0) as score from (select distinct student_id from v_signals) s
-  join v_concepts c on c.is_gateway left join p on p.student_id=s.student_id and p.concept_id=c.concept_id and p.dimension='recuperacion'""")
+@book.page("pr13_plan_progress", "v_signals", PROFILE + """ select s.student_id, s.concept_id, coalesce(p.score, 0) as score from (select distinct student_id, concept_id from v_signals) s
+  left join p on p.student_id=s.student_id and p.concept_id=s.concept_id and p.dimension='recuperacion'""")
 def pr13(v):
-    # every student plans the gateway concepts; the plan is an explode of one small array
-    gateways = v("v_concepts").where("is_gateway").agg(F.sort_array(F.collect_set("concept_id")).alias("ids"))
-    plan = v("v_signals").select("student_id").distinct().join(F.broadcast(gateways)).select("student_id", F.explode("ids").alias("concept_id"))
-    return P.progress(P.weighted_profile(weighted(v)), plan)
+    return P.progress(P.weighted_profile(weighted(v)), v("v_signals").select("student_id", "concept_id").distinct())

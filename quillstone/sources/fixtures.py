@@ -23,7 +23,7 @@ select 'c'||cast(p_partkey as string) as concept_id, p_partkey as seq, p_name as
        (p_retailprice-cast(900 as double))/cast(100 as double) as importance,
        p_size%10=0 as is_gateway, p_size%10=5 as is_threshold, p_size%4=0 as is_enriched,
        cast(p_partkey%40+1 as int) as first_page, p_brand as cluster_id
-from part where p_partkey<200""",
+from part""",
     "v_relations_raw": f"""
 select doc_id, cast(ln as bigint) as seq,
        'c'||cast(f%220 as string) as from_concept_id, 'c'||cast(t%220 as string) as to_concept_id,
@@ -59,21 +59,20 @@ from nation""",
 select 't'||cast(c_custkey as string) as thesis_id, c_mktsegment||' '||cast(c_nationkey as string) as statement,
        'c'||cast(c_custkey%220 as string) as concept_id, 'f'||cast(c_nationkey+c_custkey%3*10 as string) as framework_id,
        case when c_custkey%5=0 then 'generic criterion' else 'criterion '||c_name end as refutation_criterion
-from customer where c_custkey<60""",
+from customer""",
     "v_cases": """
 select 'k'||cast(o_orderkey as string) as case_id, 'c'||cast(o_custkey%220 as string) as primary_concept_id,
        case when o_orderkey%2=0 then lower(o_orderpriority)||'.' else ' '||o_orderpriority end as dominio,
        case when o_orderstatus='F' then '' else 'gold '||o_orderstatus end as resolucion_esperada,
        o_orderkey%3=0 as prediction_enabled,
        case when o_orderkey%7=0 then 'error '||o_orderstatus end as error_embebido
-from orders where o_orderkey<400""",
+from orders""",
     "v_scenarios": f"""
 select 's'||cast(l_orderkey as string)||'_'||cast(rn as string) as scenario_id,
        'k'||cast(l_orderkey+(rn%5)*20 as string) as parent_case_id, 'c'||cast(l_partkey%220 as string) as concept_id,
        case l_suppkey%5 when 0 then '1-URGENT' when 1 then '2-high' when 2 then '3-MEDIUM' when 3 then '' else '5-LOW' end as dominio,
        case l_returnflag when 'A' then 'cercana' when 'N' then 'lejana' else 'INVALID' end as distancia
-from (select *, row_number() over (partition by l_orderkey {_LINE_ORDER}) as rn from lineitem) x
-where l_orderkey<400""",
+from (select *, row_number() over (partition by l_orderkey {_LINE_ORDER}) as rn from lineitem) x""",
     "v_qa": """
 select conv_id, turn, answer, gold from
   (select conv_id, turn, role, text as answer, lead(text) over (partition by conv_id order by turn) as gold,
