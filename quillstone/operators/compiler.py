@@ -70,21 +70,21 @@ def study_order(ranked: DataFrame, needs: DataFrame, key: str = "doc_id") -> Dat
 
 
 def levels(needs: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """concept_id and level: the longest chain of prerequisites below it; null in and above cycles."""
+    """concept_id and level: the longest chain of prerequisites below it; null in and above cycles.
+
+    A round joins the edges with what is still open and writes the nodes once."""
     from quillstone.sources.shared import written
 
-    waiting = written(nodes.select("concept_id"), "levels")
     edges = written(needs.select("concept_id", "required").where("concept_id != required").distinct(), "level-edges")
-    done = None
+    state = nodes.select("concept_id", F.lit(None).cast("int").alias("level"))
     for k in range(max_rounds):
-        blocked = edges.join(waiting.select(F.col("concept_id").alias("required")), "required", "left_semi").select("concept_id").distinct()
-        free = written(waiting.join(blocked, "concept_id", "left_anti").withColumn("level", F.lit(k)), "levels")
-        if not free.limit(1).count():
-            break
-        done = free if done is None else done.unionByName(free)
-        waiting = written(waiting.join(free, "concept_id", "left_anti"), "levels")
-    rest = waiting.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        open_ = state.where("level is null").select(F.col("concept_id").alias("required"))
+        blocked = edges.join(open_, "required", "left_semi").select("concept_id", F.lit(True).alias("blocked")).distinct()
+        after = state.join(blocked, "concept_id", "left").select("concept_id", F.coalesce("level", F.when(F.col("blocked").isNull(), F.lit(k))).alias("level"))
+        state = written(after, "levels")
+        if not state.where(F.col("level") == k).limit(1).count():
+            return state
+    raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
 
 
 def order_quality(evidence: list[Column]) -> Column:
@@ -121,7 +121,8 @@ def curve(unit: Column, total: Column, base: Column) -> Column:
 
 
 def concept_difficulty(unit_difficulty: Column, own: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.2), F.least(F.lit(1.0), 0.6 * unit_difficulty + 0.4 * own)), 2)
+    """Mostly the unit's difficulty; ties go up."""
+    return F.round(F.greatest(F.lit(0.2), F.least(F.lit(1.0), 0.6 * unit_difficulty + 0.4 * own)) + 1e-9, 2)
 
 
 def distinction_pool(distinctions: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def co7(v):
     return curved(v)[1].select("cluster_id", "unit", "n", "c.difficulty", "c.options", "c.scaffold")
 
 
-@page("co8_concept_difficulty", RANK + _UNIT + " select concept_id, round(greatest(0.2::double, least(1, 0.6::double * d + 0.4::double * (case difficulty when 'basico' then 0.15::double when 'intermedio' then 0.5::double else 0.9::double end))), 2) as difficulty from rk join cv on rk.cluster_id = cv.cluster_id and (rank - 1) // 5 + 1 = unit")
+@page("co8_concept_difficulty", RANK + _UNIT + " select concept_id, round(greatest(0.2::double, least(1, 0.6::double * d + 0.4::double * (case difficulty when 'basico' then 0.15::double when 'intermedio' then 0.5::double else 0.9::double end))) + 1e-9::double, 2) as difficulty from rk join cv on rk.cluster_id = cv.cluster_id and (rank - 1) // 5 + 1 = unit")
 def co8(v):
     from quillstone.operators.profile import lookup
 

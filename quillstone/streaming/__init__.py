@@ -1 +1 @@
-"""quillstone.streaming"""
+"""Streams over the event log."""
