@@ -124,7 +124,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
         docs = written(docs, "exact-documents")
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("path").alias("__path"), F.col("row").alias("__row"))
+    dropped = written(exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("path").alias("__path"), F.col("row").alias("__row")), "exact-dropped")
+    if dropped.count() <= BROADCAST_DIGESTS:
+        dropped = F.broadcast(dropped)
     placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
     return placed.join(dropped, ["__path", "__row"], "left_anti").drop("__path", "__row")
 
