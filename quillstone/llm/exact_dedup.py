@@ -125,15 +125,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns."""
+    names = docs.columns
+    own = [f"c{k}" for k in range(len(names))]  # names of the input can't clash with any of ours
+    inner = docs.toDF(*own)
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
+        if {"_metadata"} & set(names):
+            raise AnalysisException("a column of the documents has this name")
+        inner.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        docs = written(docs, "exact-documents")
-    dropped = written(exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("path").alias("__path"), F.col("row").alias("__row")), "exact-dropped")
+        inner = written(inner, "exact-documents")
+    found = exact_dedup(inner, own[names.index(id_col)], own[names.index(text_col)])
+    dropped = written(found.where("not kept").select("path", "row"), "exact-dropped")
     if dropped.count() <= BROADCAST_DIGESTS:
         dropped = F.broadcast(dropped)
-    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    return placed.join(dropped, ["__path", "__row"], "left_anti").drop("__path", "__row")
+    placed = inner.select(*own, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    return placed.join(dropped, ["path", "row"], "left_anti").select(*own).toDF(*names)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,18 +43,17 @@ def drop_site_lines(docs: DataFrame, host: Column, text_col: str = "text", max_r
     """docs with text_col freed of boilerplate, and __n_lines and __n_dropped (long)."""
     bad = written(boilerplate(docs, host, docs[text_col], max_ratio, min_pages), "site-lines")
     size = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bad")), F.lit(0))).first()
-    bad = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
     if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    joined = docs.withColumn("__key", _key(host)).join(bad, F.col("__key") == F.col("__host"), "left")
-    text = F.col(f"`{text_col}`").cast("string")
-    stays = F.when(F.col("__bad").isNull(), F.split(text, "\n")).otherwise(
-        let(F.col("__bad"), lambda bad: F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, F.unhex(F.md5(x.cast("binary")))))))
-    )
-    out = joined.withColumn("__stays", stays).withColumn("__n_lines", F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"))
-    out = out.withColumn("__n_lines", F.greatest("__n_lines", F.lit(0))).withColumn("__n_dropped", F.when(text.isNull(), F.lit(0)).otherwise(F.col("__n_lines") - F.size("__stays")).cast("long"))
-    cleaned = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__stays", "\n"))
-    return out.withColumn(text_col, cleaned).drop("__key", "__host", "__bad", "__stays")
+    # the input is one column meanwhile, so its names can't clash with any of ours
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    joined = docs.select(whole, docs[text_col].cast("string").alias("t"), _key(host).alias("host")).join(bad, "host", "left")
+    clean = let(F.col("bad"), lambda bad: F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, F.unhex(F.md5(x.cast("binary")))))))
+    out = joined.select("whole", "t", F.when(F.col("bad").isNull(), F.split("t", "\n")).otherwise(clean).alias("stays"))
+    n = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(F.split("t", "\n"))).cast("long")
+    dropped = F.when(F.col("t").isNull(), F.lit(0)).otherwise(n - F.size("stays")).cast("long")
+    text = F.when(F.col("t").isNotNull(), F.array_join("stays", "\n")).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"whole.`{c}`") for c in docs.columns], n.alias("__n_lines"), dropped.alias("__n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def references(counted: DataFrame) -> DataFrame:
     sums += [F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     by_lang = written(counted.groupBy("lang").agg(*sums), "quality-references")
     names = by_lang.columns[1:]
-    pooled = by_lang.agg(*[F.sum(n).alias(n) for n in names]).select(F.lit(None).cast("string").alias("lang"), *names)
+    pooled = by_lang.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).select(F.lit(None).cast("string").alias("lang"), *names)
     share = lambda p: let(F.array(*[F.col(n) for n in names if n[0] == p]), lambda a: F.transform(a, lambda x: x / F.greatest(F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(1))))
     return by_lang.where("lang is not null").unionByName(pooled).select("lang", share("c").alias("chars"), share("w").alias("words"))
 
