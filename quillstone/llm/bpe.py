@@ -24,7 +24,7 @@ from .common import prepare, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens whose ids a worker remembers, and those of one slice of a text.
-REMEMBERED, SLICE = 200_000, 100_000
+REMEMBERED, SLICE = 300_000, 100_000
 
 
 def default_ranks() -> str:
@@ -80,39 +80,55 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.table = dict(enumerate(byte_chars()))  # for str.translate over Latin-1
         self.bytes_of = {str(k): p for p, k in ranks.items()}
-        self.known: dict[str, str] = {}
-
-    def _learn(self, token: str) -> str:
-        raw = token.encode("utf-8", "surrogatepass")
-        if (k := self.ranks.get(raw)) is not None:
-            ids = str(k)
-        else:
-            ids = ",".join(map(str, self.model.encode(raw.decode("latin-1").translate(self.table), num_threads=1)))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[token] = ids
-        return ids
-
-    def slices(self, text: str) -> Iterator[str]:
-        """Ids of a text, comma-joined, a slice of pre-tokens at a time."""
-        get, learn = self.known.get, self._learn
+        self.known: dict[str, str] = {}  # a pre-token's ids
+        self.text_of: dict[str, bytes] = {}  # the bytes of a pre-token's ids
+
+    def _learn(self, tokens: set[str]) -> None:
+        hard = []
+        for t in tokens:
+            raw = t.encode("utf-8", "surrogatepass")
+            if (k := self.ranks.get(raw)) is not None:
+                self.known[t] = str(k)
+            else:
+                hard.append((t, raw.decode("latin-1").translate(self.table)))
+        if hard:
+            for (t, _), ids in zip(hard, self.model.encode([m for _, m in hard], num_threads=1)):
+                self.known[t] = ",".join(map(str, ids))
+        for t in tokens:
+            ids = self.known[t]
+            self.text_of[ids] = self.decode(ids)
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The ids of each pre-token of a text, comma-joined, a slice of pre-tokens at a time."""
         if len(text) <= SLICE:
-            parts = [self.pattern.findall(text)]
+            slices = [self.pattern.findall(text)]
         else:
             found = (m[0] for m in self.pattern.finditer(text))
-            parts = iter(lambda: list(islice(found, SLICE)), [])
-        for tokens in parts:
+            slices = iter(lambda: list(islice(found, SLICE)), [])
+        known = self.known
+        for tokens in slices:
+            if new := {t for t in tokens if t not in known}:
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    self.text_of.clear()
+                    new = set(tokens)
+                self._learn(new)
             if tokens:
-                yield ",".join([get(t) or learn(t) for t in tokens])
+                yield [known[t] for t in tokens]
+
+    def slices(self, text: str) -> Iterator[str]:
+        """Ids of a text, comma-joined, a slice of pre-tokens at a time."""
+        return map(",".join, self.parts(text))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(",")))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.slices(text or ""):
+        for parts in self.parts(text or ""):
+            ids = ",".join(parts)
             of_ids.update((("," if n else "") + ids).encode())
-            of_text.update(self.decode(ids))
+            of_text.update(b"".join([self.text_of[p] for p in parts]))
             n += ids.count(",") + 1
         return n, of_ids.hexdigest(), of_text.hexdigest()
 
@@ -133,8 +149,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         c = codec(ranks_path or default_ranks())
         for b in batches:
             if digests:
-                found = [c.digest(t.as_py()) for t in b.column(1)] or [(), (), ()]
-                cols = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string()))] if b.num_rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())]
+                found = [c.digest(t.as_py()) for t in b.column(1)]
+                cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 ids = [[int(k) for s in c.slices(t.as_py() or "") for k in s.split(",")] for t in b.column(1)]
