@@ -41,6 +41,16 @@ def _count(c: Column, of: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{of}]+", "")).cast("long")
 
 
+def one_of(words) -> str:
+    """A pattern of exactly these words that shares their beginnings."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            by.setdefault(w[0], []).append(w[1:])
+    body = "|".join(c + (one_of(tails) if tails != [""] else "") for c, tails in by.items())
+    return f"(?:{body})" + ("?" if "" in words else "")
+
+
 def _repeated(words: Column) -> Column:
     """Words in 8-word windows found twice or more."""
 
@@ -56,7 +66,8 @@ def _repeated(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, 8)))
+        of_words = F.transform(w, lambda x: F.xxhash64(x))
+        hashes = let(of_words, lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 7), lambda i: F.xxhash64(F.slice(x, i, 8))))
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
 
     return F.when(F.size(words) > 8, of(words)).otherwise(F.lit(0).cast("long"))
@@ -71,32 +82,31 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     t = F.col("t")
     words = F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    common = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![^\x20\x09-\x0D])({'|'.join(sorted(WORDS, key=len, reverse=True))})(?![^\x20\x09-\x0D])"), F.lit(1))
+    common = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![^\x20\x09-\x0D])({one_of(WORDS)})(?![^\x20\x09-\x0D])"), F.lit(1))
     of = ["whole"] if whole else []
     out = base.select(
         "doc_id",
         "lang",
         *of,
         F.length(t).cast("long").alias("n_chars"),
-        F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         *[_count(t, v).alias(k) for k, v in CLASSES.items()],
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r"))).alias("w"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated(w).alias("r"))).alias("w"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         let(common, lambda m: F.array(*[(F.size(m) - F.size(F.array_remove(m, w))).cast("long") for w in WORDS])).alias("found"),
     )
     named = [F.col(k) for k in CLASSES]
-    rest = F.col("n_chars") - sum(named[1:], named[0]) - (F.col("n_chars") - F.col("word_chars"))
+    rest = F.col("w.c") - sum(named[1:], named[0])
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select(
         "doc_id",
         "lang",
         *of,
         F.col("w.n").alias("n_words"),
-        "word_chars",
+        F.col("w.c").alias("word_chars"),
         F.col("symbol").alias("n_symbols"),
         "n_dup_lines",
         F.col("w.r").alias("n_repeat_words"),
-        F.array(*named, F.col("n_chars") - F.col("word_chars"), rest).alias("chars"),
+        F.array(*named, F.col("n_chars") - F.col("w.c"), rest).alias("chars"),
         F.concat("found", F.array(F.col("w.n") - total(F.col("found")))).alias("words"),
     )
 
