@@ -31,7 +31,7 @@ CLASSES = {"upper": r"\p{Lu}", "symbol": "#*$%&|<>", "stop": r".,;:!?'\"()-"}
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: The character distance, or the sum of both distances, above these drops a document that has
 #: at least so many characters or words. Fitted to labelled documents: few clean ones go.
-MAX_CHAR_DISTANCE, MAX_BOTH_DISTANCES = 0.22, 0.42
+MAX_CHAR_DISTANCE, MAX_BOTH_DISTANCES = 0.22, 0.44
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 400, 80
 #: References of so many languages are broadcast (under 1 KB each); more are joined by shuffle.
 BROADCAST_LANGS = 10_000
