@@ -272,4 +272,4 @@ def st4(v):
     bet = F.col("event_id") % 3 == 0
     value = F.when(bet, F.round(F.col("value") / 500, 2)).when(F.col("value") > 250, 1.0).otherwise(0.0)
     rows = events.select(F.col("user_id").alias("student_id"), F.concat(F.lit("i"), F.col("event_id") % 10).alias("item_id"), "event_id", F.when(bet, "bet").otherwise("result").alias("kind"), value.alias("value"))
-    return T.drained(T.bet_gaps(rows), "append", "stream-bets")
+    return T.drained(T.bet_gaps(rows), "append", "stream-bets", expires=True)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.operators.profile import DEFAULT_WEIGHT
@@ -63,14 +64,31 @@ def bet_gaps(events: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
     return events.groupBy("student_id", "item_id").applyInPandasWithState(match, "student_id long, item_id string, event_id long, error double", "open array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drained(stream: DataFrame, mode: str, what: str, schema: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote last (complete) or in all (append)."""
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drained(stream: DataFrame, mode: str, what: str, expires: bool = False) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote last (complete) or in all (append).
+
+    expires: the stream has timeouts by processing time. Such a stream asks for batches without
+    data for ever, so it is drained without them; otherwise they close windows by the watermark.
+    """
     spark: SparkSession = stream.sparkSession
     home = shared_dir(spark, what)
-    if mode == "append":
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/check").trigger(availableNow=True).start()
-    else:
-        keep = lambda df, k: df.write.mode("overwrite").parquet(f"{home}/out")
-        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{home}/check").trigger(availableNow=True).start()
+    before = spark.conf.get(NO_DATA, None)
+    if expires:
+        spark.conf.set(NO_DATA, "false")
+    try:
+        query = _started(stream, mode, home)  # the query has its own copy of the settings from here on
+    finally:
+        if expires:
+            spark.conf.unset(NO_DATA) if before is None else spark.conf.set(NO_DATA, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def _started(stream: DataFrame, mode: str, home: str) -> StreamingQuery:
+    if mode == "append":
+        return stream.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/check").trigger(availableNow=True).start()
+    keep = lambda df, k: df.write.mode("overwrite").parquet(f"{home}/out")
+    return stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{home}/check").trigger(availableNow=True).start()

@@ -16,6 +16,26 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+def test_query_without_oracle_ends_and_repeats(spark, name):
+    assert rows(QUERIES[name](spark, DATA)) == rows(QUERIES[name](spark, DATA))
+
+
+def test_streamed_bets_against_brute_force(spark):
+    import pandas as pd
+
+    want, open_bets = [], {}
+    for e in pd.read_parquet(f"{DATA}/events.parquet").sort_values("event_id").itertuples():
+        key = (e.user_id, f"i{e.event_id % 10}")
+        if e.event_id % 3 == 0:
+            open_bets.setdefault(key, []).append((e.event_id, round(e.value / 500, 2)))
+        else:
+            want += [(key[0], key[1], i, abs((d or 0.5) - (1.0 if e.value > 250 else 0.0))) for i, d in open_bets.pop(key, [])]
+    got = [(r["student_id"], r["item_id"], r["event_id"], r["error"]) for r in QUERIES["st4_bet_gaps"](spark, DATA).collect()]
+    assert [g[:3] for g in sorted(got)] == [w[:3] for w in sorted(want)]
+    assert [g[3] for g in sorted(got)] == pytest.approx([w[3] for w in sorted(want)], abs=1e-3)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
