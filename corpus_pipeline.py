@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstone.llm.common import table, written
 from quillstone.llm.exact_dedup import without_copies
 from quillstone.llm.langid import with_language
+from quillstone.llm.near_copies import without_near_copies
 from quillstone.llm.packing import pack
 from quillstone.llm.quality import good
-from quillstone.llm.simhash_vp import one_of_each
 
 #: A text whose best cosine is lower is in no learned language; clean short texts come close to 0.05.
 MIN_SCORE = 0.0
@@ -33,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return without_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

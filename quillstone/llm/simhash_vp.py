@@ -32,8 +32,6 @@ HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Points that a shard should hold; fingerprints that the trees' tops are fitted to, at most.
 SHARD_POINTS, SAMPLE = 20_000, 200_000
-#: So many ids of dropped documents (8 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 500_000
 #: Pairs that are compared at once, and vantage points tried at a node.
 PAIRS, TRIED = 1 << 20, 8
 
@@ -261,15 +259,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component; rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    dropped = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("__id") == docs[id_col].cast("long"), "left_anti")
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 

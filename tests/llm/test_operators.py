@@ -154,6 +154,58 @@ def test_trees_lose_no_link(spark, monkeypatch, kind):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+# --- near copies of the pipeline ---
+
+
+def changed(words, every, rng):
+    return " ".join(rng.choice("abcdefgh") * 7 if k % every == every - 1 else w for k, w in enumerate(words))
+
+
+def brute_near(texts):
+    """Pairs of places with 5-word Jaccard of 0.8 or more."""
+    grams = []
+    for t in texts:
+        w = ascii_lower(t).split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if grams[a] == grams[b] or len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+
+
+def test_near_stage_drops_copies_of_five_word_similarity(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(5)
+    texts = []
+    for every in (150, 100, 70, 60, 50, 40, 20, 10):  # similarities on both sides of 0.8
+        for _ in range(6):
+            words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+            texts += [" ".join(words), changed(words, every, rng)]
+    pairs = brute_near(texts)
+    assert 20 < len(pairs) < 48
+    out = C.near(spark, spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"), "")
+    assert {r["doc_id"] for r in out.collect()} == set(range(len(texts))) - {b for _, b in pairs}
+
+
+def test_near_groups_are_exact_components():
+    from quillstone.llm.near_copies import links_within, shingles
+
+    rng = random.Random(6)
+    words = [str(rng.getrandbits(30)) for _ in range(200)]
+    texts = []
+    for _ in range(40):  # a chain of texts that drift away from the first
+        words = words[4:] + [str(rng.getrandbits(30)) for _ in range(4)]
+        texts.append(" ".join(words))
+    texts += [" ".join(str(rng.getrandbits(30)) for _ in range(200)) for _ in range(3)]
+    rng.shuffle(texts)
+    root = list(range(len(texts)))
+    for a, b in links_within([shingles(t) for t in texts]):
+        root = [root[a] if r == root[b] else r for r in root]
+    want = list(range(len(texts)))
+    for a, b in brute_near(texts):
+        want = [want[a] if r == want[b] else r for r in want]
+    assert {(a, b) for a in range(43) for b in range(43) if root[a] == root[b]} == {(a, b) for a in range(43) for b in range(43) if want[a] == want[b]}
+    assert len(set(want)) == 4
+
+
 # --- op3 ---
 
 
