@@ -28,6 +28,8 @@ CODES = 96
 #: Characters that are turned into n-grams, and documents that are bundled, at a time.
 BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 256
 UNKNOWN = "und"
+#: Distinct n-grams of a text up to which its score says nothing, and from which on it says all.
+FEW, FULL = 16, 48
 
 
 @lru_cache(maxsize=1)
@@ -83,9 +85,15 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def bundle(texts: list[str | None]) -> np.ndarray:
     """The vectors of some texts, zero for those without letters."""
-    out = np.zeros((len(texts), DIMS), dtype=np.float32)
+    return bundle_counted(texts)[0]
+
+
+def bundle_counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of some texts and the numbers of their distinct n-grams."""
+    out, distinct = np.zeros((len(texts), DIMS), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
     for at in range(0, len(texts), BLOCK_DOCS):
         counted = [gram_counts(t or "") for t in texts[at : at + BLOCK_DOCS]]
+        distinct[at : at + len(counted)] = [len(g) for g, _ in counted]
         seen = np.unique(np.concatenate([g for g, _ in counted]))
         for lo in range(0, len(seen), 1 << 14):
             part = seen[lo : lo + (1 << 14)]
@@ -94,7 +102,7 @@ def bundle(texts: list[str | None]) -> np.ndarray:
                 a, b = np.searchsorted(grams, [part[0], part[-1] + 1])
                 counts[k, np.searchsorted(part, grams[a:b])] = n[a:b]
             out[at : at + len(counted)] += counts @ gram_vectors(part)
-    return out
+    return out, distinct
 
 
 def held_out(id_col: Column) -> Column:
@@ -152,8 +160,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, learn(docs.where(~held_out(docs[id_col])), text_col, lang_col), id_col, text_col)
 
 
+def least_score(distinct: np.ndarray, min_score: float) -> np.ndarray:
+    """The score that texts of so many distinct n-grams need: min_score from FULL on, 0 up to FEW, where those of
+    clean texts and of noise overlap, and between them in proportion."""
+    return min_score * np.clip((distinct - FEW) / (FULL - FEW), 0, 1)
+
+
 def with_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language: not `und`, and a score of min_score or more."""
+    """The rows of docs that have a language: not `und`, and a score that least_score asks for or more."""
     prepare(docs.sparkSession)
     prototypes = learn(docs.where(~held_out(docs[id_col])), text_col, lang_col)
     vectors = np.array(list(prototypes.values()), dtype=np.float32).reshape(-1, DIMS)
@@ -161,10 +175,10 @@ def with_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = bundle(b.column(place).to_pylist())
+            v, distinct = bundle_counted(b.column(place).to_pylist())
             size = np.linalg.norm(v, axis=1)
             best = (v @ vectors.T).max(axis=1) / np.maximum(size, 1e-9) if len(vectors) and len(v) else np.full(len(v), -1.0)
-            yield b.filter(pa.array((size > 0) & (best >= min_score)))
+            yield b.filter(pa.array((size > 0) & (best >= least_score(distinct, min_score))))
 
     return docs.mapInArrow(run, docs.schema)
 

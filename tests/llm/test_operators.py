@@ -306,6 +306,26 @@ def test_language_edges(spark, docs):
     assert L.identify(docs.limit(0)).count() == 0
 
 
+def test_language_stage_drops_unlearned_languages(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(3)
+    strange = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю", "Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο", "敏捷的棕色狐狸跳过了懒狗今天天气很好我们去公园散步然后回家吃饭",
+        "素早い茶色の狐がのろまな犬を飛び越える今日はいい天気です", "الثعلب البني السريع يقفز فوق الكلب الكسول ثم يعود", "तेज भूरी लोमड़ी आलसी कुत्ते के ऊपर कूदती है और घर जाती है",
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään", "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie do lasu",
+        *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (80, 300, 1000)), *("".join(rng.choice("ABCDabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (80, 300, 1000)),
+    ]
+    full = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = full.where("doc_id % 7 = 0 and length(text) > 500").selectExpr("2000000 + doc_id", "array_join(slice(split(text, ' '), 1, 3), ' ')", "cast(null as string)")
+    lettered = full.where("text rlike '[A-Za-z]{2}'").count()
+    extra = spark.createDataFrame([(1_000_000 + i, t, None) for i, t in enumerate(strange)], full.schema)
+    kept = [r[0] for r in C.language(spark, full.unionByName(extra).union(short), "").select("doc_id").collect()]
+    assert not [i for i in kept if 1_000_000 <= i < 2_000_000]
+    assert sum(i < 1_000_000 for i in kept) >= lettered
+    assert sum(i >= 2_000_000 for i in kept) >= 0.97 * short.count()
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     from quillstone.llm import langid as L
 
