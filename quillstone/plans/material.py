@@ -161,7 +161,7 @@ def ll14(v):
 
 @book.page("rg7_communities")
 def rg7(v):
-    return C.communities(bundles.edges(v).where("relation_type = 'causa'"))
+    return C.communities(bundles.edges(v))
 
 
 @book.page("fn13_similarity")

@@ -99,7 +99,7 @@ def ll3_lengths(v):
 
 @book.page("rg8_split_communities")
 def rg8(v):
-    return C.communities(bundles.edges(v).where("relation_type = 'contrasta'"), max_rounds=5, share=0.2)
+    return C.communities(bundles.edges(v))
 
 
 @book.page("ca9_canonical_titles", "v_concepts", f"select {NORM('title')} as norm, min(concept_id) as first_id, count(*) as n from v_concepts group by 1")
