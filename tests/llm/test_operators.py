@@ -185,6 +185,16 @@ def test_near_stage_drops_copies_of_five_word_similarity(spark):
     assert {r["doc_id"] for r in out.collect()} == set(range(len(texts))) - {b for _, b in pairs}
 
 
+def test_near_stage_keeps_one_row_of_each_component(spark):
+    from quillstone.llm.near_copies import without_near_copies
+
+    rng = random.Random(8)
+    a, b, c = ([str(rng.getrandbits(30)) for _ in range(300)] for _ in range(3))
+    docs = [(1, " ".join(a)), (2, changed(a, 100, rng)), (2, " ".join(b)), (None, " ".join(c)), (None, changed(c, 100, rng)), (7, "x y z"), (7, "X  y z")]
+    out = [(r["doc_id"], r["text"]) for r in without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert len(out) == 4 and {docs[0], docs[2]} <= set(out) and Counter(i for i, _ in out) == {1: 1, 2: 1, None: 1, 7: 1}
+
+
 def test_near_groups_are_exact_components():
     from quillstone.llm.near_copies import links_within, shingles
 
