@@ -5,48 +5,38 @@ row for every document (digest, doc_id, and the file and row that hold its text)
 a stream over that folder keeps, for every digest and without expiry, the stable identifier
 (the largest doc_id), the locator of its text and a count, in RocksDB on the executors' disks
 with checkpoints in the shared folder. Hits, that is rows whose digest has others, are then
-read once more and their full bytes compared with those at the locator; texts that share a
-digest but differ are grouped by their bytes. A hot digest is pre-aggregated in the stream,
-and the joins on it are split by adaptive execution.
+read once more, the located ones among them, and their full bytes compared; texts that share a
+digest but differ are grouped by their bytes.
+
+One plan serves all sizes. A filter of bounded size keeps what can't be a hit out of the
+comparison, equal bytes collapse in the task that reads them, before the shuffle, and rows find
+their digest's state by a join that leaves the rows of hot digests where they are.
 
 Edge cases: a null text is empty, and all empty texts are equal; a null doc_id sorts below all
-others; of rows with the same doc_id and text, one is kept; an empty table gives no rows; only
-the id and text columns are read, so further columns can have any names.
+others; of rows with the same doc_id and text, one is kept; an empty table gives no rows; texts
+of any length are compared whole; only the id and text columns are read, so further columns can
+have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shared_dir, table, written
+from .common import flagged, join_hot, located, lower_ascii, placed, shared_dir, table, without_rows, written
 
 #: The state store. Without preallocation: that takes 4 MB of disk a state partition, whatever is in it.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: So many digests of hits (some 200 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_DIGESTS = 50_000
 LOCATOR = "doc_id long, path string, row long"
 INTAKE = f"digest string, text_sha256 string, {LOCATOR}"
 STATE = f"digest string, keep struct<{LOCATOR.replace(' ', ':').replace(',:', ',')}>, n long"
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (lower-cased A-Z), path and row; documents that aren't in files are written first."""
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")]
-    try:
-        docs = docs.select("doc_id", "text", *place)
-    except AnalysisException:
-        docs = written(docs, "exact-documents").select("doc_id", "text", *place)
-    return docs.withColumn("text", lower_ascii(F.col("text")))
-
-
 class DedupState:
     """The stream and its state in a folder; ingest() may be called again with more documents."""
 
@@ -90,34 +80,37 @@ class DedupState:
         return all_rows.select("digest", "keep", "n")
 
 
+def unlike_digests(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Digests whose texts aren't all the same, by their full bytes. texts: digest, text."""
+    hits = flagged(texts, groups.where("n > 1").select("digest"), ["digest"]).where("maybe").select("digest", "text").distinct()
+    return hits.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, and path and row of every row of docs.
 
     digest replaces SHA-256 as the state's key; whatever it collides on is told apart by bytes.
     """
-    texts = located(docs, id_col, text_col)
+    return grouped(located(docs, {"doc_id": id_col, "text": text_col}, "exact-documents"), digest)
+
+
+def grouped(texts: DataFrame, digest: Callable[[Column], Column] | None = None) -> DataFrame:
+    """exact_dedup of texts: doc_id, text, path, row."""
+    texts = texts.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": lower_ascii(F.col("text").cast("string"))})
     sha = F.sha2(F.col("text").cast("binary"), 256)
     key = digest(F.col("text")).cast("string") if digest else sha
-    state = DedupState(docs.sparkSession, shared_dir(docs.sparkSession, "exact"))
+    state = DedupState(texts.sparkSession, shared_dir(texts.sparkSession, "exact"))
     state.ingest(texts.select(key.alias("digest"), sha.alias("text_sha256"), "doc_id", "path", "row"))
     groups, rows = state.groups(), state.rows()
-
-    hot = groups.where("n > 1").select("digest", F.col("keep.path").alias("at_path"), F.col("keep.row").alias("at_row"))
-    if hot.count() <= BROADCAST_DIGESTS:
-        hot = F.broadcast(hot)
-    hits = written(
-        texts.withColumn("digest", key).join(hot, "digest").select("digest", "text", "doc_id", "path", "row", ((F.col("path") == F.col("at_path")) & (F.col("row") == F.col("at_row"))).alias("first")),
-        "exact-hits",
-    )
-    stored = hits.where("first").select("digest", F.col("text").alias("stored"))
-    unlike = written(hits.where("not first").join(stored, "digest").where("text != stored").select("digest").distinct(), "exact-unlike")
+    unlike = written(unlike_digests(texts.select(key.alias("digest"), "text"), groups), "exact-unlike")
 
     same = (F.col("path") == F.col("keep.path")) & (F.col("row") == F.col("keep.row"))
     out = [F.col("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), same.alias("kept"), F.col("text_sha256"), F.col("path"), F.col("row")]
-    result = rows.join(groups, "digest").select("digest", *out)
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    result = join_hot(rows, groups, "digest", "n", total).select("digest", *out)
     if not unlike.limit(1).count():
         return result.drop("digest")
-    apart = hits.join(unlike, "digest", "left_semi")
+    apart = texts.withColumn("digest", key).join(unlike, "digest", "left_semi")
     by_bytes = apart.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "path", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
     apart = apart.join(by_bytes, ["digest", "text"]).withColumn("text_sha256", sha).select(*out)
     return result.join(unlike, "digest", "left_anti").drop("digest").unionByName(apart)
@@ -125,21 +118,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with their columns."""
-    names = docs.columns
-    own = [f"c{k}" for k in range(len(names))]  # names of the input can't clash with any of ours
-    inner = docs.toDF(*own)
-    try:
-        if {"_metadata"} & set(names):
-            raise AnalysisException("a column of the documents has this name")
-        inner.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        inner = written(inner, "exact-documents")
-    found = exact_dedup(inner, own[names.index(id_col)], own[names.index(text_col)])
+    rows, names = placed(docs, "exact-documents")
+    of = {k: F.col(f"c{names.index(c)}").alias(k) for k, c in (("doc_id", id_col), ("text", text_col))}
+    found = grouped(rows.select(*of.values(), "path", "row"))
     dropped = written(found.where("not kept").select("path", "row"), "exact-dropped")
-    if dropped.count() <= BROADCAST_DIGESTS:
-        dropped = F.broadcast(dropped)
-    placed = inner.select(*own, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
-    return placed.join(dropped, ["path", "row"], "left_anti").select(*own).toDF(*names)
+    return without_rows(rows, dropped).drop("path", "row").toDF(*names)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
