@@ -6,9 +6,12 @@ of that half to a vantage point, and a query of radius 1 visits both sides only
 boundary. Where a half no longer splits (many points share it), nodes split by the distance of
 all 64 bits, with radius 3. Both are metrics and the triangle inequality bounds each branch, so
 no pair is lost. The top of each tree is fitted to a bounded sample; it deals every point to
-the shard that holds it, and copies to the other shards that its ball overlaps. A shard is
-searched by the same recursion, and it returns links of a spanning forest, never all pairs of
-a group. Groups are closed over all shards by alternating large-star and small-star rounds.
+the shard that holds it, and copies to the other shards that its ball overlaps. A shard with more
+than HOMES points that live there or ASKS that see it (its sample was too coarse, or nothing
+splits it) is cut into cells, each of a block of the ones and a block of the others, so no task
+gets more than a cell, however many points there are. A cell is searched by the same recursion,
+and it returns links of a spanning forest, never all pairs of a group. Groups are closed over
+all cells by alternating large-star and small-star rounds.
 
 Edge cases: a null text is empty; texts without words have fingerprint zero and are linked like
 any other; fewer words than a shingle give one shingle; repeated rows are points once and
@@ -25,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, written
+from .common import join_hot, prepare, table, written
 
 SHINGLE, SEED, BITS = 3, 42, 3
 HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Points that a shard should hold; fingerprints that the trees' tops are fitted to, at most.
 SHARD_POINTS, SAMPLE = 20_000, 200_000
+#: Points of a cell that live there, and that ask.
+HOMES, ASKS = 8192, 16_384
 #: Pairs that are compared at once, and vantage points tried at a node.
 PAIRS, TRIED = 1 << 20, 8
+#: Sample points of a shard, at least, so a tree has at most SAMPLE / LEAST shards.
+LEAST = 32
 
 
 # --- fingerprints -------------------------------------------------------------------------
@@ -52,13 +59,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = (ends - 1).tolist()
     n = max(1, len(words) - shingle + 1)
     last = min(shingle, len(words)) - 1
-    h, at, total = xxhash.xxh64_intdigest, 0, np.zeros(64, dtype=np.int64)
-    while at < n:
-        to = min(n, at + 65_536)
-        hashes = np.array([h(joined[starts[i] : ends[i + last]], SEED) for i in range(at, to)], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at = to
-    bits = (2 * total > n).astype(np.uint8)
+    h = xxhash.xxh64_intdigest
+    return majority(np.fromiter((h(joined[starts[i] : ends[i + last]], SEED) for i in range(n)), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero without any."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        total += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * total > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -108,7 +118,7 @@ class Top:
         self.nodes: list[tuple] = []
         self.shards = 0
         self.rng = np.random.default_rng(seed)
-        self.half, self.least = half, max(32, len(sample) // max(shards, 1))
+        self.half, self.least = half, max(LEAST, len(sample) // max(shards, 1))
         self.root = self._grow(np.sort(sample))
 
     def _grow(self, points: np.ndarray) -> int:
@@ -163,10 +173,10 @@ class Forest:
                 np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def search(all_points: np.ndarray, homes: np.ndarray, half, forest: Forest, seed: int = 11) -> None:
-    """Joins all pairs within BITS of a home and any point that agree to 1 bit on the half."""
-    rng, n = np.random.default_rng(seed), len(all_points)
-    todo = [(np.flatnonzero(homes), np.arange(n))]
+def search(all_points: np.ndarray, homes: np.ndarray, asking: np.ndarray, half, forest: Forest, seed: int = 11) -> None:
+    """Joins all pairs within BITS of a home and an asking point that agree to 1 bit on the half."""
+    rng = np.random.default_rng(seed)
+    todo = [(np.flatnonzero(homes), np.flatnonzero(asking))]
     while todo:
         at, asks = todo.pop()
         if not len(at) or not len(asks):
@@ -207,20 +217,33 @@ def links(points: DataFrame, n_points: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + shard, dtype=np.int32)), pa.array(fps[at]), pa.array(lives)], names=["shard", "fp", "home"])
                 first += top.shards
 
-    def in_shard(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        half = HALVES[0] if shard < tops[0].shards else HALVES[1]
+    def in_cell(t: pa.Table) -> pa.Table:
+        half = HALVES[0] if t.column("shard")[0].as_py() < tops[0].shards else HALVES[1]
         fps = t.column("fp").to_numpy()
         order = np.argsort(fps, kind="stable")
-        fps, homes = fps[order], t.column("home").to_numpy()[order]
+        fps, homes, asking = fps[order], t.column("home").to_numpy()[order], t.column("asks").to_numpy()[order]
         forest = Forest(len(fps))
-        search(fps.view(np.uint64), homes, half, forest)
+        search(fps.view(np.uint64), homes, asking, half, forest)
         root = forest.roots(np.arange(len(fps)))
         linked = root != np.arange(len(fps))
         return pa.table({"a": pa.array(fps[root[linked]]), "b": pa.array(fps[linked])})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(in_shard, "a long, b long")
+    dealt = written(points.select("fp").mapInArrow(deal, "shard int, fp long, home boolean"), "dealt")
+    # at most 2 * SAMPLE / LEAST shards, whatever the number of points
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count_if("home") / HOMES).cast("int").alias("nh"), F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("na"))
+    return in_cells(dealt.join(F.broadcast(sizes), "shard")).groupBy("shard", "i", "j").applyInArrow(in_cell, "a long, b long")
+
+
+def in_cells(dealt: DataFrame) -> DataFrame:
+    """shard, i, j, fp, home, asks: each point in the cells of its block of homes (if it lives in the
+    shard) and in those of its block of asking points. dealt: shard, fp, home, nh and na (blocks)."""
+    nh, na = F.greatest("nh", F.lit(1)), F.greatest("na", F.lit(1))
+    i, j = F.pmod(F.xxhash64("fp", F.lit(1)), nh).cast("int"), F.pmod(F.xxhash64("fp", F.lit(2)), na).cast("int")
+    cell = lambda x, y: F.struct(x.cast("int").alias("i"), y.cast("int").alias("j"))
+    lives = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), na - 1), lambda y: cell(i, y))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    sees = F.transform(F.sequence(F.lit(0), nh - 1), lambda x: cell(x, j))
+    out = dealt.select("shard", "fp", "home", i.alias("own_i"), j.alias("own_j"), F.explode(F.array_distinct(F.concat(lives, sees))).alias("c"))
+    return out.select("shard", "c.i", "c.j", "fp", (F.col("home") & (F.col("c.i") == F.col("own_i"))).alias("home"), (F.col("c.j") == F.col("own_j")).alias("asks"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -231,6 +254,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins on them are split by adaptive execution. Every round is written to the shared folder.
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    if not edges.limit(1).count():
+        return edges.select(F.col("b").alias("fp"), F.col("a").alias("root"))
     seen = None
     for _ in range(max_rounds):
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -242,7 +267,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lower, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.where("a < b").distinct(), "links")
+        edges = written(small.where("a < b").distinct(), "links", instead_of=edges)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("b").alias("fp"), F.col("a").alias("root"))
@@ -255,8 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(points, points.count()))
     placed = points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_members"))
-    of_point = placed.join(named, "root").select("fp", "component_id", "n_members")
-    return rows.join(of_point, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
+    of_point = placed.join(named, "root").select("fp", "n", "component_id", "n_members")
+    total = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(rows, of_point, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
