@@ -1,13 +1,15 @@
 """Quality rules: base counts and distribution divergence, all in DataFrame functions.
 
 A document's histogram of character classes and of common words is compared with references
-by Jensen-Shannon distance (base 2, 0 to 1). A reference is the summed histogram of all
-documents of one language; documents without a language have the reference of all documents,
-and every document may instead match that one, so that a wrong label alone drops nothing.
+by Jensen-Shannon distance (base 2, 0 to 1). A reference is the mean of the shares of all
+documents of one language, each of equal weight, so that a few long ones don't make it; documents
+without a language have the reference of all documents, and every document may instead match
+that one, so that a wrong label alone drops nothing.
 Guards: a histogram of too few characters or words isn't judged. The same 64-bit hash stands
 for the same 8-word window. Edge cases: a null text is empty and fails the base rule; a null
-language uses the reference of all documents; repeated rows are judged each, equally; an
-empty table gives no rows; only the id, text and language columns are read.
+language uses the reference of all documents; repeated rows are judged each, equally; ties stay
+(a distance must be above its bound); texts of any length are counted whole; an empty table gives
+no rows; only the id, text and language columns are read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, placed, table, without_rows, written
 
 # Frequent function words of four languages.
 COMMON_WORDS = (
@@ -33,6 +35,8 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 #: at least so many characters or words. Fitted to labelled documents: few clean ones go.
 MAX_CHAR_DISTANCE, MAX_BOTH_DISTANCES = 0.22, 0.44
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 400, 80
+#: A document's shares are summed in whole parts of this, so that the order of addition doesn't matter.
+PARTS = 1_000_000
 #: References of so many languages are broadcast (under 1 KB each); more are joined by shuffle.
 BROADCAST_LANGS = 10_000
 
@@ -73,21 +77,19 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) > 8, of(words)).otherwise(F.lit(0).cast("long"))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms chars and words (array<long>); with whole,
-    also the input row as one column."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", place: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, the base counts, and the histograms chars and words (array<long>), after the
+    columns in place."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    of = [F.struct(*[docs[c] for c in docs.columns]).alias("whole")] if whole else []
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"), *of)
+    base = docs.select(*place, docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"))
     t = F.col("t")
     words = F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     common = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![^\x20\x09-\x0D])({one_of(WORDS)})(?![^\x20\x09-\x0D])"), F.lit(1))
-    of = ["whole"] if whole else []
     out = base.select(
+        *place,
         "doc_id",
         "lang",
-        *of,
         F.length(t).cast("long").alias("n_chars"),
         *[_count(t, v).alias(k) for k, v in CLASSES.items()],
         let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated(w).alias("r"))).alias("w"),
@@ -98,9 +100,9 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rest = F.col("w.c") - sum(named[1:], named[0])
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select(
+        *place,
         "doc_id",
         "lang",
-        *of,
         F.col("w.n").alias("n_words"),
         F.col("w.c").alias("word_chars"),
         F.col("symbol").alias("n_symbols"),
@@ -113,9 +115,11 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def references(counted: DataFrame) -> DataFrame:
     """lang (null: of all documents), chars and words as shares, from all documents."""
+    millionths = lambda c: let(F.col(c), lambda a: F.transform(a, lambda x: F.round(x * PARTS / F.greatest(F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(1))).cast("long")))
+    parts = counted.select("lang", millionths("chars").alias("chars"), millionths("words").alias("words"))
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)]
     sums += [F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    by_lang = written(counted.groupBy("lang").agg(*sums), "quality-references")
+    by_lang = written(parts.groupBy("lang").agg(*sums), "quality-references")
     names = by_lang.columns[1:]
     pooled = by_lang.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).select(F.lit(None).cast("string").alias("lang"), *names)
     share = lambda p: let(F.array(*[F.col(n) for n in names if n[0] == p]), lambda a: F.transform(a, lambda x: x / F.greatest(F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(1))))
@@ -129,9 +133,9 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", place: tuple[str, ...] = ()) -> DataFrame:
     """The base counts with char_distance, word_distance, base_failed and kept of every row."""
-    counted = written(counts(docs, id_col, text_col, lang_col, whole), "quality-counts")
+    counted = written(counts(docs, id_col, text_col, lang_col, place), "quality-counts")
     refs = references(counted).select("lang", F.struct("chars", "words").alias("r"))
     refs = written(refs, "quality-shares")
     pooled = refs.where("lang is null").select("r").first()
@@ -150,7 +154,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return judged(docs, id_col, text_col, lang_col, whole=True).where("kept").select("whole.*")
+    rows, names = placed(docs, "quality-documents")
+    own = [f"c{names.index(c)}" for c in (id_col, text_col, lang_col)]
+    dropped = judged(rows, *own, place=("path", "row")).where("not kept").select("path", "row")
+    return without_rows(rows, written(dropped, "quality-dropped")).drop("path", "row").toDF(*names)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +175,7 @@ def _oracle() -> str:
     sums = ", ".join([f"sum(chars[{i}]) as c{i}" for i in range(1, n_char + 1)] + [f"sum(words[{i}]) as w{i}" for i in range(1, n_word + 1)])
     arrays = f"[{', '.join(f'c{i}' for i in range(1, n_char + 1))}]::double[] as c, [{', '.join(f'w{i}' for i in range(1, n_word + 1))}]::double[] as w"
     share = lambda a: f"list_transform({a}, lambda x: x / greatest(list_sum({a}), 1))"
+    millionths = lambda a: f"list_transform({a}, lambda x: round(x * {PARTS} / greatest(list_sum({a}), 1)))"
     part = lambda x, y: f"case when {x} > 0 then {x} * log2({x} / (({x} + {y}) / 2)) else 0 end"
     dist = lambda p, q, n: f"sqrt(greatest(list_sum(list_transform(range(1, {n} + 1), lambda i: ({part(f'{p}[i]', f'{q}[i]')} + {part(f'{q}[i]', f'{p}[i]')}) / 2)), 0))"
     return f"""
@@ -182,7 +190,7 @@ rep as (select rid, sum(k) as r from (select rid, coalesce(least(8, i - lag(i) o
 c as materialized (select s.rid, doc_id, lang, len(ws) as n_words, word_chars, symbol as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
   coalesce(r, 0) as n_repeat_words, [{', '.join(CLASSES)}, length(t) - word_chars, word_chars - {' - '.join(CLASSES)}]::double[] as chars,
   [{found}, len(ws) - len(m)]::double[] as words from s left join rep using (rid)),
-sums as (select lang, {sums} from c group by lang),
+sums as (select lang, {sums} from (select lang, {millionths('chars')} as chars, {millionths('words')} as words from c) group by lang),
 refs as (select lang, {share('c')} as rc, {share('w')} as rw from (select lang, {arrays} from sums where lang is not null)),
 pool as (select {share('c')} as pc, {share('w')} as pw from (select {arrays} from (select {', '.join([f'sum(c{i}) as c{i}' for i in range(1, n_char + 1)] + [f'sum(w{i}) as w{i}' for i in range(1, n_word + 1)])} from sums))),
 p as (select c.*, {share('chars')} as cs, {share('words')} as wsh from c),
