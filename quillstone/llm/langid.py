@@ -7,7 +7,8 @@ the language of the nearest prototype by cosine. Bundling counts n-grams first,
 costs one matrix product. Letters are lower-cased; a run of other characters is one blank.
 Edge cases: a null text or one without letters is `und` with score 0, and so is every text
 if nothing is learned; a null language teaches nothing; ties go to the first language in
-order; repeated rows are predicted each; an empty table gives no rows.
+order; repeated rows are predicted each; very long texts are taken in slices that don't show in
+the result; an empty table gives no rows; further columns can have any names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 DIMS, SEED, N = 1024, 20240607, 3
-#: Codes: 0 blank, 1 to 26 a to z, the rest for other letters by code point.
-CODES = 96
+#: Codes: 0 blank, 1 to 26 a to z, the rest for other letters by code point; those below U+0FE0 have their own.
+CODES = 4096
+#: Languages that are learned, the most frequent first: the driver holds a vector of each (8 KB).
+MAX_LANGS = 1000
 #: Characters that are turned into n-grams, and documents that are bundled, at a time.
 BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 256
 UNKNOWN = "und"
@@ -57,30 +60,39 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def grams_of(text: str) -> np.ndarray:
-    """The n-gram numbers of a text in order; none without letters."""
-    codes = letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")]
-    if not codes.any():
-        return np.empty(0, dtype=np.int64)
-    codes = np.concatenate([[0], codes, [0]])
-    codes = codes[(codes != 0) | np.append(True, codes[:-1] != 0)].astype(np.int64)
-    if len(codes) < N:
-        codes = np.pad(codes, (0, N - len(codes)))
-    return sum(codes[k : len(codes) - N + 1 + k] * CODES ** (N - 1 - k) for k in range(N))
+def gram_slices(text: str) -> Iterator[np.ndarray]:
+    """The n-gram numbers of a text in order, a slice of its characters at a time; none without letters."""
+    text, table = text.lower(), letter_codes()  # lower-cased as a whole: a letter's form may depend on its neighbours
+    held, some = np.zeros(1, dtype=np.int64), False  # codes before the slice that n-grams still need
+    for at in range(0, len(text), BLOCK_CHARS):
+        codes = table[np.frombuffer(text[at : at + BLOCK_CHARS].encode("utf-32-le", "replace"), dtype="<u4")].astype(np.int64)
+        if at + BLOCK_CHARS >= len(text):
+            codes = np.append(codes, 0)
+        some = some or bool(codes.any())
+        codes = np.concatenate([held, codes])
+        codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]  # a run of others is one blank
+        if not some:
+            held = codes[-1:]
+            continue
+        if at + BLOCK_CHARS >= len(text) and len(codes) < N:
+            codes = np.pad(codes, (0, N - len(codes)))
+        if len(codes) >= N:
+            yield sum(codes[k : len(codes) - N + 1 + k] * CODES ** (N - 1 - k) for k in range(N))
+        held = codes[-(N - 1) :]
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram numbers and their counts, the text taken in slices, so that memory stays bounded."""
-    total: dict[int, int] | None = None
-    for at in range(0, max(len(text), 1), BLOCK_CHARS):
-        grams, counts = np.unique(grams_of(text[at : at + BLOCK_CHARS]), return_counts=True)
-        if len(text) <= BLOCK_CHARS:
-            return grams, counts
-        total = total or {}
-        for g, c in zip(grams.tolist(), counts.tolist()):
-            total[g] = total.get(g, 0) + c
-    keys = np.array(sorted(total), dtype=np.int64)
-    return keys, np.array([total[k] for k in keys.tolist()], dtype=np.int64)
+    """n-gram numbers and their counts; memory is bounded by the slices and the distinct n-grams."""
+    keys = counts = np.empty(0, dtype=np.int64)
+    for grams in gram_slices(text):
+        new, n = np.unique(grams, return_counts=True)
+        if not len(keys):
+            keys, counts = new, n
+            continue
+        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+        keys = both
+    return keys, counts
 
 
 def bundle(texts: list[str | None]) -> np.ndarray:
@@ -111,15 +123,17 @@ def held_out(id_col: Column) -> Column:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[float]]:
-    """Prototype of each language, of unit length. Every task bundles its rows; the driver gets
-    one vector a language (8 KB each), whatever the number of documents."""
+    """Prototype of each of the MAX_LANGS most frequent languages, of unit length. Every task bundles
+    its rows; the driver gets one vector a language (8 KB each), whatever the number of documents."""
     prepare(labelled.sparkSession)
+    by_lang = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()).groupBy(labelled[lang_col].cast("string").alias("lang")).count()
+    taught = {r["lang"] for r in by_lang.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), dtype=object)
-            for lang in dict.fromkeys(langs):
+            for lang in taught.intersection(langs):
                 texts = b.column(0).filter(pa.array(langs == lang)).to_pylist()
                 sums[lang] = sums.get(lang, 0) + bundle(texts).sum(axis=0, dtype=np.float64)
         for lang, v in sorted(sums.items()):
@@ -167,17 +181,22 @@ def least_score(distinct: np.ndarray, min_score: float) -> np.ndarray:
 
 
 def with_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language: not `und`, and a score that least_score asks for or more."""
+    """The rows of docs that have a language: not `und`, and a score that least_score asks for or more.
+    The language column becomes the prediction, whatever it was."""
     prepare(docs.sparkSession)
     prototypes = learn(docs.where(~held_out(docs[id_col])), text_col, lang_col)
     vectors = np.array(list(prototypes.values()), dtype=np.float32).reshape(-1, DIMS)
-    place = docs.columns.index(text_col)
+    place, langs, lang_place = docs.columns.index(text_col), np.array(list(prototypes), dtype=object), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, distinct = bundle_counted(b.column(place).to_pylist())
-            size = np.linalg.norm(v, axis=1)
-            best = (v @ vectors.T).max(axis=1) / np.maximum(size, 1e-9) if len(vectors) and len(v) else np.full(len(v), -1.0)
+            if not len(vectors) or not len(v):
+                yield b.slice(0, 0)
+                continue
+            size, cosines = np.linalg.norm(v, axis=1), v @ vectors.T
+            best = cosines.max(axis=1) / np.maximum(size, 1e-9)
+            b = b.set_column(lang_place, b.schema.field(lang_place), pa.array(langs[cosines.argmax(axis=1)], pa.string()).cast(b.schema.field(lang_place).type))
             yield b.filter(pa.array((size > 0) & (best >= least_score(distinct, min_score))))
 
     return docs.mapInArrow(run, docs.schema)
