@@ -2,13 +2,18 @@
 
 For every host, the pages that contain a line are divided by the host's pages; a line above
 max_ratio that is on at least min_pages pages is boilerplate of that host and goes from all
-its pages. A page counts a line once. Lines stand as MD5 digests while they are counted, which
-are pre-aggregated before the shuffle, so a host with a third of all pages is no hot task; the
-texts themselves aren't shuffled unless the table of boilerplate is too large to broadcast.
+its pages. A page counts a line once. Lines stand as SHA-256 digests while they are counted, which
+are pre-aggregated before the shuffle, so a host with a third of all pages is no hot task. One plan
+serves all sizes: texts of hosts with more than a thousandth of all pages, which are fewer than a
+thousand, and of hosts without boilerplate stay where they are; those of other hosts are shuffled
+by host, which is never a hot key. A host has at most 20 times as many boilerplate lines as a page
+of it has lines on average, as each is on a twentieth of its pages or more.
+
 Edge cases: a null text stays null with no lines; a null host is a host of its own; lines of
-white space alone are never dropped; repeated rows are pages each; a text all of whose lines
-go becomes empty; an empty table gives no rows; further columns of the input are kept by
-drop_site_lines, whatever their names.
+white space alone are never dropped; a line at the very ratio stays; repeated rows are pages each;
+a text all of whose lines go becomes empty; texts of any length are taken whole; an empty table
+gives no rows; further columns of the input are kept by drop_site_lines, whatever their names: its
+own two get underscores until they are new.
 """
 
 from __future__ import annotations
@@ -16,11 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import HOT_SHARE, flagged, let, table, written
 
 MAX_RATIO, MIN_PAGES = 0.05, 5
-#: Hosts with boilerplate whose digests are broadcast, and digests in all; more are joined by shuffle.
-BROADCAST_HOSTS, BROADCAST_LINES = 10_000, 100_000
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -29,31 +32,44 @@ def _key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit(""))
 
 
+def _digest(line: Column) -> Column:
+    return F.unhex(F.sha2(line.cast("binary"), 256))
+
+
 def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host key, bad (sorted MD5 digests of its boilerplate lines), of hosts that have any."""
+    """host key, pages and bad (sorted digests of its boilerplate lines) of hosts that have any."""
     pages = docs.select(_key(host).alias("host"), text.cast("string").alias("t"))
     n_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
-    seen = pages.select("host", F.explode(lines).alias("line")).groupBy("host", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.select("host", F.explode(lines).alias("line")).groupBy("host", _digest(F.col("line")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= min_pages).join(n_pages, "host").where(F.col("n") > max_ratio * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("bad"))
+    return often.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("line")).alias("bad"))
 
 
 def drop_site_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text_col freed of boilerplate, and __n_lines and __n_dropped (long)."""
+    """docs with text_col freed of boilerplate, and __n_lines and __n_dropped (long) as last columns."""
     bad = written(boilerplate(docs, host, docs[text_col], max_ratio, min_pages), "site-lines")
-    size = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bad")), F.lit(0))).first()
-    if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_LINES:
-        bad = F.broadcast(bad)
+    most = docs.count() // HOT_SHARE
     # the input is one column meanwhile, so its names can't clash with any of ours
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
-    joined = docs.select(whole, docs[text_col].cast("string").alias("t"), _key(host).alias("host")).join(bad, "host", "left")
-    clean = let(F.col("bad"), lambda bad: F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, F.unhex(F.md5(x.cast("binary")))))))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs[text_col].cast("string").alias("t"), _key(host).alias("host"))
+    hot = F.broadcast(bad.where(F.col("pages") > most).select("host", "bad"))
+    cool = bad.where(F.col("pages") <= most).select("host", "bad")
+    of_hot = whole.join(hot, "host", "left").select("whole", "t", "host", "bad")
+    rest = flagged(of_hot.where("bad is null"), cool, ["host"])
+    own = ("whole", "t", "bad")
+    joined = of_hot.where("bad is not null").select(*own).unionByName(rest.where(~F.col("maybe")).select(*own))
+    joined = joined.unionByName(rest.where("maybe").drop("bad").join(cool, "host", "left").select(*own))
+    clean = let(F.col("bad"), lambda bad: F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, _digest(x)))))
     out = joined.select("whole", "t", F.when(F.col("bad").isNull(), F.split("t", "\n")).otherwise(clean).alias("stays"))
     n = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(F.split("t", "\n"))).cast("long")
     dropped = F.when(F.col("t").isNull(), F.lit(0)).otherwise(n - F.size("stays")).cast("long")
     text = F.when(F.col("t").isNotNull(), F.array_join("stays", "\n")).alias(text_col)
-    return out.select(*[text if c == text_col else F.col(f"whole.`{c}`") for c in docs.columns], n.alias("__n_lines"), dropped.alias("__n_dropped"))
+    more = []
+    for name, value in (("__n_lines", n), ("__n_dropped", dropped)):
+        while name in docs.columns:
+            name += "_"
+        more.append(value.alias(name))
+    return out.select(*[text if c == text_col else F.col(f"whole.`{c}`") for c in docs.columns], *more)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
