@@ -1,25 +1,33 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks (text between block-level tags). A linear classifier over a block's
-ancestors, class and id words, link density and length gives a log-odds of being content;
-positive ones are the capacity to the content terminal, negative ones to the boilerplate
-terminal. Neighbouring blocks, and neighbours below one parent, are tied by smoothness edges
-that are stronger the closer they are in the tree. The maximum flow separates content from
-boilerplate. Scripts, styles, templates, comments and forms are no text at all; blocks below
-a menu, footer, sidebar, advert, notice or comment list are boilerplate whatever their text.
-
-Edge cases: null and empty pages, and pages without content blocks, give an empty text; tags
-that are never closed are closed by their parents, stray end tags are ignored; an unclosed
-comment or script runs to the end; repeated rows are extracted each; an empty table gives no
-rows; only the id, URL and HTML columns are read.
+A page is cut into blocks (text between block-level tags) and containers (articles, menus, footers,
+forms, elements whose class or id says what they are). A classifier knows a block by itself alone: its
+length, links, tag and last character; and a container by its kind. Both are fitted to the labelled
+blocks of labelled_pages. Their bounded log-odds are the capacities to the content or the boilerplate
+terminal. Smoothness edges tie what is near: a block to its container, a container to the one around
+it (in one direction: what is in a menu is menu, but an advert in an article stays one), neighbours in
+page order, and neighbours below one parent, the more the closer they are in the tree. The maximum
+flow separates content from boilerplate, so a line that looks like a menu but stands between
+paragraphs is kept and a sentence in a footer goes. Scripts, styles, templates and markup comments are
+no text at all.
+
+Reading a page takes time in proportion to its length, whatever is unclosed or nested in it. Edge
+cases: null and empty pages, and pages without content blocks, give an empty text; tags that are
+never closed are closed by their parents, stray end tags are ignored; an unclosed comment, script or
+style runs to the end; after a quote that is never closed, quotes no longer hide the end of a tag;
+a block whose cut is a tie is boilerplate; pages and blocks of any length are read whole; repeated
+rows are extracted each; an empty table gives no rows; only the id, URL and HTML columns are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +35,24 @@ from .common import prepare, table
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-_MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)([^<>\"']*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Element names by their role in HTML.
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select".split())
+_TO_END = frozenset("script style textarea title".split())
+_RAW = _TO_END | frozenset("noscript template svg math iframe object canvas audio video select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _CLOSES = {  # a start tag that ends an open element of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "body": {"head"},
 }
-_BREAKS_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul td th tr".split())
+_LISTS = frozenset("ul ol dl table tbody thead select".split())
+_ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul td th tr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class and id names.
 _BOILER = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sponsorship sidebar sidenav aside widget widgets "
@@ -47,183 +61,301 @@ _BOILER = frozenset(
     "share sharing social related recommended recommendations pagination pager copyright legal disclaimer alert alerts notification search form skip".split()
 )
 _CONTENT = frozenset("article articles content contents main post story entry body text prose page markdown".split())
-_DROP_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 9.0, "menu": 6.0, "dialog": 6.0, "button": 9.0, "fieldset": 9.0}
-_ROLES = {"navigation": 6.0, "banner": 6.0, "contentinfo": 6.0, "complementary": 6.0, "search": 6.0, "dialog": 6.0, "alert": 6.0, "form": 9.0}
-#: Capacity of the smoothness edge between neighbours with one parent; it falls with tree distance.
-SMOOTH, CERTAIN = 0.6, 6.0
+_PARTS = (frozenset("article post story entry".split()), frozenset("body content text".split()), frozenset("comment comments ad ads".split()))
+_TAGS = frozenset("nav footer aside form menu dialog button fieldset article main".split())
+_ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "dialog": "dialog", "alert": "dialog", "form": "form", "main": "main", "article": "article"}
+#: What a container can be; `hidden` outdoes all, then what an attribute says, then the tag.
+KINDS = (*sorted(_TAGS), "header", "hidden", "named boilerplate", "named content")
+GOOD = frozenset(("article", "main", "named content"))
+#: Bounds of the log-odds of a block by itself, and of a container for each of its blocks: together, a
+#: block and a container for content don't outweigh one for boilerplate around them.
+MOST, LEAST_KIND, MOST_KIND = 3.0, -7.0, 3.5
+#: What each side of a kind of container counts before any block is seen.
+FEW = 0.05
+#: Capacities: of neighbours (less with their distance in the tree), and of a block and its container, and of nested containers.
+SMOOTH, PULL = 1.2, 7.0
+#: Open elements that a list item looks back for the one that it ends.
+LOOK_BACK = 200
+
+
+# --- from a page to blocks ----------------------------------------------------------------
 
 
 class _Open:
-    """An open element: its name, what its ancestors and itself say, and where it hangs."""
+    """An open element: its parent, its block-level self or ancestor, its container, what is open in it."""
 
-    __slots__ = ("name", "key", "against", "inside", "heading", "link")
+    __slots__ = ("name", "up", "depth", "block", "box", "link", "inside", "inline")
 
-    def __init__(self, name, key, against, inside, heading, link):
-        self.name, self.key, self.against, self.inside, self.heading, self.link = name, key, against, inside, heading, link
+    def __init__(self, name: str, up: _Open | None, box: int, inline: bool):
+        self.name, self.up, self.box = name, up, box
+        self.depth = up.depth + 1 if up else 0
+        self.block = up.block if inline and up else self
+        self.link = name == "a" or bool(up and up.link)
+        self.inline: Counter = self.block.inline if inline and up else Counter()  # open inline elements by name
+        self.inside = bool(up and up.inside)
 
 
 class Block:
-    __slots__ = ("text", "path", "against", "inside", "heading", "tag", "link_chars")
-
-    def __init__(self, text, path, against, inside, heading, tag, link_chars):
-        self.text, self.path, self.against, self.inside, self.heading, self.tag, self.link_chars = text, path, against, inside, heading, tag, link_chars
-
-
-def _element(name: str, attributes: str, up: _Open, key: int) -> _Open:
-    against, inside = up.against, up.inside
-    against = max(against, _DROP_TAGS.get(name, 0.0))
-    if name == "header" and not up.inside:
-        against = max(against, CERTAIN)
-    if name in ("article", "main"):
-        inside = True
-    if attributes and name not in ("body", "html"):
-        for what, a, b, c in _ATTRIBUTE.findall(attributes):
-            what, value = what.lower(), a or b or c
-            if what in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & _BOILER and not (words & {"article", "post", "story", "entry"} and words & {"body", "content", "text"} and not words & {"comment", "comments", "ad", "ads"}):
-                    against = max(against, CERTAIN)
-                elif "header" in words and name not in _INLINE and not up.inside:
-                    against = max(against, CERTAIN)
-                elif words & _CONTENT:
-                    inside = True
-            elif what == "role":
-                against = max(against, _ROLES.get(value.lower(), 0.0))
-                inside = inside or value.lower() in ("main", "article")
-            elif what == "hidden" or what == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                against = max(against, 9.0)
-    return _Open(name, key, against, inside, up.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), up.link or name == "a")
-
-
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order."""
-    out: list[Block] = []
-    stack = [_Open("", 0, 0.0, False, False, False)]
-    parts: list[str] = []
-    link_chars = key = at = 0
-    owner, against = stack[0], 0.0
-    path: tuple = ()
-
-    def flush() -> None:
-        nonlocal parts, link_chars
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
+    __slots__ = ("text", "owner", "box", "link_chars")
+
+    def __init__(self, text: str, owner: _Open, box: int, link_chars: int):
+        self.text, self.owner, self.box, self.link_chars = text, owner, box, link_chars
+
+    @property
+    def tag(self) -> str:
+        return self.owner.name
+
+
+def kind_of(name: str, attributes: str, inside: bool) -> str | None:
+    """What container a start tag opens, if any; inside: below an article or the main part."""
+    kind = name if name in _TAGS else "header" if name == "header" and not inside else None
+    if not attributes or name in ("body", "html"):
+        return kind
+    said = None
+    for what, a, b, c in _ATTRIBUTE.findall(attributes):
+        what, value = what.lower(), a or b or c
+        if what == "hidden" or what == "style" and _HIDES.search(value):
+            return "hidden"
+        if what == "role":
+            said = _ROLES.get(value.lower(), said)
+        elif what in ("class", "id"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if words & _BOILER and not (words & _PARTS[0] and words & _PARTS[1] and not words & _PARTS[2]) or "header" in words and name not in _INLINE and not inside:
+                said = "named boilerplate"
+            elif words & _CONTENT and said is None and (kind is None or kind in GOOD):
+                said = "named content"
+    return said or kind
+
+
+class Page:
+    """The blocks of a page in order, and its containers as (kind, container around it)."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.boxes: list[tuple[str, int]] = []
+        self.html, self.lenient = html, False
+        self.top = _Open("", None, -1, False)
+        self.open: Counter = Counter()  # open block-level elements by name
+        self.parts: list[str] = []
+        self.link_chars, self.owner, self.box = 0, self.top, -1
+        self._read()
+
+    def _flush(self) -> None:
+        if self.parts:
+            text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                out.append(Block(text, path, against, owner.inside, owner.heading, owner.name, link_chars))
-            parts, link_chars = [], 0
+                self.blocks.append(Block(text, self.owner, self.box, self.link_chars))
+            self.parts, self.link_chars = [], 0
 
-    def take(chunk: str) -> None:
-        nonlocal owner, path, against, link_chars
-        if not parts:
+    def _take(self, chunk: str) -> None:
+        if not self.parts:
             if not chunk.strip():
                 return
-            owner = next((e for e in reversed(stack) if e.name not in _INLINE), stack[0])
-            path = tuple(e.key for e in stack if e.name not in _INLINE)
-            against = stack[-1].against
-        parts.append(chunk)
-        if stack[-1].link:
-            link_chars += len(chunk)
-
-    n = len(html)
-    while at < n:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            take(html[at:])
-            break
-        if m.start() > at:
-            take(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if m[1]:
-            if name in _INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        if stack[k].against > stack[k - 1].against:
-                            flush()
-                        del stack[k]
-                        break
-                    if stack[k].name not in _INLINE:
-                        break
-                continue
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-            continue
-        if name in _RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else n
-            if name not in ("svg", "math", "canvas"):
-                flush()
-            continue
-        if name in _VOID:
-            if name == "br" or name == "wbr":
-                if parts and name == "br":
-                    parts.append(" ")
-            elif name not in _INLINE:
-                flush()
-            continue
+            self.owner, self.box = self.top.block, self.top.box
+        self.parts.append(chunk)
+        if self.top.link:
+            self.link_chars += len(chunk)
+
+    def _push(self, name: str, attributes: str) -> None:
+        up, inline = self.top, name in _INLINE
+        kind = kind_of(name, attributes, up.inside)
+        box = up.box
+        if kind is not None:
+            if inline and kind not in GOOD:  # an advert inside a paragraph
+                self._flush()
+            if not inline or kind not in GOOD:
+                self.boxes.append((kind, up.box))
+                box = len(self.boxes) - 1
+        self.top = _Open(name, up, box, inline)
+        self.top.inside = up.inside or kind in GOOD and not inline
+        (self.top.inline if inline else self.open)[name] += 1
+
+    def _pop(self) -> None:
+        gone = self.top
+        if gone.up is None:
+            return
+        (gone.inline if gone.block is not gone else self.open)[gone.name] -= 1
+        if gone.block is not gone and gone.box != gone.up.box:
+            self._flush()
+        self.top = gone.up
+
+    def _pop_to(self, element: _Open) -> None:
+        """Closes element and all in it."""
+        while self.top is not element:
+            self._pop()
+        self._pop()
+
+    def _start(self, name: str, attributes: str) -> None:
         if name in _INLINE:
-            key += 1
-            inner = _element(name, m[3], stack[-1], key)
-            if inner.against > stack[-1].against:  # an advert inside a paragraph
-                flush()
-            stack.append(inner)
-            continue
-        flush()
-        if name in _BREAKS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
+            self._push(name, attributes)
+            return
+        self._flush()
+        if name in _ENDS_P and self.top.block.name == "p":
+            self._pop_to(self.top.block)
+        if ends := _CLOSES.get(name):
+            e = self.top.block
+            for _ in range(LOOK_BACK):
+                if e.up is None or e.name in _LISTS:
                     break
-                if stack[k].name not in _INLINE:
+                if e.name in ends:
+                    self._pop_to(e)
                     break
-        closes = _CLOSES.get(name)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in closes:
-                    del stack[k:]
+                e = e.up.block
+        if not attributes.endswith("/"):
+            self._push(name, attributes)
+
+    def _end(self, name: str) -> None:
+        if name in _INLINE:
+            if self.top.inline[name] > 0 and self.top.block is not self.top:
+                while self.top.name != name:
+                    self._pop()
+                self._pop()
+            return
+        self._flush()
+        if self.open[name] > 0:
+            while self.top.block.name != name:
+                self._pop_to(self.top.block)
+            self._pop_to(self.top.block)
+
+    def _tag_end(self, start: int) -> int:
+        """Where the `>` of a tag is that has quotes; -1 if nowhere."""
+        html, at = self.html, start
+        while not self.lenient:
+            m = _STOP.search(html, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            k = m.start() - 1
+            while html[k].isspace():
+                k -= 1
+            at = m.end()
+            if html[k] == "=":  # elsewhere a quote is a character like any other
+                at = html.find(m[0], at) + 1
+                if not at:
                     break
-                if stack[k].name in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
+        self.lenient = True
+        return html.find(">", start)
+
+    def _read(self) -> None:
+        html, n, at = self.html, len(self.html), 0
+        unended: set[str] = set()  # raw elements without an end tag from here on
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                self._take(html[at:])
+                break
+            if lt > at:
+                self._take(html[at:lt])
+            m = _PLAIN.match(html, lt)
+            if m is not None:
+                at, closes, name, attributes = m.end(), m[1], m[2].lower(), m[3]
+            elif html.startswith("<!--", lt):
+                end = html.find("-->", lt + 2)
+                at = end + 3 if end >= 0 else n
+                continue
+            elif html.startswith(("<!", "<?"), lt):
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else n
+                continue
+            else:
+                m = _NAME.match(html, lt)
+                if m is None:
+                    self._take("<")
+                    at = lt + 1
+                    continue
+                end = self._tag_end(m.end())
+                if end < 0:
                     break
-        if not m[3].endswith("/"):
-            key += 1
-            stack.append(_element(name, m[3], stack[-1], key))
-    flush()
-    return out
-
-
-def log_odds(b: Block) -> float:
-    """The classifier: how much more likely a block is content than boilerplate."""
-    if b.against:
-        return -b.against
-    links = b.link_chars / len(b.text)
-    score = -0.3 + (2.5 if b.inside else 0.0) - 3.5 * links * (1.0 if not b.inside else 0.5)
-    score += min(2.0, len(b.text) / 120)
-    if b.tag == "p" or b.heading:
-        score += 0.8
-    if b.tag in ("li", "td", "th") and not b.inside:
-        score -= 0.4
-    return score
-
-
-def _closeness(a: tuple, b: tuple) -> float:
-    """1 for siblings' texts, less with the steps between two blocks in the tree."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return 1.0 / max(1, len(a) + len(b) - 2 * same - 1)
-
-
-def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the content side of the minimum cut (Dinic's maximum flow)."""
+                at, closes, name, attributes = end + 1, m[1], m[2].lower(), html[m.end() : end]
+            if closes:
+                self._end(name)
+            elif name in _RAW:
+                if not attributes.endswith("/") and name not in unended:
+                    end = _raw_end(name).search(html, at)
+                    if end is not None:
+                        at = end.end()
+                    elif name in _TO_END:
+                        at = n
+                    else:
+                        unended.add(name)
+                if name not in ("svg", "math", "canvas"):
+                    self._flush()
+            elif name in _VOID:
+                if name == "br" and self.parts:
+                    self.parts.append(" ")
+                elif name not in _INLINE:
+                    self._flush()
+            else:
+                self._start(name, attributes)
+        self._flush()
+
+
+@lru_cache(maxsize=32)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+# --- from blocks to labels ----------------------------------------------------------------
+
+
+def local(b: Block) -> list[float]:
+    """What the classifier sees of a block."""
+    chars = len(b.text)
+    return [1.0, min(np.log2(1 + chars), 10.0) / 5, min(1.0, b.link_chars / chars), float(b.tag == "p"), float(b.tag in _HEADINGS), float(b.tag in ("li", "td", "th", "dd", "dt")), float(b.text[-1] in ".!?…:")]
+
+
+def learn(labelled: list[tuple[str, frozenset]]) -> tuple[np.ndarray, dict[str, float]]:
+    """(weights of local(), log-odds of each kind of container) from pages with their content blocks' texts.
+    The weights come from blocks that no container for boilerplate holds, as its own odds speak for those."""
+    rows, labels, of_kind = [], [], {k: [FEW, FEW] for k in KINDS}
+    for html, content in labelled:
+        page = Page(html)
+        for b in page.blocks:
+            good = b.text in content
+            kind = page.boxes[b.box][0] if b.box >= 0 else None
+            if kind is not None:
+                of_kind[kind][good] += 1
+            if kind is None or kind in GOOD:
+                rows.append(local(b))
+                labels.append(good)
+    x, y = np.array(rows), np.array(labels, dtype=float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # logistic regression by Newton's method, with a small ridge
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+    return w, {k: float(np.clip(np.log(good / bad), LEAST_KIND, MOST_KIND)) for k, (bad, good) in of_kind.items()}
+
+
+@lru_cache(maxsize=1)
+def learned() -> tuple[np.ndarray, dict[str, float]]:
+    from .labelled_pages import pages
+
+    return learn(pages())
+
+
+def odds_alone(page: Page, weights: np.ndarray) -> list[float]:
+    """How much more likely each block is content than boilerplate, by itself."""
+    if not page.blocks:
+        return []
+    return np.clip(np.array([local(b) for b in page.blocks]) @ weights, -MOST, MOST).tolist()
+
+
+def _closeness(a: _Open, b: _Open) -> float:
+    """1 for one element or siblings, less with the steps between two blocks' elements in the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return 1.0 / max(1, steps - 1)
+
+
+def min_cut(odds: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Whether each node is on the content side of the minimum cut (Dinic's maximum flow). An edge (a, b)
+    costs its first capacity if only a is content, its second if only b is."""
     n = len(odds)
     if all(x >= 0 for x in odds) or all(x <= 0 for x in odds):
         return [x > 0 for x in odds] if n else []
@@ -245,8 +377,8 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             arc(source, k, x, 0.0)
         elif x < 0:
             arc(k, sink, -x, 0.0)
-    for a, b, c in edges:
-        arc(a, b, c, c)
+    for a, b, c, back in edges:
+        arc(a, b, c, back)
     while True:
         level = [-1] * (n + 2)
         level[source] = 0
@@ -286,31 +418,44 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 at[a] += 1
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(page: Page, weights: np.ndarray, kinds: dict[str, float]) -> list[bool]:
     """Whether each block is content."""
-    edges, last = [], {}
-    for k, b in enumerate(found):
+    n = len(page.blocks)
+    odds = odds_alone(page, weights) + [0.0] * len(page.boxes)
+    edges: list[tuple[int, int, float, float]] = []
+    below: dict[_Open, int] = {}
+    for k, b in enumerate(page.blocks):
         if k:
-            edges.append((k - 1, k, SMOOTH * _closeness(found[k - 1].path, b.path)))
-        up = b.path[:-1]
-        if (j := last.get(up)) is not None and j != k - 1:
-            edges.append((j, k, SMOOTH / 2))
-        last[up] = k
-    return min_cut([log_odds(b) for b in found], edges)
-
-
-def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    return " ".join(b.text for b, keep in zip(found, label(found)) if keep)
+            edges.append((k - 1, k, *[SMOOTH * _closeness(page.blocks[k - 1].owner, b.owner)] * 2))
+        if (j := below.get(b.owner.up)) is not None and j != k - 1:
+            edges.append((j, k, SMOOTH / 2, SMOOTH / 2))
+        below[b.owner.up] = k
+        if b.box >= 0:
+            edges.append((k, n + b.box, PULL, PULL))
+            odds[n + b.box] += kinds[page.boxes[b.box][0]]
+    many = Counter(b.box for b in page.blocks)
+    for i in range(len(page.boxes) - 1, -1, -1):  # containers come after those around them
+        if many[i] and (up := page.boxes[i][1]) >= 0:
+            if not many[up]:
+                odds[n + up] += kinds[page.boxes[up][0]] * many[i]
+            edges.append((n + i, n + up, PULL * many[i], 0.0))
+            many[up] += many[i]
+    return min_cut(odds, edges)[:n]
+
+
+def main_text(html: str | None, model: tuple[np.ndarray, dict[str, float]] | None = None) -> str:
+    page = Page(html or "")
+    return " ".join(b.text for b, keep in zip(page.blocks, label(page, *(model or learned()))) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     prepare(pages.sparkSession)
+    model = learned()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h.as_py()) for h in b.column(2)]
+            texts = [main_text(h.as_py(), model) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).mapInArrow(run, SCHEMA)
