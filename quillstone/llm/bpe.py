@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pre-tokens whose ids a worker remembers, and those of one slice of a text.
-REMEMBERED, SLICE = 300_000, 100_000
+#: Pre-tokens and their characters whose ids a worker remembers, and pre-tokens of one slice of a text.
+REMEMBERED, REMEMBERED_CHARS, SLICE = 300_000, 16 << 20, 100_000
 
 
 def default_ranks() -> str:
@@ -82,6 +82,7 @@ class Codec:
         self.bytes_of = {str(k): p for p, k in ranks.items()}
         self.known: dict[str, str] = {}  # a pre-token's ids
         self.text_of: dict[str, bytes] = {}  # the bytes of a pre-token's ids
+        self.chars = 0  # of the pre-tokens in known
 
     def _learn(self, tokens: set[str]) -> None:
         hard = []
@@ -108,10 +109,11 @@ class Codec:
         known = self.known
         for tokens in slices:
             if new := {t for t in tokens if t not in known}:
-                if len(known) + len(new) > REMEMBERED:
+                if len(known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
                     known.clear()
                     self.text_of.clear()
-                    new = set(tokens)
+                    self.chars, new = 0, set(tokens)
+                self.chars += sum(map(len, new))
                 self._learn(new)
             if tokens:
                 yield [known[t] for t in tokens]
