@@ -59,6 +59,30 @@ def test_exact_dedup(spark, docs, digest):
     assert all(r["doc_id"] == r["keep_id"] for r in out if r["kept"])
 
 
+def test_exact_dedup_with_hot_digests_and_full_filters(spark, docs, monkeypatch):
+    from quillstone.llm import common, exact_dedup
+
+    want = rows(exact_dedup.exact_dedup(docs).drop("path", "row", "kept"))
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert rows(exact_dedup.exact_dedup(docs).drop("path", "row", "kept")) == want
+    assert exact_dedup.without_copies(docs).count() == len({ascii_lower(d[1]) for d in DOCS})
+
+
+def test_flagged_and_join_hot(spark, monkeypatch):
+    from quillstone.llm import common
+
+    table_ = common.written(spark.range(4000).selectExpr("id % 997 as k", "id as v"), "t")
+    keys = common.written(spark.range(0, 997, 9).selectExpr("id as k"), "k")
+    out = common.flagged(table_, keys, ["k"])
+    assert out.where("k % 9 = 0 and not maybe").count() == 0
+    assert out.where("maybe").count() < 1.2 * table_.where("k % 9 = 0").count()
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    skewed = table_.selectExpr("if(v % 3 = 0, 1, k) as k", "v")
+    counted = skewed.groupBy("k").count()
+    assert rows(common.join_hot(skewed, counted, "k", "count", 4000)) == rows(skewed.join(counted, "k"))
+
+
 def test_exact_dedup_keeps_state(spark, tmp_path):
     from quillstone.llm.exact_dedup import INTAKE, DedupState
 
@@ -142,6 +166,8 @@ def test_trees_lose_no_link(spark, monkeypatch, kind):
             points.add(p)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     monkeypatch.setattr(V, "SHARD_POINTS", 60)
+    monkeypatch.setattr(V, "HOMES", 50)
+    monkeypatch.setattr(V, "ASKS", 70)
     monkeypatch.setattr(V, "PAIRS", 4096)
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     got = {r["fp"]: r["root"] for r in V.components(V.links(df, len(signed))).collect()}
@@ -216,6 +242,48 @@ def test_near_groups_are_exact_components():
     assert len(set(want)) == 4
 
 
+def drifting(rng, n):
+    """Texts that drift away from the first, and some that aren't near to anything."""
+    words, texts = [str(rng.getrandbits(30)) for _ in range(200)], []
+    for _ in range(n):
+        words = words[4:] + [str(rng.getrandbits(30)) for _ in range(4)]
+        texts.append(" ".join(words))
+    return texts + [" ".join(str(rng.getrandbits(30)) for _ in range(200)) for _ in range(3)]
+
+
+def test_near_groups_in_blocks_are_exact(spark, monkeypatch):
+    """Large groups are cut into blocks and cells; the components are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import near_copies as N
+
+    rng = random.Random(12)
+    texts = drifting(rng, 40)
+    base = [str(rng.getrandbits(30)) for _ in range(300)]
+    texts += [changed(base, rng.choice((40, 60, 90)), rng) for _ in range(30)]
+    monkeypatch.setattr(N, "MEMBERS", 3)
+    # all in one group, as the worst of bands would have it
+    monkeypatch.setattr(N, "bands", lambda hashes: [7] if len(hashes) else [])
+    monkeypatch.setattr(N, "_block", lambda blocks, salt: F.pmod(F.xxhash64("point", F.lit(salt)), blocks).cast("int"))
+    out = N.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = list(range(len(texts)))
+    for a, b in brute_near(texts):
+        want = [want[a] if r == want[b] else r for r in want]
+    first = {}
+    for i, w in enumerate(want):
+        first.setdefault(w, i)
+    assert {r["doc_id"] for r in out.collect()} == set(first.values())
+
+
+def test_near_stage_on_edges(spark, docs):
+    from quillstone.llm.near_copies import without_near_copies
+
+    clash = docs.withColumnsRenamed({"path": "__id", "digest": "point"})
+    out = without_near_copies(clash)
+    assert out.columns == clash.columns and out.count() == 7  # hello world, empty, été, long, tabs and blanks with empty, 11, 12
+    assert without_near_copies(docs.limit(0)).count() == 0
+
+
 # --- op3 ---
 
 
@@ -227,7 +295,7 @@ def test_separator_scan(spark, docs, tmp_path):
     e = S.encoder()
     want = Counter(len(e.encode(d[1] or "", disallowed_special=())) for d in DOCS)
     for block in (999, 1 << 18):
-        out = S.count_tokens(spark, path, block_tokens=block).collect()
+        out = S.count_tokens(spark, path, block_bytes=block).collect()
         assert Counter(r["n_tokens"] for r in out) == want and all(r["ended"] for r in out)
         for f in {r["file"] for r in out}:
             at = 0
@@ -236,15 +304,42 @@ def test_separator_scan(spark, docs, tmp_path):
                 at += r["n_tokens"] + 1
 
 
-def test_separator_scan_tail(spark, tmp_path):
+@pytest.mark.parametrize("separator", [0, 5, 0x0505, 0xC450])
+def test_separator_scan_in_byte_ranges(spark, tmp_path, separator):
+    """Files in ranges that don't respect ids, with odd bytes at the end, against a plain scan."""
     from quillstone.llm import separator_scan as S
 
+    rng, want = np.random.default_rng(separator), Counter()
     (tmp_path / "f").mkdir()
-    (tmp_path / "f" / "a.bin").write_bytes(np.array([5, 0, 0, 7, 8, 9], dtype="<u2").tobytes() + b"\x01")
-    (tmp_path / "f" / "b.bin").write_bytes(b"")
-    for block in (1, 2, 3, 100):
-        out = sorted(tuple(r) for r in S.count_tokens(spark, str(tmp_path / "f"), block_tokens=block).collect())
-        assert out == [("a.bin", 0, 0, 1, True), ("a.bin", 1, 2, 0, True), ("a.bin", 2, 3, 3, False)]
+    for k, (n, tail) in enumerate([(2000, b""), (1333, b"\x05"), (1, b""), (900, b"\xff"), (0, b""), (0, b"\x00"), (1500, b"\x00")]):
+        ids = rng.choice([0, 1, 5, 0x0500, 0x0505, 0xBBEF, 0xBF, 255, 256, 0xC450], size=n).astype("<u2")
+        if k == 3:
+            ids[:2] = [0xBBEF, 0x12BF]  # the bytes of a mark of byte order
+        (tmp_path / "f" / f"{k}.bin").write_bytes(ids.tobytes() + tail)
+        ends = np.flatnonzero(ids == separator)
+        starts = np.concatenate([[0], ends + 1])
+        want += Counter((f"{k}.bin", i, int(a), int(b - a), i < len(ends)) for i, (a, b) in enumerate(zip(starts, [*ends, n])) if i < len(ends) or b > a)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "301b")
+        for block in (7, 1 << 20):
+            assert Counter(tuple(r) for r in S.count_tokens(spark, str(tmp_path / "f"), separator, block).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_token_counts_of_documents(spark, docs):
+    from quillstone.llm import separator_scan as S
+    from quillstone.llm.common import written
+
+    e = S.encoder()
+    full = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for frame in (full, written(docs, "t")):
+        want = Counter((r["doc_id"], len(e.encode(r["text"] or "", disallowed_special=()))) for r in frame.collect())
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in S.token_counts(frame).collect()) == want
+    assert S.token_counts(written(docs.limit(0), "t")).count() == 0
 
 
 # --- op4, op5 against SQL over the edge cases ---
@@ -281,6 +376,23 @@ def test_line_dedup_edges(spark, docs, fixture_duck):
     assert rows(got) == rows(fixture_duck.sql(L.ORACLE["op5_line_dedup"]))
 
 
+def test_line_dedup_names_and_cool_hosts(spark, docs, fixture_duck, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import common, line_dedup as L
+
+    clash = docs.withColumnsRenamed({"path": "__n_lines", "row": "__n_lines_"})
+    assert L.drop_site_lines(clash, F.col("source")).columns == [*clash.columns, "__n_lines__", "__n_dropped"]
+    assert L.drop_site_lines(docs.limit(0), F.col("source")).count() == 0
+    data = [(i, f"h{i % 3}" if i else None, f"own {i}\nmenu {i % 3}\nrare {i % 7}") for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, host string, text string")
+    want = rows(L.drop_site_lines(frame, F.col("host")))
+    assert sum("menu" not in r[-1] for r in want) == 59
+    monkeypatch.setattr(L, "HOT_SHARE", 1)  # no host is hot
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    assert rows(L.drop_site_lines(frame, F.col("host"))) == want
+
+
 def test_line_dedup_drops_boilerplate(spark):
     from pyspark.sql import functions as F
 
@@ -350,7 +462,37 @@ def test_bundle_is_the_sum_of_bound_letters():
         letters.append(0)
     want = sum(v[0][a].astype(int) * v[1][b] * v[2][c] for a, b, c in zip(letters, letters[1:], letters[2:]))
     assert np.array_equal(L.bundle([text])[0], want)
-    assert np.allclose(L.bundle([LONG])[0], L.bundle([LONG[: 1 << 20], LONG[1 << 20 :]]).sum(axis=0), atol=4) if len(LONG) > 1 << 20 else True
+
+
+def test_slices_of_long_texts_do_not_show(monkeypatch):
+    from quillstone.llm import langid as L
+
+    rng = random.Random(4)
+    texts = ["", " ", "a", "12", "ab 1 cd", "ΟΔΟΣ ΣΑΣ x", *("".join(rng.choice("abc XÉß 19.\n語") for _ in range(n)) for n in (5, 17, 64, 200))]
+    want = [L.gram_counts(t) for t in texts]
+    for size in (1, 2, 3, 5, 16):
+        monkeypatch.setattr(L, "BLOCK_CHARS", size)
+        for t, (grams, counts) in zip(texts, want):
+            got = L.gram_counts(t)
+            assert np.array_equal(got[0], grams) and np.array_equal(got[1], counts)
+
+
+def test_language_stage_passes_its_prediction_on(spark):
+    from quillstone.llm import langid as L
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in d.collect()}
+    out = L.with_language(d.selectExpr("doc_id", "text", "if(crc32(cast(doc_id as string)) % 5 = 0, null, lang) as lang"), 0.13).collect()
+    held = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 100 and sum(r["lang"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
+
+
+def test_learning_is_bounded(spark, monkeypatch):
+    from quillstone.llm import langid as L
+
+    d = spark.createDataFrame([("one two three", "a"), ("one two", "a"), ("vier funf", "b"), ("x y", "c")], "text string, lang string")
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    assert sorted(L.learn(d)) == ["a", "b"]
 
 
 # --- op7 ---
@@ -363,8 +505,8 @@ def test_min_cut_is_minimal():
     for _ in range(60):
         n = rng.randint(1, 8)
         odds = [round(rng.uniform(-3, 3), 2) for _ in range(n)]
-        edges = [(a, b, round(rng.uniform(0, 2), 2)) for a in range(n) for b in range(a) if rng.random() < 0.5]
-        cost = lambda x: sum(o if not k else 0 for o, k in zip(odds, x) if o > 0) - sum(o if k else 0 for o, k in zip(odds, x) if o < 0) + sum(c for a, b, c in edges if x[a] != x[b])  # noqa: E731,B023
+        edges = [(a, b, round(rng.uniform(0, 2), 2), rng.choice((0.0, 1.5))) for a in range(n) for b in range(a) if rng.random() < 0.5]
+        cost = lambda x: sum(o if not k else 0 for o, k in zip(odds, x) if o > 0) - sum(o if k else 0 for o, k in zip(odds, x) if o < 0) + sum(c if x[a] else back for a, b, c, back in edges if x[a] != x[b])  # noqa: E731,B023
         assert cost(min_cut(odds, edges)) == pytest.approx(min(cost(x) for x in itertools.product((False, True), repeat=n)))
 
 
@@ -383,12 +525,78 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+def test_cut_corrects_the_classifier():
+    from quillstone.llm import html_main as H
+
+    text = "<p>" + "This paragraph is long enough to look like one, with some words more. " * 5 + "</p>"
+    page = H.Page(f"<div><div><a href=1>Home</a></div><div><a href=2>News</a></div></div><div>{text}<p>Oh no</p>{text}</div><footer>{text}</footer>")
+    weights, kinds = H.learned()
+    alone, cut = [x > 0 for x in H.odds_alone(page, weights)], H.label(page, weights, kinds)
+    assert alone == [False, False, True, False, True, True]
+    assert cut == [False, False, True, True, True, False]
+
+
+def test_pages_with_known_main_text(spark):
+    import html
+    import re
+
+    from quillstone.llm import html_main as H
+
+    weights, kinds = H.learned()
+    changed_, n = 0, 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        assert H.main_text(r["html"]) == " ".join(html.unescape(re.sub("<[^>]+>", " ", article)).split())
+        page = H.Page(r["html"])
+        changed_ += sum((x > 0) != y for x, y in zip(H.odds_alone(page, weights), H.label(page, weights, kinds)))
+        n += len(page.blocks)
+    assert changed_ > 0.05 * n
+
+
+def test_classifier_on_unseen_pages(monkeypatch):
+    from quillstone.llm import html_main as H
+    from quillstone.llm import labelled_pages as L
+
+    model = H.learned()
+    monkeypatch.setattr(L, "SEED", 99)
+    right = n = 0
+    for html, content in L.pages():
+        page = H.Page(html)
+        right += sum((b.text in content) == y for b, y in zip(page.blocks, H.label(page, *model)))
+        n += len(page.blocks)
+    assert right > 0.95 * n
+
+
+@pytest.mark.parametrize("html", ['<a href="x ' * 90_000, "<!" * 500_000, "<div>" * 100_000 + "x", "<b>" * 100_000 + "<i>" * 100_000 + "</b>" * 100_000, "<div>" * 50_000 + "<li>x" * 50_000, "<p>x</div>" * 80_000, '<a " > " ' * 100_000, "<video>" * 100_000, "<" * 500_000], ids=range(9))
+def test_pages_are_read_in_linear_time(html):
+    import time
+
+    from quillstone.llm.html_main import main_text
+
+    began = time.process_time()
+    main_text(html)
+    assert time.process_time() - began < 10
+
+
+def test_unclosed_markup():
+    from quillstone.llm.html_main import main_text
+
+    body = "<p>One two three four five six seven eight nine ten eleven.</p>"
+    text = "One two three four five six seven eight nine ten eleven."
+    assert main_text(f"<article>{body}<video src=x>{body}</article>") == f"{text} {text}"
+    assert main_text(f'<article>{body}<a href="x>link</a> more{body}</article>') == f"{text} link more {text}"
+    assert main_text(f"<article>{body}<!-- {body}") == main_text(f"<article>{body}<script> {body}") == text
+
+
 def test_html_operator(spark):
     from quillstone.llm.html_main import extract
 
-    df = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", "z"), (1, "u", "<article><p>x y</p></article>", "z"), (2, None, None, None), (3, "v", "<p>" * 3000 + "deep" * 9, "")], "page_id long, url string, html string, text string")
+    deep, long = "<p>" * 3000 + "deep" * 9, "<article>" + "<p>word word word.</p>" * 30_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", "z"), (1, "u", "<article><p>x y</p></article>", "z"), (2, None, None, None), (3, "v", deep, ""), (4, "w", long, "")], "page_id long, url string, html string, text string")
     out = extract(df).collect()
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in out if r["page_id"] < 3) == {(1, "x y", 3): 2, (2, "", 0): 1}
+    assert {r["page_id"]: r["n_chars"] for r in out if r["page_id"] > 2} == {3: 36, 4: 30_000 * 16 - 1}
+    assert extract(df.limit(0)).count() == 0
 
 
 # --- op8, op10 ---
@@ -423,6 +631,7 @@ def test_bpe_operator(spark, docs):
 
     out = bpe.encode(docs, digests=True).collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == Counter((d[0], hashlib.sha256((d[1] or "").encode()).hexdigest()) for d in DOCS)
+    assert bpe.encode(docs.limit(0), digests=True).count() == 0
     back = bpe.decode(bpe.encode(docs)).collect()
     assert Counter((r["doc_id"], bytes(r["content"])) for r in back) == Counter((d[0], (d[1] or "").encode()) for d in DOCS)
 
@@ -433,8 +642,10 @@ def test_packing_tokens_are_those_of_the_library():
 
     from quillstone.llm.packing import default_ranks, token_ids
 
+    import pandas as pd
+
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for x in samples():
+    for x in [*samples(), *pd.read_parquet(f"{SF}/documents.parquet").text.fillna("")]:
         assert token_ids(x, default_ranks()).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -525,11 +736,38 @@ def test_url_rules_and_trees(spark):
     assert U.judge(df.limit(0)).count() == 0
 
 
-def test_url_trees_learn(spark):
+def test_url_trees_as_expressions_are_the_learners(spark):
     from quillstone.llm import url_trees as U
+    from quillstone.llm.common import written
 
-    out = U.judge(spark.read.parquet(f"{SF}/pages.parquet")).where("rule is not null").toPandas()
-    assert ((out.block_margin > 0) == (out.verdict == "block")).mean() > 0.85
+    urls = written(U.features(spark.read.parquet(f"{SF}/pages.parquet")), "t")
+    model = U.fit(U.labelled(urls))
+    out = model.transform(U.as_features(urls)).select("rawPrediction", "prediction", U.margin(model).alias("mine")).collect()
+    assert len(out) == 250
+    for r in out:
+        assert r["mine"] == pytest.approx(r["rawPrediction"][1], abs=1e-9) and (r["mine"] > 0) == (r["prediction"] == 1.0)
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """Better than the most frequent label on URLs of a fold that they weren't fitted to, whose labels
+    aren't in the suffix shares either; suffixes without labels have the share over all."""
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import url_trees as U
+    from quillstone.llm.common import written
+
+    urls = written(U.features(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")), "t")
+    known = U.labelled(urls)
+    held = known.where("fold = 0").withColumn("said", (U.margin(U.fit(known.where("fold != 0"))) > 0).cast("double"))
+    right, block = held.agg(F.avg((F.col("said") == F.col("label")).cast("double")), F.avg("label")).first()
+    assert right > max(block, 1 - block)
+    per_fold = {r["fold"]: r["s"] for r in known.groupBy("fold").agg(F.avg("label").alias("s")).collect()}
+    nets = urls.where("suffix = 'net'").groupBy("fold").agg(F.min("suffix_block").alias("a"), F.max("suffix_block").alias("b")).collect()
+    assert len(per_fold) == len(nets) == 5 and all(r["a"] == r["b"] and 0 < r["a"] < 0.5 for r in nets)
+    row = known.where("suffix = 'com'").first()
+    others = known.where("suffix = 'com'").where(F.col("fold") != row["fold"]).agg(F.sum("label"), F.count("label")).first()
+    all_others = known.where(F.col("fold") != row["fold"]).agg(F.sum("label"), F.count("label")).first()
+    assert row["suffix_block"] == pytest.approx((others[0] + U.PRIOR * (all_others[0] + 1) / (all_others[1] + 2)) / (others[1] + U.PRIOR))
 
 
 # --- the pipeline and the registry ---
@@ -554,9 +792,21 @@ def test_pipeline(spark, docs):
     for _, stage in C.STAGES[:-1]:
         near = written(stage(spark, near, SF), "t")
     kept = {r["doc_id"]: r["text"] for r in near.collect()}
-    fps = {i: brute_fingerprint(t) for i, t in kept.items()}
     assert len({ascii_lower(t) for t in kept.values()}) == len(kept)
-    assert all((a ^ b).bit_count() > 3 for a, b in itertools.combinations(sorted(fps.values()), 2))
+    assert not brute_near(list(kept.values()))
+    empty = docs.limit(0)
+    for _, stage in C.STAGES:
+        empty = written(stage(spark, empty, ""), "t")
+    assert empty.count() == 0
+
+
+def test_near_duplicates_of_an_empty_table_and_a_long_text(spark, docs):
+    from quillstone.llm.exact_dedup import exact_dedup
+    from quillstone.llm.simhash_vp import near_duplicates
+
+    assert near_duplicates(docs.limit(0)).count() == exact_dedup(docs.limit(0)).count() == 0
+    out = {r["doc_id"]: int(r["fingerprint"], 16) for r in near_duplicates(docs.where("doc_id in (8, 9, 11)")).collect()}
+    assert out[8] == out[9] == brute_fingerprint(LONG) and out[11] == brute_fingerprint(DOCS[13][1])
 
 
 def test_registered():
