@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm.common import table, written
+from quillstone.llm.common import scratch, table, written
 from quillstone.llm.exact_dedup import without_copies
 from quillstone.llm.langid import with_language
 from quillstone.llm.near_copies import without_near_copies
@@ -51,5 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as made:  # what the stage wrote on its way goes, and so does its input
+            out = written(stage(spark, docs, sf_dir), f"pipeline-{name}", instead_of=docs)
+            made.remove(out.written_to)
+        docs = out
     return docs
