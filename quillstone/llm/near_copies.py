@@ -12,8 +12,9 @@ Groups with the same members are verified once. A group of more than MEMBERS poi
 is cut into blocks by hash, so no task holds a group; each block is verified alone, and where a
 group's points are not in one component after that (its blocks differ from band to band, so copies
 nearly always are), every point outside its largest component is held against all of the group, in
-cells of two blocks. No pair of a group stays untested unless it is in one component already, so
-nothing is lost. In a block, a point is held against all others unless what is left is one component,
+cells of two blocks; groups with the same largest component are one for that, as the bands of one
+large group mostly have the same points. No pair of a group stays untested unless it is in one
+component already, so nothing is lost. In a block, a point is held against all others unless what is left is one component,
 so copies cost a pass and no pairs. Components are closed over all groups by alternating stars.
 
 Edge cases: a null text is empty; texts without words are copies of each other; fewer words than a
@@ -171,11 +172,12 @@ def candidates(points: DataFrame) -> DataFrame:
     members = F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(1))).alias("y")
     groups = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), *members).where("n > 1")
     keys = written(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.first("total").alias("total")).select("key", "n", "total"), "near-keys")
-    return written(join_hot(postings.drop("size"), keys, "key", "n", postings.count()), "near-candidates")
+    return written(join_hot(postings, keys, "key", "n", postings.count()), "near-candidates")
 
 
 def links(texts: DataFrame, points: DataFrame) -> DataFrame:
-    """Links (a, b) between points, of a forest or more; texts: text, path and row; points as _sketch has them, with best."""
+    """Links (a, b) between points that make the components of all similar pairs; texts: text, path and
+    row; points as _sketch has them, with best."""
     asked = candidates(points)
     where = written(asked.select("point").distinct().join(points, "point").select("point", "best.path", "best.row"), "near-where")
     wanted = flagged(texts, where, ["path", "row"]).where("maybe").join(where, ["path", "row"])
@@ -188,24 +190,29 @@ def links(texts: DataFrame, points: DataFrame) -> DataFrame:
     if not large.limit(1).count():
         return found
     labels = components(found).select(F.col("fp").alias("point"), "root")
+    stars = labels.select(F.col("root").alias("a"), F.col("point").alias("b"))
     large = written(large.join(labels, "point", "left").withColumn("root", F.coalesce("root", "point")), "near-large")
-    per_root = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("total").alias("total"))
-    apart = per_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("giant"), (F.max("n") - F.max("k")).alias("rest"), F.max("n").alias("n"), F.max("total").alias("total")).where("rest > 0")
-    apart = written(apart, "near-apart")
+    per_root = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    apart = per_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("giant"), F.max("n").alias("n"), F.max("k").alias("k")).where("n > k")
+    apart = written(apart.select("key", "giant", "n"), "near-apart")
     if not apart.limit(1).count():
-        return found
-    members = join_hot(large.select("point", "root", "key"), apart, "key", "n", large.count())
+        return stars
+    members = join_hot(large.select("point", "root", "size", "key"), apart, "key", "n", large.count())
+    members = written(members.select("point", "root", "size", "giant").distinct(), "near-members")
+    outside = F.col("root") != F.col("giant")
+    sums = members.groupBy("giant").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.count_if(outside).alias("rest"), F.coalesce(F.sum(F.when(outside, F.col("size"))), F.lit(0)).alias("rest_total"))
+    members = join_hot(members, sums, "giant", "n", members.count()).withColumn("key", F.xxhash64("giant"))
     asks = F.col("root") != F.col("giant")
-    ra = _blocks(F.col("rest"), F.col("total") * F.col("rest") / F.col("n"))
+    ra = _blocks(F.col("rest"), F.col("rest_total"))
     ta = _blocks(F.col("n"), F.col("total"))
     own_r, own_t = _block(ra, 1), _block(ta, 2)
     cell = lambda x, y: F.struct(x.alias("r"), y.alias("t"))
     as_asking = F.when(asks, F.transform(F.sequence(F.lit(0), ta - 1), lambda y: cell(own_r, y))).otherwise(F.array().cast("array<struct<r:int,t:int>>"))
     as_target = F.transform(F.sequence(F.lit(0), ra - 1), lambda x: cell(x, own_t))
-    cells = members.select("key", "point", "root", asks.alias("asks"), own_r.alias("own_r"), F.explode(F.array_distinct(F.concat(as_asking, as_target))).alias("c"))
-    cells = cells.select("key", "c.r", "c.t", "point", "root", (F.col("asks") & (F.col("c.r") == F.col("own_r"))).alias("asks"))
-    more = cells.join(sets, "point").groupBy("key", "r", "t").applyInArrow(_in_cell, pair)
-    return found.unionByName(written(more, "near-links"))
+    cells = members.select("key", "giant", "point", "root", asks.alias("asks"), own_r.alias("own_r"), F.explode(F.array_distinct(F.concat(as_asking, as_target))).alias("c"))
+    cells = cells.select("giant", "c.r", "c.t", "point", "root", (F.col("asks") & (F.col("c.r") == F.col("own_r"))).alias("asks"))
+    more = cells.join(sets, "point").groupBy("giant", "r", "t").applyInArrow(_in_cell, pair)
+    return stars.unionByName(written(more, "near-links"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
