@@ -34,9 +34,9 @@ SHINGLE, SEED, BITS = 3, 42, 3
 HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Points that a shard should hold; fingerprints that the trees' tops are fitted to, at most.
-SHARD_POINTS, SAMPLE = 20_000, 200_000
+SHARD_POINTS, SAMPLE = 10_000, 200_000
 #: Points of a cell that live there, and that ask.
-HOMES, ASKS = 8192, 16_384
+HOMES, ASKS = 16_384, 32_768
 #: Pairs that are compared at once, and vantage points tried at a node.
 PAIRS, TRIED = 1 << 20, 8
 #: Sample points of a shard, at least, so a tree has at most SAMPLE / LEAST shards.
