@@ -3,47 +3,84 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_DECODER, _BLANK = json.JSONDecoder(), re.compile(r"[\s,:]*")
+
+
+def _read(text: str, at: int) -> tuple[object, int | None]:
+    """The value at a place and where it ends, None if the text ends first: then what there is of it."""
+    try:
+        return _DECODER.raw_decode(text, at)
+    except ValueError:
+        pass
+    of_pairs = text.startswith("{", at)
+    if not of_pairs and not text.startswith("[", at):
+        raise ValueError("neither a value nor the start of one")
+    out: list = []
+    at += 1
+    try:
+        while True:
+            at = _BLANK.match(text, at).end()
+            name = None
+            if of_pairs:
+                name, at = _DECODER.raw_decode(text, at)
+                at = _BLANK.match(text, at).end()
+            value, end = _read(text, at)
+            out.append((name, value, end is not None))
+            if end is None:
+                break
+            at = end
+    except (ValueError, RecursionError):
+        pass
+    return _Cut(of_pairs, out), None
+
+
+class _Cut:
+    """What there is of an object or array that is cut off: (name, value, whether it is whole)."""
+
+    def __init__(self, of_pairs: bool, parts: list):
+        self.of_pairs, self.parts = of_pairs, parts
+
+
+def _parts(value) -> tuple[bool, list]:
+    if isinstance(value, _Cut):
+        return value.of_pairs, value.parts
+    if isinstance(value, dict):
+        return True, [(k, v, True) for k, v in value.items()]
+    return False, [(None, v, True) for v in value] if isinstance(value, list) else []
+
+
+def _up_to_last_element(value):
+    """The value up to its last whole object or array that is an element of an array; None without one."""
+    of_pairs, parts = _parts(value)
+    for k in range(len(parts) - 1, -1, -1):
+        name, part, whole = parts[k]
+        element = not of_pairs and whole and isinstance(part, (dict, list))
+        kept = part if element else _up_to_last_element(part)
+        if element or kept is not None:
+            before = parts[:k]
+            return {n: v for n, v, _ in before} | {name: kept} if of_pairs else [*[v for _, v, _ in before], kept]
+    return None
+
+
 def salvage(text: str | None) -> str | None:
-    """The longest valid JSON that a cut-off answer holds: up to its last complete array element."""
-    if not text:
-        return None
-    body = text.strip()
+    """The JSON of an answer, whole or, if it is cut off, up to its last whole array element."""
+    body = (text or "").strip()
     if body.startswith("```"):
         body = body.split("\n", 1)[-1].rsplit("```", 1)[0]
     at = body.find("{")
     if at < 0:
         return None
-    body = body[at:]
-    try:
-        obj, _ = json.JSONDecoder().raw_decode(body)
-        return json.dumps(obj, ensure_ascii=False, sort_keys=True)
-    except ValueError:
-        pass
-    stack: list[str] = []
-    good, inside, escaped = None, False, False
-    for k, c in enumerate(body):
-        if inside:
-            inside, escaped = (c != '"' or escaped), c == "\\" and not escaped
-        elif c == '"':
-            inside = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            if stack and stack[-1] == "]":
-                good = (k + 1, "".join(reversed(stack)))
-    if good is None:
-        return None
-    try:
-        return json.dumps(json.loads(body[: good[0]] + good[1]), ensure_ascii=False, sort_keys=True)
-    except ValueError:
-        return None
+    value, end = _read(body, at)
+    if end is None:
+        value = _up_to_last_element(value)
+    return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def salvaged(text: Column) -> Column:
