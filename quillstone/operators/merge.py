@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import acronym_split, source_norm, title_norm
 from quillstone.operators.resolve import components
-from quillstone.operators.similar import sequence_similarity
+from quillstone.operators.similar import similarity
 
 
 def keys(concepts: DataFrame) -> DataFrame:
@@ -17,19 +18,37 @@ def keys(concepts: DataFrame) -> DataFrame:
     return concepts.select("uid", "definition", F.explode(parts).alias("key"))
 
 
+def alike_pairs(keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b) of concepts that share a key and have alike definitions: each, in order of uid, is compared
+    with those of its key that were like no earlier one, and goes to the first that it is like.
+
+    keyed: key, uid, definition. A group is one acronym's concepts; those it keeps apart are few."""
+    rows = keyed.select("key", "uid", source_norm("definition").alias("norm"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaders, out = [], []
+        for uid, norm in sorted(zip(pdf["uid"], pdf["norm"])):
+            to = next((u for u, n in leaders if similarity(n, norm) >= least), None)
+            if to is None:
+                leaders.append((uid, norm))
+            else:
+                out.append((to, uid))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("key").applyInPandas(step, "a string, b string")
+
+
 def matched(concepts: DataFrame, least: float = 0.62) -> DataFrame:
     """uid and canonical uid of concepts of all documents: those that share a title key are one; an
-    acronym joins two only if their definitions are alike. A key's concepts are compared with its
-    first one, so no key makes pairs among all its concepts.
+    acronym joins two only if their definitions are alike.
 
     concepts: uid (sorts by document, then place), title, definition.
     """
     k = keys(concepts)
-    first = k.groupBy("key").agg(F.min(F.struct("uid", "definition")).alias("f"))
-    pairs = k.join(first, "key").select("key", F.col("f.uid").alias("a"), F.col("uid").alias("b"), F.col("f.definition").alias("da"), "definition").where("a != b")
-    titles = pairs.where(~F.col("key").startswith("@")).select("a", "b")
-    alike = pairs.where(F.col("key").startswith("@")).withColumn("s", sequence_similarity(F.col("da"), F.col("definition"), source_norm)).where(F.col("s") >= least).select("a", "b")
-    found = components(titles.unionByName(alike).distinct())
+    is_acronym = F.col("key").startswith("@")
+    first = k.where(~is_acronym).groupBy("key").agg(F.min("uid").alias("a"))
+    titles = k.where(~is_acronym).join(first, "key").where("a != uid").select("a", F.col("uid").alias("b"))
+    found = components(titles.unionByName(alike_pairs(k.where(is_acronym), least)).distinct())
     return concepts.select("uid").join(found.select(F.col("node").alias("uid"), F.col("component").alias("canonical")), "uid", "left").withColumn("canonical", F.coalesce("canonical", "uid"))
 
 

@@ -12,13 +12,15 @@ from quillstone.functions.text import stable_id, title_norm, title_tokens
 from quillstone.operators.segment import fold
 
 
-def _ratios(a, b):
-    def one(x, y):
-        if not x or not y:
-            return 0.0
-        return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+def similarity(x: str | None, y: str | None) -> float:
+    """Ratcliff-Obershelp similarity of two normalised texts: 0 if either is empty, 1 if equal."""
+    if not x or not y:
+        return 0.0
+    return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+def _ratios(a, b):
+    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def sequence_similarity(a: Column, b: Column, norm) -> Column:
