@@ -139,7 +139,7 @@ def repertoire_pool(repertoires: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def neighbour_pool(edges: DataFrame, pool: DataFrame, concepts: DataFrame, size: int = 6, quota: int = 3) -> DataFrame:
-    """Distractors from graph neighbours, each neighbour used by the first quota concepts only."""
+    """Distractors from graph neighbours (their definitions), each neighbour used by the first quota concepts only."""
     seq = concepts.select("concept_id", "seq")
     both = edges.select("from_concept_id", "to_concept_id").unionByName(edges.select(F.col("to_concept_id").alias("from_concept_id"), F.col("from_concept_id").alias("to_concept_id"))).distinct()
     both = both.toDF("concept_id", "other_id").where("concept_id != other_id").join(seq, "concept_id")
@@ -147,8 +147,9 @@ def neighbour_pool(edges: DataFrame, pool: DataFrame, concepts: DataFrame, size:
     used = F.row_number().over(Window.partitionBy("other_id").orderBy("seq"))
     out = both.withColumn("used", used).where(F.col("used") <= quota).join(n, "concept_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     k = F.row_number().over(Window.partitionBy("concept_id").orderBy("other_id"))
-    out = out.withColumn("k", k).where(F.col("k") + F.col("have") <= size)
-    return out.select("concept_id", stable_id("n", F.col("concept_id"), F.col("other_id")).alias("distractor_id"), F.lit(0.6).alias("plausibility"), F.lit("vecino").alias("origin"), F.col("other_id").alias("text"))
+    texts = concepts.select(F.col("concept_id").alias("other_id"), F.col("definition").alias("text"))
+    out = out.withColumn("k", k).where(F.col("k") + F.col("have") <= size).join(texts, "other_id")
+    return out.select("concept_id", stable_id("n", F.col("concept_id"), F.col("other_id")).alias("distractor_id"), F.lit(0.6).alias("plausibility"), F.lit("vecino").alias("origin"), "text")
 
 
 def effective_options(pool: DataFrame) -> DataFrame:

@@ -49,11 +49,16 @@ def keyed(edges: DataFrame) -> DataFrame:
     })
 
 
-def merged(edges: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One edge per pair and type: the most confident, raised by 0.1 for each repetition, and times."""
-    one = keyed(edges).groupBy(*keys, "a", "b", "relation_type").agg(F.max("confidence").alias("top"), F.count(F.lit(1)).alias("times"))
+def merged(edges: DataFrame, keys: tuple[str, ...] = ("doc_id",), winner: tuple[str, ...] = ()) -> DataFrame:
+    """One edge per pair and type: the most confident (the first by doc_id and seq of equals), raised by 0.1
+    for each repetition, times, and the columns in `winner` (description, evidence, place) of that one."""
+    aggs = [F.max("confidence").alias("top"), F.count(F.lit(1)).alias("times")]
+    if winner:
+        place = [F.col(c) for c in ("doc_id", "seq") if c in edges.columns]
+        aggs.append(F.min_by(F.struct(*winner), F.struct((-F.col("confidence")).alias("c"), *place)).alias("w"))
+    one = keyed(edges).groupBy(*keys, "a", "b", "relation_type").agg(*aggs)
     raised = F.when(F.col("times") > 1, F.least(F.lit(1.0), F.col("top") + 0.1 * (F.col("times") - 1))).otherwise(F.col("top"))
-    return one.select(*keys, "a", "b", "relation_type", F.round(raised, 4).alias("confidence"), "times")
+    return one.select(*keys, "a", "b", "relation_type", F.round(raised, 4).alias("confidence"), "times", *[F.col(f"w.{c}").alias(c) for c in winner])
 
 
 def settled(edges: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -117,15 +122,14 @@ def unordered(pairs: DataFrame, a: str, b: str, concepts: DataFrame) -> DataFram
     return pairs.join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi")
 
 
-def co_occurrences(mentions: DataFrame, max_per_paragraph: int = 8, min_shared: int = 2, top: int = 300) -> DataFrame:
+def co_occurrences(mentions: DataFrame, total: DataFrame, max_per_paragraph: int = 8, min_shared: int = 2, top: int = 300) -> DataFrame:
     """Pairs that share paragraphs: a, b, shared, strength; the strongest first.
 
-    mentions: distinct (par, concept_id). Paragraphs with more than max_per_paragraph concepts give
+    mentions: distinct (par, concept_id); total: one row, pars (all paragraphs). Paragraphs with more than max_per_paragraph concepts give
     no pairs but count as appearances, so a paragraph gives 28 pairs at most.
     """
     mentions = mentions.withColumn("n_in", F.count(F.lit(1)).over(Window.partitionBy("par")))
     seen = mentions.groupBy("concept_id").agg(F.count(F.lit(1)).alias("seen"))
-    total = mentions.agg(F.count_distinct("par").alias("pars"))
     few = mentions.where(F.col("n_in") <= max_per_paragraph)
     pairs = few.select("par", F.col("concept_id").alias("a")).join(few.select("par", F.col("concept_id").alias("b")), "par").where("a < b")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import source_norm
+
 # Section patterns in order of precedence, and the sections of each layer in order of preference.
 PATTERNS = (
     ("backmatter", r"referenc|bibliograf|apéndic|apendic|appendix|acknowledg|agradecim|anexo|funding|conflict of interest|declaration"),
@@ -120,50 +122,87 @@ def routed(segments: DataFrame, layer: str) -> DataFrame:
 
 
 def budgeted(segments: DataFrame, budget: int) -> DataFrame:
-    """Greedy choice in order of seq within a budget of characters: what doesn't fit is passed over.
+    """Greedy choice in order of (rank, seq) within a budget of characters: what doesn't fit is passed over.
 
-    segments: doc_id, seq, chars. Returns doc_id, seq, truncated (whether the document lost any)."""
+    segments: doc_id, seq, rank, chars. Returns doc_id, seq, truncated (whether the document lost any)."""
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "seq"))
+    rows = segments.select("doc_id", F.col("seq").alias("own"), "chars", order.cast("long").alias("seq"))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, chosen, lost = 0, [], False
-        for seq, chars in zip(pdf["seq"], pdf["chars"]):
-            if chosen and used + chars > budget:
-                lost = True
-                continue
-            chosen.append(seq)
-            used += chars
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "seq": chosen, "truncated": lost})
+        left, taken = budget, []
+        for chars in pdf["chars"]:
+            fits = chars <= left or not any(taken)
+            left -= chars if fits else 0
+            taken.append(fits)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "seq": pdf["own"], "truncated": not all(taken)})[taken]
 
-    return fold(segments, "doc_id", step, "doc_id long, seq long, truncated boolean")
+    return fold(rows, "doc_id", step, "doc_id long, seq long, truncated boolean")
 
 
 def positional(segments: DataFrame, layer: str) -> DataFrame:
-    """A layer's share of each document by place; repertoires also take the last quarter."""
+    """A layer's share of each document by place, all of it if the share is empty; repertoires also take
+    the last quarter of documents of more than three segments."""
     lo, hi = SPANS[layer]
     w = Window.partitionBy("doc_id")
     n = F.count(F.lit(1)).over(w)
     k = F.row_number().over(w.orderBy("seq")) - 1
-    inside = (k >= F.floor(n * lo)) & (k < F.greatest(F.floor(n * lo) + 1, F.ceil(n * hi)))
+    first, end = F.floor(n * lo), F.greatest(F.floor(n * hi), F.lit(1))
+    inside = (k >= first) & (k < end) | (first >= end)
     if layer == "repertoires":
-        inside |= k >= F.floor(n * 0.75)
+        inside |= (n > 3) & (k >= n - F.greatest(F.floor(n / 4), F.lit(1)))
     return segments.withColumn("inside", inside).where("inside").drop("inside")
 
 
+def selected(segments: DataFrame, layer: str, budget: int, least: int = 1500) -> DataFrame:
+    """The segments that a layer reads: those of its sections by preference, or its share by place of
+    documents where they have fewer than `least` characters, within the budget.
+
+    segments: doc_id, seq, kind, chars."""
+    by_section = routed(segments, layer)
+    enough = by_section.groupBy("doc_id").agg(F.sum("chars").alias("total")).where(F.col("total") >= least).select("doc_id")
+    by_place = positional(segments, layer).join(enough, "doc_id", "left_anti").withColumn("rank", F.lit(0))
+    cols = ["doc_id", "seq", "rank", "chars"]
+    return budgeted(by_section.join(enough, "doc_id", "left_semi").select(*cols).unionByName(by_place.select(*cols)), budget)
+
+
 def section_report(segments: DataFrame) -> DataFrame:
     return segments.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
+def surface_forms(concepts: DataFrame, least: int = 3) -> DataFrame:
+    """concept_id and its normalised forms: title, title without a trailing parenthesis, what is in it.
+
+    concepts: concept_id, title."""
+    base, inner = F.regexp_replace("title", r"\s*\([^)]*\)\s*$", ""), F.regexp_extract("title", r"\(([^)]{2,10})\)\s*$", 1)
+    each = concepts.select("concept_id", F.explode(F.array("title", base, inner)).alias("form"))
+    return each.select("concept_id", source_norm("form").alias("form")).where(F.length("form") >= least).distinct()
+
+
+def mentions(texts: DataFrame, forms: DataFrame, keys: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
+    """keys and concept_id of every form that a text holds as whole words.
+
+    Texts give their word n-grams of the lengths that forms have, so forms are found by an equi-join,
+    not by a product. texts: keys, norm; forms: concept_id, form. Lengths of forms are few; they alone
+    are collected."""
+    size = F.size(F.split("form", " "))
+    lengths = sorted(r[0] for r in forms.select(size.alias("n")).distinct().collect())
+    words = F.split("norm", " ")
+    of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
+    grams = [F.coalesce(of(n), F.array().cast("array<string>")) for n in lengths] or [F.array().cast("array<string>")]
+    each = texts.select(*keys, words.alias("w")).select(*keys, F.explode(F.array_distinct(F.concat(*grams))).alias("form"))
+    return each.join(forms, "form").select(*keys, "concept_id").distinct()
+
+
 def mentioning(segments: DataFrame, forms: DataFrame, budget: int) -> DataFrame:
-    """Segments that hold one of the forms as whole words, up to a budget of characters a document.
+    """Segments that hold one of the forms as whole words, up to a budget of characters a document: the
+    first that doesn't fit ends the document's choice, but one is always taken.
 
-    segments: doc_id, seq, norm, chars; forms: form (normalised, of single words here: an equi-join
-    on words instead of a product)."""
-    words = segments.select("doc_id", "seq", F.explode(F.array_distinct(F.split("norm", " "))).alias("form"))
-    hit = words.join(forms, "form", "left_semi").select("doc_id", "seq").distinct()
+    segments: doc_id, seq, norm, chars; forms: concept_id, form (normalised)."""
+    hit = mentions(segments, forms).select("doc_id", "seq").distinct()
     found = segments.join(hit, ["doc_id", "seq"], "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    before = F.coalesce(F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("chars") <= budget)).select("doc_id", "seq", "chars")
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    kept = found.withColumn("used", F.sum("chars").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
+    return kept.where((F.col("k") == 1) | (F.col("used") <= budget)).select("doc_id", "seq", "chars")
 
 
 def batches(rows: DataFrame, size: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

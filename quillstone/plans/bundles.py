@@ -100,11 +100,11 @@ def co8(v):
     return r.withColumn("mine", own).join(u.select("cluster_id", "unit", F.col("c.difficulty").alias("d")), ["cluster_id", "unit"]).select("concept_id", K.concept_difficulty(F.col("d"), F.col("mine")).alias("difficulty"))
 
 
-POOL = f""", ds as (select distinct x.concept_id, 'c'||cast(x.seq % 50 as string) as other_id from v_concepts x where x.seq % 4 = 0), pd as (select ds.concept_id, {SID('d', 'ds.concept_id', 'other_id')} as distractor_id, 0.9::double as plausibility, 'distincion' as origin from ds join v_concepts o on o.concept_id = other_id where ds.concept_id <> other_id),
-pr as (select concept_id, {SID('r', 'repertoire_id')} as distractor_id, 0.95::double as plausibility, 'repertorio' as origin from v_repertoires where concept_id in (select concept_id from v_concepts)), p0 as (select * from pd union all select * from pr),
+POOL = f""", ds as (select distinct x.concept_id, 'c'||cast(x.seq % 50 as string) as other_id from v_concepts x where x.seq % 4 = 0), pd as (select ds.concept_id, {SID('d', 'ds.concept_id', 'other_id')} as distractor_id, 0.9::double as plausibility, 'distincion' as origin, o.definition as text from ds join v_concepts o on o.concept_id = other_id where ds.concept_id <> other_id),
+pr as (select concept_id, {SID('r', 'repertoire_id')} as distractor_id, 0.95::double as plausibility, 'repertorio' as origin, label as text from v_repertoires where concept_id in (select concept_id from v_concepts)), p0 as (select * from pd union all select * from pr),
 nb as (select distinct * from (select f as concept_id, t as other_id from eg union all select t, f from eg)), us as (select nb.*, row_number() over (partition by other_id order by seq) as used from nb join v_concepts using (concept_id)),
 nk as (select us.*, coalesce(h.n, 0) as have, row_number() over (partition by us.concept_id order by other_id) as k from us left join (select concept_id, count(*) as n from p0 group by all) h using (concept_id) where used <= 3),
-pn as (select concept_id, {SID('n', 'concept_id', 'other_id')} as distractor_id, 0.6::double as plausibility, 'vecino' as origin from nk where k + have <= 6), pool as (select * from p0 union all select * from pn)"""
+pn as (select nk.concept_id, {SID('n', 'nk.concept_id', 'other_id')} as distractor_id, 0.6::double as plausibility, 'vecino' as origin, o.definition as text from nk join v_concepts o on o.concept_id = other_id where k + have <= 6), pool as (select * from p0 union all select * from pn)"""
 
 
 def pools(v):
@@ -116,17 +116,17 @@ def pools(v):
 
 @page("co9_distinction_pool", POOL + " select * from pd", "v_repertoires")
 def co9(v):
-    return pools(v)[0].where("origin = 'distincion'").drop("text")
+    return pools(v)[0].where("origin = 'distincion'")
 
 
 @page("co10_repertoire_pool", POOL + " select * from pr", "v_repertoires")
 def co10(v):
-    return pools(v)[0].where("origin = 'repertorio'").drop("text")
+    return pools(v)[0].where("origin = 'repertorio'")
 
 
 @page("co11_neighbour_pool", POOL + " select * from pn", "v_repertoires")
 def co11(v):
-    return pools(v)[1].where("origin = 'vecino'").drop("text")
+    return pools(v)[1].where("origin = 'vecino'")
 
 
 @page("co12_effective_options", POOL + " select concept_id, count(*) as n, round(1 + sum(cast(round(plausibility*100) as bigint))::bigint / 100, 2) as n_effective from pool group by all", "v_repertoires")

@@ -87,9 +87,10 @@ def va12(v):
     return v("v_scenarios").join(v("v_cases").select(F.col("case_id").alias("parent_case_id")), "parent_case_id", "left_semi").select("scenario_id")
 
 
-@book.page("va13_clusters", "v_concepts", "select cluster_id, count(*) as n from v_concepts where seq % 3 <> 0 group by all having count(*) >= 2")
+@book.page("va13_clusters", "v_theses v_concepts", "select framework_id as cluster_id, count(*) as n from v_theses where concept_id in (select concept_id from v_concepts) group by all having count(*) >= 2")
 def va13(v):
-    return v("v_concepts").where("seq % 3 != 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    known = v("v_theses").join(v("v_concepts").select("concept_id"), "concept_id", "left_semi")
+    return known.groupBy(F.col("framework_id").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 @book.page("va14_totals", "v_concepts v_relations_raw", """select (select count(*) from v_concepts) as n_concepts, (select count(*) from v_relations_raw) as n_relations,
@@ -109,9 +110,9 @@ amb as (select a, count(distinct b) as n_bases from p where a is not null group
 k as (select concept_id, unnest(list_distinct([t, b])) as key from p union all select concept_id, '@'||a from p where a is not null and a not in (select a from amb))"""
 
 
-def titled(v):
+def titled(v, acronym=lambda t: F.upper(F.substring(t, 1, 3))):
     t = F.col("title")
-    head = F.upper(F.substring(t, 1, 3))
+    head = acronym(t)
     return v("v_concepts").withColumn("title", F.when(F.col("seq") % 6 == 0, F.concat(t, F.lit(" ("), head, F.lit(")"))).when(F.col("seq") % 6 == 1, head).otherwise(t))
 
 
@@ -183,10 +184,15 @@ ORACLE["ca8_merged_concepts"] = component_oracle(_MERGED + """ select arg_min(co
  max(importance) as importance, bool_or(is_gateway) as is_gateway, bool_or(is_threshold) as is_threshold from x3 group by component""")
 
 
-@book.page("ca10_acronym_candidates", "v_concepts", f"""with {PARTS}, kk as (select concept_id, a as key from p where a is not null union select concept_id, lower(trim(title)) from p where not contains(trim(title), ' ') and length(trim(title)) <= 8)
+#: Acronyms that few titles share, so that groups stay within 2 to 6 on tables of any size.
+RARE = "upper(substr(title, 1, 3))||cast(seq // 6 % 997 as varchar)"
+
+
+@book.page("ca10_acronym_candidates", "v_concepts", f"""with {PARTS.replace('upper(substr(title, 1, 3))', RARE)}, kk as (select concept_id, a as key from p where a is not null union select concept_id, lower(trim(title)) from p where not contains(trim(title), ' ') and length(trim(title)) <= 8)
 select distinct members, n from (select string_agg(distinct concept_id, ',' order by concept_id) as members, count(distinct concept_id)::int as n from kk group by key having count(distinct concept_id) between 2 and 6)""")
 def ca10(v):
-    return E.acronym_candidates(titled(v)).select(F.array_join("members", ",").alias("members"), "n")
+    rare = lambda t: F.concat(F.upper(F.substring(t, 1, 3)), (F.floor(F.col("seq") / 6) % 997).cast("string"))
+    return E.acronym_candidates(titled(v, rare)).select(F.array_join("members", ",").alias("members"), "n")
 
 
 @book.page("ca11_token_candidates", "v_concepts", f"""with tk as (select distinct concept_id, unnest(string_split({NORM("title||' '||cluster_id||cast(seq % 37 as string)||'x'")}, ' ')) as token from v_concepts)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import source_norm
 from quillstone.operators import relations as R
+from quillstone.operators import segment as S
+from quillstone.plans import texts
 from quillstone.plans.book import Book
 
 book = Book()
@@ -70,9 +72,9 @@ def rg2(v):
     return R.keyed(linked(v)).select("doc_id", "seq", "a", "b")
 
 
-@page("rg3_merged_edges", " select * from mrg")
+@page("rg3_merged_edges", ", wn as (select a, b, relation_type, arg_min((doc_id, seq), (-confidence, doc_id, seq)) as w from kyd group by all) select mrg.*, w[1] as doc_id, w[2] as seq from mrg join wn using (a, b, relation_type)")
 def rg3(v):
-    return merged(v)
+    return R.merged(linked(v), (), ("doc_id", "seq"))
 
 
 @page("rg4_settled_edges", " select * from stl")
@@ -115,19 +117,15 @@ def rg16(v):
     return R.unordered(pairs, "concept_id", "o", v("v_concepts"))
 
 
-#: Mentions: a concept is in a paragraph if one of its title's words is.
-_MENTIONS = """, par as (select doc_id * 100000 + seq as par, ' '||lower(text)||' ' as t from v_segments where length(text) > 80),
- m as (select distinct par, 'c'||cast(ascii(w) % 40 as string) as concept_id from (select par, unnest(string_split(trim(t), ' ')) as w from par) where length(w) = 7)"""
-
-
-@book.page("rg13_co_occurrence", "v_segments v_concepts", "with z as (select 1)" + _MENTIONS + """, n as (select *, count(*) over (partition by par) as n_in from m), seen as (select concept_id, count(*) as seen from n group by all),
- pr as (select x.concept_id as a, y.concept_id as b, count(*) as shared from n x join n y on x.par = y.par and x.concept_id < y.concept_id where x.n_in <= 8 and y.n_in <= 8 group by all having count(*) >= 2)
- select a, b, shared, round(least(1, shared / greatest(s.seen * u.seen / (select count(distinct par) from n), 0.5::double)), 2) as strength from pr join seen s on s.concept_id = a join seen u on u.concept_id = b
+@book.page("rg13_co_occurrence", "v_segments v_quotes", f"""with {texts.TITLES}, par as (select doc_id, seq, {texts.SOURCE('text')} as norm from v_segments where length(trim(text)) > 80), pn as (select count(*) as pars from par),
+ m as (select distinct doc_id, seq, concept_id from par, (select * from fm where length(form) >= 4) f where contains(' '||norm||' ', ' '||form||' ')), n as (select *, count(*) over (partition by doc_id, seq) as n_in from m), seen as (select concept_id, count(*) as seen from n group by all),
+ pr as (select x.concept_id as a, y.concept_id as b, count(*) as shared from n x join n y on x.doc_id = y.doc_id and x.seq = y.seq and x.concept_id < y.concept_id where x.n_in <= 8 group by all having count(*) >= 2)
+ select a, b, shared, round(least(1, shared / greatest(s.seen * u.seen / (select pars from pn), 0.5::double)), 2) as strength from pr join seen s on s.concept_id = a join seen u on u.concept_id = b
  order by strength desc, shared desc, a, b limit 300""")
 def rg13(v):
-    par = v("v_segments").where(F.length("text") > 80).select((F.col("doc_id") * 100000 + F.col("seq")).alias("par"), F.explode(F.split(F.trim(F.lower("text")), " ")).alias("w"))
-    m = par.where(F.length("w") == 7).select("par", F.concat(F.lit("c"), F.ascii("w") % 40).alias("concept_id")).distinct()
-    return R.co_occurrences(m)
+    par = v("v_segments").where(F.length(F.trim("text")) > 80).select("doc_id", "seq", source_norm("text").alias("norm"))
+    m = S.mentions(par, S.surface_forms(texts.phrase_concepts(v), least=4))
+    return R.co_occurrences(m.select(F.struct("doc_id", "seq").alias("par"), "concept_id"), par.agg(F.count(F.lit(1)).alias("pars")))
 
 
 @page("rg14_described_edges", """, d as (select doc_id, l.seq, f.title||' y '||f.definition as description, lower(f.title) as fa, lower(t.title) as fb from lnk l join v_concepts f on f.concept_id = from_concept_id join v_concepts t on t.concept_id = to_concept_id)

@@ -187,13 +187,31 @@ def sg9(v):
     return S.routed(S.propagated(sections(v)), "cases").select("doc_id", "seq", "rank")
 
 
+#: Greedy choices in SQL: one step of the recursion a candidate.
+_CHOSEN = """, c0 as (select *, list_position({kinds}, kind)::int as rank, row_number() over (partition by doc_id order by seq) - 1 as k, count(*) over (partition by doc_id) as n from p),
+en as (select doc_id from c0 where rank > 0 group by all having sum(chars) >= 1500), lh as (select *, floor(n * 0.3::double) as lo, greatest(floor(n * 0.9::double), 1) as hi from c0),
+cd as (select doc_id, seq, chars, rank from c0 where rank > 0 and doc_id in (select doc_id from en) union all select doc_id, seq, chars, 0 from lh where doc_id not in (select doc_id from en) and (k >= lo and k < hi or lo >= hi)),
+od as (select *, row_number() over (partition by doc_id order by rank, seq) as o from cd),
+g(doc_id, o, seq, used, fits) as (select doc_id, o, seq, chars, true from od where o = 1 union all select od.doc_id, od.o, od.seq, case when used + chars <= 2000 then used + chars else used end, used + chars <= 2000 from g join od on od.doc_id = g.doc_id and od.o = g.o + 1)
+select doc_id, seq, truncated from (select *, bool_or(not fits) over (partition by doc_id) as truncated from g) where fits"""
+
+
 @book.page("sg10_budgeted")
 def sg10(v):
-    return S.budgeted(sections(v), 2000)
+    return S.selected(S.propagated(sections(v)), "cases", 2000)
+
+
+def _chosen_oracle() -> str:
+    from quillstone.sources.fixtures import oracle
+
+    return oracle("v_segments", SECTIONS + _CHOSEN.replace("{kinds}", str(S.ROUTES["cases"].split()))).replace("with ", "with recursive ", 1)
+
+
+ORACLE["sg10_budgeted"] = _chosen_oracle()
 
 
 @book.page("sg11_positional", "v_segments", """with k as (select doc_id, seq, row_number() over (partition by doc_id order by seq) - 1 as k, count(*) over (partition by doc_id) as n from v_segments)
- select doc_id, seq from k where (k >= 0 and k < greatest(1, ceil(n * 0.35::double))) or k >= floor(n * 0.75::double)""")
+ select doc_id, seq from k where k < greatest(1, floor(n * 0.35::double)) or (n > 3 and k >= n - greatest(1, n // 4))""")
 def sg11(v):
     return S.positional(v("v_segments"), "repertoires").select("doc_id", "seq")
 
@@ -210,13 +228,29 @@ def sg13(v):
     return S.section_report(S.propagated(sections(v)))
 
 
-@book.page("sg14_mentioning", "v_segments v_quotes", f"""with f as (select distinct split_part({SOURCE('quote')}, ' ', 3) as form from v_quotes), s as (select doc_id, seq, {SOURCE('text')} as norm, length(text)::bigint as chars from v_segments),
- h as (select distinct s.doc_id, s.seq, chars from s, f where contains(' '||norm||' ', ' '||form||' ')), b as (select *, coalesce(sum(chars) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0) as before from h)
- select doc_id, seq, chars from b where before = 0 or before + chars <= 3000""")
+#: Concepts that documents mention: two phrases of each quote, the second with a word of it as acronym.
+TITLES = """qw as (select quote_id, string_split({norm}, ' ') as w from v_quotes),
+qc as (select 'a'||quote_id::varchar as concept_id, w[1]||' '||w[2] as title from qw union all select 'b'||quote_id::varchar, w[3]||' '||w[4]||' '||w[5]||' ('||upper(w[6])||')' from qw),
+fm as (select distinct concept_id, form from (select concept_id, unnest([{full}, {base}, {inner}]) as form from qc) where length(form) >= 3)""".format(
+    norm=SOURCE("quote"), full=SOURCE("title"), base=SOURCE("regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')"), inner=SOURCE("regexp_extract(title, '\\(([^)]{2,10})\\)\\s*$', 1)")
+)
+
+
+def phrase_concepts(v):
+    w = F.split(T.source_norm("quote"), " ")
+    word = lambda k: F.try_element_at(w, F.lit(k))
+    q = v("v_quotes")
+    first = q.select(F.concat(F.lit("a"), "quote_id").alias("concept_id"), F.concat(word(1), F.lit(" "), word(2)).alias("title"))
+    second = q.select(F.concat(F.lit("b"), "quote_id").alias("concept_id"), F.concat(word(3), F.lit(" "), word(4), F.lit(" "), word(5), F.lit(" ("), F.upper(word(6)), F.lit(")")).alias("title"))
+    return first.unionByName(second).where("title is not null")
+
+
+@book.page("sg14_mentioning", "v_segments v_quotes", f"""with {TITLES}, s as (select doc_id, seq, {SOURCE('text')} as norm, length(text)::bigint as chars from v_segments),
+ h as (select distinct s.doc_id, s.seq, chars from s, (select distinct form from fm) f where contains(' '||norm||' ', ' '||form||' ')), b as (select *, sum(chars) over (partition by doc_id order by seq) as used, row_number() over (partition by doc_id order by seq) as k from h)
+ select doc_id, seq, chars from b where k = 1 or used <= 3000""")
 def sg14(v):
-    forms = v("v_quotes").select(F.split_part(T.source_norm("quote"), F.lit(" "), F.lit(3)).alias("form")).distinct()
     s = v("v_segments").select("doc_id", "seq", T.source_norm("text").alias("norm"), F.length("text").cast("long").alias("chars"))
-    return S.mentioning(s, forms, 3000)
+    return S.mentioning(s, S.surface_forms(phrase_concepts(v)), 3000)
 
 
 @book.page("sg15_batches", "v_segments", "select doc_id, seq, ((row_number() over (partition by doc_id order by seq) - 1) // 3)::bigint as batch from v_segments")
