@@ -122,8 +122,7 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
     prepare(spark)
     low = separator & 255
     lines = spark.read.option("lineSep", chr(low)).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*").text(path)
-    file = F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1)
-    place = [file.alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("range")]
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("range")]
     range_id = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +147,9 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
         blocks = written(lines.select(range_id, F.col("value").cast("binary").alias("line")).mapInArrow(run, BLOCK), "blocks")
     finally:
         spark.conf.set(_LINES, before)
-    ranges = written(lines.select(range_id, *place).distinct(), "ranges")
+    # every line has its range's place: nothing is computed of it before there is one row a range
+    ranges = written(lines.select(*place).distinct(), "ranges")
+    ranges = ranges.select(F.xxhash64("path", "range").alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "size", "range")
     return documents(blocks, ranges, separator)
 
 
