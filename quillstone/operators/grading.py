@@ -11,6 +11,18 @@ from quillstone.functions.text import answer_norm, answer_tokens, containment
 MODALITY = {"A1": "reconocimiento", "A3": "produccion_guiada", "B1": "reconocimiento", "B2": "reconocimiento", "C1": "reconocimiento", "E1": "produccion_guiada", "E3": "produccion_guiada"}
 DIMENSION = {"A1": "recuperacion", "A3": "recuperacion", "B1": "recuperacion", "B2": "transferencia", "C1": "relacion", "E1": "transferencia", "E3": "transferencia"}
 
+# Messages of feedback.
+MESSAGES = {
+    "acierto": "Correcto.",
+    "nota_repertorio": "Esa idea no es un disparate: funciona en otros contextos. Lo que cambia acá es el criterio.",
+    "nota_vinculos": "Este par admite más de un vínculo: ",
+    "ambigua": "Ese término también describe a otro concepto de este material, así que no alcanza para distinguirlos. Acá se buscaba: ",
+    "cerca": "Vas por buen camino, pero falta precisión. Se esperaba: ",
+    "correccion": "Se esperaba: ",
+    "modelo": "Compará tu respuesta con este análisis:",
+    "error": "No es correcto.",
+}
+
 
 def same(answer: Column, expected: Column) -> Column:
     """Choice items: the answer is the expected one; a null matches only null."""
@@ -62,3 +74,31 @@ def signals(mechanic: Column, concept: Column, pair: Column, correct: Column, pa
     timed = F.when(mechanic.isin("A1", "A3", "C1") & (duration > 0) & (hints == 0), row(F.lit("automatizacion"), "temporal", F.lit("concepto"), one(concept), no_delta, duration.cast("long")))
     helped = F.when(hints > 0, row(F.lit("srl_accion"), "observacional", F.lit("sesion"), F.array().cast("array<string>"), no_delta, no_latency))
     return F.array_compact(F.array(skill, anchor, mixed, timed, helped))
+
+
+def feedback(mode: Column, mechanic: Column, result: Column, distractor: Column, item: Column) -> Column:
+    """What a student is told: struct(kind, message, works_where, answer, model, note); null in an evaluation.
+
+    result: struct(correct, partial, ambiguous); distractor: the chosen one, struct(repertoire_id, feedback, works_where);
+    item: struct(explanation, answers, accepted, model). A null result counts as wrong; what a kind lacks is null.
+    """
+    m, none = {k: F.lit(x) for k, x in MESSAGES.items()}, F.lit(None).cast("string")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    filled = lambda c: F.length(text(c)) > 0
+
+    def told(kind: str, message: Column, works_where=none, answer=none, model=none, note=none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), message.alias("message"), works_where.alias("works_where"), answer.alias("answer"), model.alias("model"), note.alias("note"))
+
+    answers = F.coalesce(item["answers"], F.array().cast("array<string>"))
+    several = F.when(F.size(answers) > 1, F.concat(m["nota_vinculos"], F.array_join(answers, ", "), F.lit("."))).otherwise("")
+    expected = F.coalesce(F.get(item["accepted"], F.lit(0)), F.lit("—"))
+    recalled = F.when(result["ambiguous"], told("ambigua", F.concat(m["ambigua"], expected))).when(result["partial"] >= 0.35, told("cerca", F.concat(m["cerca"], expected))).otherwise(told("correccion", F.concat(m["correccion"], expected)))
+    wrong = (
+        F.when(filled(distractor["repertoire_id"]), told("repertorio", text(distractor["feedback"]), works_where=text(distractor["works_where"]), note=m["nota_repertorio"]))
+        .when(filled(distractor["feedback"]), told("distincion", distractor["feedback"]))
+        .when(mechanic == "C1", told("explicacion", text(item["explanation"]), answer=F.array_join(F.filter(answers, filled), ", "), note=several))
+        .when(mechanic == "A3", recalled)
+        .when(mechanic.isin("E1", "E3"), told("modelo", m["modelo"], model=text(item["model"])))
+        .otherwise(told("error", m["error"]))
+    )
+    return F.when(~mode.eqNullSafe(F.lit("evaluacion")), F.when(result["correct"], told("acierto", m["acierto"])).otherwise(wrong))

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.profile import lookup
 
-# Session modes, families by demand, and answer formats.
+# Session modes, playable mechanics and answer formats.
 MODES = {
-    "aprendizaje": {"permite_pistas": True, "feedback_inmediato": True, "muestra_puntaje": False, "ciclo_adquisicion": True, "conceptos_por_sesion": 4, "calibracion_cada": 3, "planeacion_inicial": True, "reflexion_final": True},
-    "evaluacion": {"permite_pistas": False, "feedback_inmediato": False, "muestra_puntaje": True, "ciclo_adquisicion": False, "conceptos_por_sesion": 8, "calibracion_cada": 1, "planeacion_inicial": False, "reflexion_final": True},
+    "aprendizaje": {"ctx_temporal": "libre", "ctx_stakes": "privado", "ctx_social": "independiente", "permite_pistas": True, "feedback_inmediato": True, "muestra_puntaje": False, "ciclo_adquisicion": True, "conceptos_por_sesion": 4, "calibracion_cada": 3, "planeacion_inicial": True, "reflexion_final": True},
+    "evaluacion": {"ctx_temporal": "cronometro_suave", "ctx_stakes": "visible_profesor", "ctx_social": "independiente", "permite_pistas": False, "feedback_inmediato": False, "muestra_puntaje": True, "ciclo_adquisicion": False, "conceptos_por_sesion": 8, "calibracion_cada": 1, "planeacion_inicial": False, "reflexion_final": True},
 }
+PLAYABLE = ("A1", "A3", "B1", "B2", "C1", "E1", "E3")
 FORMATS = {"A1": "opcion_multiple", "B1": "si_no", "B2": "opcion_multiple", "C1": "opcion_multiple", "A3": "texto_libre", "E1": "texto_libre", "E3": "texto_libre"}
+SQL_TYPES = {str: "string", bool: "boolean", int: "int"}
 
 
 def modes(spark) -> DataFrame:
     keys = list(MODES["aprendizaje"])
-    kinds = ", ".join(f"{k} {'int' if isinstance(MODES['aprendizaje'][k], int) and not isinstance(MODES['aprendizaje'][k], bool) else 'boolean'}" for k in keys)
+    kinds = ", ".join(f"{k} {SQL_TYPES[type(MODES['aprendizaje'][k])]}" for k in keys)
     return spark.createDataFrame([(m, *[v[k] for k in keys]) for m, v in MODES.items()], f"mode string, {kinds}")
 
 
@@ -44,42 +46,116 @@ def evaluation_choice(plan: DataFrame, limit: int = 8) -> DataFrame:
     return plan.withColumn("turn", turn).withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit)
 
 
-def allowed_families(score: Column) -> Column:
-    """Families of mechanics that a mastery allows."""
-    s = F.coalesce(score, F.lit(0.0))
-    return F.when(s < 0.4, F.array(F.lit("A"))).when(s < 0.65, F.array(*[F.lit(x) for x in "ABC"])).otherwise(F.array(*[F.lit(x) for x in "ABCDEF"]))
+def allowed_families(score: Column, recommended: Column, guided: Column) -> Column:
+    """Families of mechanics in order of preference: the recommended ones (A if there are none) that the
+    mastery allows; a guided step starts with recognition."""
+    s, letters = F.coalesce(score, F.lit(0.0)), lambda x: F.array(*[F.lit(f) for f in x])
+    wanted = F.when(F.size(recommended) > 0, recommended).otherwise(letters("A"))
+    lower = F.filter(wanted, lambda f: f.isin("A", "B", "C"))
+    allowed = F.when(s < 0.4, letters("A")).when(s >= 0.65, wanted).when(F.size(lower) > 0, lower).otherwise(letters("AB"))
+    return F.when(guided, F.concat(letters("A"), F.filter(allowed, lambda f: f != "A"))).otherwise(allowed)
 
 
-def session_steps(choices: DataFrame, mechanics: DataFrame) -> DataFrame:
-    """Steps of each student's session: per chosen concept an exposition if it is new, then a guided
-    and a free exercise of two answer formats if possible.
+def preferred_mechanics(families: Column, available: Column) -> Column:
+    """Available playable mechanics in the order of families; the first available one if no family has any."""
+    ids = F.array_sort(F.array_intersect(available, F.array(*[F.lit(m) for m in PLAYABLE])))
+    of_family = F.flatten(F.transform(families, lambda f: F.filter(ids, lambda m: F.startswith(m, f))))
+    return F.when(F.size(of_family) > 0, of_family).otherwise(F.slice(ids, 1, 1))
 
-    choices: student_id, concept_id, k, score; mechanics: concept_id, mechanic_id. A session is
-    bounded by its choice, so the grouped step holds few rows.
+
+def first_unused(wanted: DataFrame, items: DataFrame, used: DataFrame) -> DataFrame:
+    """wanted (student_id, concept_id) with item_id: the concept's first item by place that the student hasn't used.
+
+    items: concept_id, item_id, place; used: student_id, item_id. Rows without such an item go."""
+    free = wanted.join(items, "concept_id").join(used, ["student_id", "item_id"], "left_anti")
+    return free.groupBy("student_id", "concept_id").agg(F.min_by("item_id", F.struct("place", "item_id")).alias("item_id"))
+
+
+STEP = (
+    "student_id long, step long, kind string, cycle string, concept_id string, mechanic_id string, item_id long, "
+    "hints boolean, feedback boolean, fewer_options boolean, fading int, concepts array<string>"
+)
+
+
+def session_plan(choices: DataFrame, items: DataFrame, mode: str = "aprendizaje") -> DataFrame:
+    """All steps of each student's session, numbered from 1.
+
+    choices: student_id, course, concept_id, k (from 1), score (null: 0), seen, families, available (mechanics).
+    items: course, concept_id (a row for each that an item touches), mechanic_id, item_id, place.
+
+    Learning shows a concept that is new or below 0.35, then asks a guided and, below 0.6, a free exercise;
+    evaluation asks one exercise a concept. A mechanic of another answer format than the last is
+    preferred. Without an unused item of it on the concept, evaluation takes one on any concept of the session,
+    then both try the other available mechanics. Bets come before every n-th exercise, planning opens
+    and reflection closes a session that has steps. A concept without items gets no exercise.
+
+    What is chosen depends on the steps before, so a session is planned in order. It uses two items a concept at most:
+    the first 2 * concepts items of each course, concept and mechanic hold all that it can take.
     """
-    options = mechanics.groupBy("concept_id").agg(F.array_sort(F.collect_set("mechanic_id")).alias("mechanics"))
-    rows = choices.select("student_id", "concept_id", "k", "score").join(options, "concept_id", "left")
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for r in pdf.sort_values("k").itertuples():
-            score = 0.0 if pd.isna(r.score) else r.score
-            if pd.isna(r.score) or score < 0.35:
-                out.append((r.concept_id, "exposicion", None))
-            allowed = "A" if score < 0.4 else "ABC" if score < 0.65 else "ABCDEF"
-            ids = [] if r.mechanics is None else [m for m in r.mechanics if m in FORMATS and m[0] in allowed]
-            for kind in ("guiada", "autonoma"):
-                ranked = sorted(ids, key=lambda m: (kind == "guiada" and m[0] != "A", FORMATS[m] == last, m))
-                if ranked:
-                    last = FORMATS[ranked[0]]
-                    out.append((r.concept_id, kind, ranked[0]))
-                    ids = [m for m in ids if m != ranked[0]] or ids
-        frame = pd.DataFrame(out, columns=["concept_id", "kind", "mechanic_id"])
-        frame.insert(0, "student_id", pdf["student_id"].iloc[0])
-        frame.insert(1, "step", range(1, len(frame) + 1))
-        return frame
-
-    return rows.groupBy("student_id").applyInPandas(plan, "student_id long, step long, concept_id string, kind string, mechanic_id string")
+    cfg = MODES[mode]
+    most = cfg["conceptos_por_sesion"]
+    guided, score = F.lit(cfg["ciclo_adquisicion"]), F.coalesce("score", F.lit(0.0))
+    by_place = Window.partitionBy("course", "concept_id", "mechanic_id").orderBy("place", "item_id")
+    near = items.where(F.col("mechanic_id").isin(*PLAYABLE)).withColumn("nth", F.row_number().over(by_place)).where(F.col("nth") <= 2 * most)
+    offers = near.groupBy("course", "concept_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "mechanic_id"))).alias("offers"))
+    ranked = lambda g: preferred_mechanics(allowed_families(F.col("score"), F.col("families"), g), F.col("available"))
+    rows = choices.where(F.col("k") <= most).select(
+        "student_id", "course", "concept_id", "k", score.alias("score"), (F.coalesce("seen", F.lit(False)) & (score >= 0.35)).alias("known"),
+        F.array_sort("available").alias("available"), ranked(guided).alias("first"), ranked(F.lit(False)).alias("second"),
+    ).join(offers, ["course", "concept_id"], "left")
+    return rows.groupBy("student_id").applyInPandas(lambda pdf: _planned(pdf, cfg), STEP)
+
+
+def _planned(pdf: pd.DataFrame, cfg: dict) -> pd.DataFrame:
+    """The steps of one student's session; see session_plan."""
+    chosen = list(pdf.sort_values("k").itertuples())
+    offers = {r.concept_id: [] if r.offers is None else [(o["place"], o["item_id"], o["mechanic_id"]) for o in r.offers] for r in chosen}
+    learning, every = cfg["ciclo_adquisicion"], cfg["calibracion_cada"]
+    anywhere = [] if learning else sorted(o for of_concept in offers.values() for o in of_concept)
+    steps, used, last, exercises = [], set(), None, 0
+
+    def unused(mechanic, among):
+        return next((item for _, item, m in among if m == mechanic and item not in used), None)
+
+    def add(kind, **more):
+        steps.append({"kind": kind} | more)
+
+    for r in chosen:
+        if learning and not r.known:
+            add("exposicion", concept_id=r.concept_id)
+        cycles = ["evaluacion"] if not learning else ["guiada"] if r.score >= 0.6 else ["guiada", "autonoma"]
+        for cycle in cycles:
+            ranked = list(r.second if cycle == "autonoma" else r.first)
+            if not ranked:
+                continue
+            mechanic = next((m for m in ranked if FORMATS[m] != last), ranked[0])
+            item = unused(mechanic, offers[r.concept_id])
+            item = unused(mechanic, anywhere) if item is None else item
+            if item is None:
+                others = ((m, unused(m, offers[r.concept_id])) for m in PLAYABLE if m != mechanic and m in r.available)
+                mechanic, item = next(((m, i) for m, i in others if i is not None), (mechanic, None))
+            if item is None:
+                continue
+            if every and exercises % every == 0:
+                add("calibracion", concept_id=r.concept_id, mechanic_id="G1", item_id=item)
+            guided = cycle == "guiada"
+            add(
+                "ejercicio", cycle=cycle, concept_id=r.concept_id, mechanic_id=mechanic, item_id=item, hints=cfg["permite_pistas"] and guided,
+                feedback=cfg["feedback_inmediato"], fewer_options=guided and r.score < 0.4, fading=0 if guided else 1,
+            )
+            used.add(item)
+            last, exercises = FORMATS[mechanic], exercises + 1
+    ids = [r.concept_id for r in chosen]
+    if steps and cfg["planeacion_inicial"]:
+        steps.insert(0, {"kind": "planeacion", "mechanic_id": "I1", "concepts": ids})
+    if steps and cfg["reflexion_final"]:
+        add("reflexion", mechanic_id="I4", concepts=ids)
+    names = [c.split()[0] for c in STEP.split(", ")]
+    rows = [[s.get(c) for c in names[2:]] for s in steps]
+    out = pd.DataFrame(rows, columns=names[2:], dtype=object)
+    out.insert(0, "student_id", pdf["student_id"].iloc[0])
+    out.insert(1, "step", range(1, len(out) + 1))
+    return out
 
 
 def served(items: DataFrame, options: int = 2) -> DataFrame:
@@ -109,9 +185,12 @@ def planned_well(choices: DataFrame) -> DataFrame:
 
 
 def worst_concept(answers: DataFrame) -> DataFrame:
-    """The concept of each session with the lowest share of right answers."""
-    by = answers.groupBy("session_id", "concept_id").agg((F.sum(F.col("correct").cast("long")) / F.count(F.lit(1))).alias("share"))
-    return by.groupBy("session_id").agg(F.min_by("concept_id", F.struct("share", "concept_id")).alias("concept_id"))
+    """The concept of each session with the lowest share of right answers, of equal ones that asked first.
+
+    answers: session_id, seq, concept_id, correct (null: wrong)."""
+    right = F.count_if(F.coalesce("correct", F.lit(False)))
+    by = answers.groupBy("session_id", "concept_id").agg((right / F.count(F.lit(1))).alias("share"), F.min("seq").alias("since"))
+    return by.groupBy("session_id").agg(F.min_by("concept_id", F.struct("share", "since", "concept_id")).alias("concept_id"))
 
 
 def summary(answers: DataFrame, planned: DataFrame) -> DataFrame:
@@ -121,24 +200,29 @@ def summary(answers: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """State of each session after its log: steps done, answers, hits, open bet and whether it ended.
+    """State of each session after its log: steps done, exercises, hits, open bets, mean gap of closed bets,
+    the concept chosen to start with, the worst one so far and whether the session ended.
 
-    events: session_id, seq, kind, correct, declared. A log is folded in order; a session bounds it."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = answers = hits = 0
-        bet, ended = None, False
-        for r in pdf.sort_values("seq").itertuples():
-            if r.kind == "bet":
-                bet = r.declared
-                continue
-            done += 1
-            if r.kind == "answer":
-                answers, hits, bet = answers + 1, hits + bool(r.correct), None
-            ended = ended or r.kind == "reflection"
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "done": [done], "answers": [answers], "hits": [hits], "open_bet": [bet], "ended": [ended]})
-
-    return events.groupBy("session_id").applyInPandas(fold, "session_id long, done long, answers long, hits long, open_bet double, ended boolean")
+    events: session_id, seq, kind (exposicion, calibracion, planeacion, ejercicio, reflexion), concept_id, item_id,
+    correct, declared (null or 0: 0.5). Every step advances. A bet belongs to the exercise on its item and closes if that
+    comes later; of repeated ones the last counts. All aggregates: a log is never held by one task.
+    """
+    kind, seq = F.col("kind"), F.col("seq")
+    of = lambda k, c: F.when(kind == k, c)
+    bet = F.when(F.coalesce(F.col("declared"), F.lit(0.0)) != 0, F.col("declared")).otherwise(0.5)
+    items = events.where(kind.isin("calibracion", "ejercicio")).groupBy("session_id", "item_id").agg(
+        F.max(of("calibracion", F.struct(seq.alias("at"), bet.alias("bet")))).alias("b"),
+        F.max(of("ejercicio", F.struct(seq.alias("at"), F.coalesce("correct", F.lit(False)).alias("right")))).alias("x"),
+    )
+    closed = F.col("x.at") > F.col("b.at")
+    gap = F.when(closed, F.abs(F.col("b.bet") - F.col("x.right").cast("int")))
+    bets = items.where("b is not null").groupBy("session_id").agg(F.count_if(F.coalesce(~closed, F.lit(True))).alias("open_bets"), F.avg(gap).alias("gap"))
+    state = events.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("done"), F.count_if(kind == "ejercicio").alias("answers"), F.count_if((kind == "ejercicio") & F.col("correct")).alias("hits"),
+        F.max_by("concept_id", of("planeacion", seq)).alias("chosen"), F.bool_or(kind == "reflexion").alias("ended"),
+    )
+    worst = worst_concept(events.where(kind == "ejercicio")).withColumnRenamed("concept_id", "worst")
+    return state.join(bets, "session_id", "left").join(worst, "session_id", "left").fillna(0, ["open_bets"])
 
 
 def planning_signal(well: Column) -> Column:

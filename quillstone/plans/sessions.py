@@ -80,10 +80,26 @@ def gd8(v):
     return out.withColumn("targets", F.array_join("targets", ","))
 
 
-@book.page("gd9_feedback", "", ANSWERS + " select event_id, case when mechanic_id in ('E1','E3') and partial < 0.35 then 'ampliar' when correct then 'correcto' when repertoire is not null then 'repertorio' when confused is not null then 'confusion' else 'incorrecto' end as feedback from a")
+_M = G.MESSAGES
+
+
+@book.page("gd9_feedback", "", ANSWERS + f""", x as (select *, event_id % 5 <> 0 as told, mechanic_id = 'A3' and event_id % 3 = 0 as amb, case when repertoire is not null then 'contraste '||repertoire when event_id % 16 = 0 then 'no es '||confused end as fb,
+ case when event_id % 2 = 0 then ['apoya', 'causa'] else ['apoya'] end as answers, case when event_id % 11 = 0 then '—' else concept_id end as expected from a),
+ k as (select *, case when not told then null when correct then 'acierto' when repertoire is not null then 'repertorio' when fb is not null then 'distincion' when mechanic_id = 'C1' then 'explicacion' when mechanic_id = 'A3' then case when amb then 'ambigua' when partial >= 0.35 then 'cerca' else 'correccion' end
+  when mechanic_id in ('E1', 'E3') then 'modelo' else 'error' end as kind from x)
+ select event_id, kind, case kind when 'acierto' then '{_M['acierto']}' when 'repertorio' then fb when 'distincion' then fb when 'explicacion' then 'porque '||concept_id when 'ambigua' then '{_M['ambigua']}'||expected when 'cerca' then '{_M['cerca']}'||expected when 'correccion' then '{_M['correccion']}'||expected when 'modelo' then '{_M['modelo']}' when 'error' then '{_M['error']}' end as message,
+ case when kind = 'repertorio' then case when event_id % 4 = 0 then 'en casa' else '' end end as works_where, case when kind = 'explicacion' then array_to_string(answers, ', ') end as answer, case when kind = 'modelo' then 'modelo '||event_id end as model,
+ case kind when 'repertorio' then '{_M['nota_repertorio']}' when 'explicacion' then case when len(answers) > 1 then '{_M['nota_vinculos']}'||array_to_string(answers, ', ')||'.' else '' end end as note from k""")
 def gd9(v):
-    f = F.when(F.col("mechanic_id").isin("E1", "E3") & (F.col("partial") < 0.35), "ampliar").when(F.col("correct"), "correcto").when(F.col("repertoire").isNotNull(), "repertorio").when(F.col("confused").isNotNull(), "confusion").otherwise("incorrecto")
-    return answers(v).select("event_id", f.alias("feedback"))
+    i, c = F.col("event_id"), F.col
+    said = F.when(c("repertoire").isNotNull(), F.concat(F.lit("contraste "), c("repertoire"))).when(i % 16 == 0, F.concat(F.lit("no es "), c("confused")))
+    result = F.struct(c("correct"), c("partial"), ((c("mechanic_id") == "A3") & (i % 3 == 0)).alias("ambiguous"))
+    distractor = F.struct(c("repertoire").alias("repertoire_id"), said.alias("feedback"), F.when(i % 4 == 0, "en casa").alias("works_where"))
+    both = F.array(F.lit("apoya"), F.lit("causa"))
+    accepted = F.when(i % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(c("concept_id")))
+    item = F.struct(F.concat(F.lit("porque "), c("concept_id")).alias("explanation"), F.when(i % 2 == 0, both).otherwise(F.slice(both, 1, 1)).alias("answers"), accepted.alias("accepted"), F.concat(F.lit("modelo "), i).alias("model"))
+    mode = F.when(i % 5 == 0, "evaluacion").otherwise("aprendizaje")
+    return answers(v).select("event_id", G.feedback(mode, c("mechanic_id"), result, distractor, item).alias("f")).select("event_id", "f.*")
 
 
 _CHOICES = ANSWERS + ", c as (select session_id, partial as score, event_id = max(event_id) over (partition by session_id) as chosen from a)"
@@ -101,7 +117,7 @@ def gd11(v):
     return S.planned_well(choices(v)).select("session_id", S.planning_signal(F.col("well")).alias("s")).select("session_id", "s.*")
 
 
-_WORST = ANSWERS + ", b as (select session_id, concept_id, sum(correct::int) / count(*) as share from a group by all), w as (select session_id, arg_min(concept_id, (share, concept_id)) as concept_id from b group by all)"
+_WORST = ANSWERS + ", b as (select session_id, concept_id, sum(correct::int) / count(*) as share, min(event_id) as since from a group by all), w as (select session_id, arg_min(concept_id, (share, since)) as concept_id from b group by all)"
 
 
 @book.page("gd12_reflection_signals", "", _WORST + """, s as (select session_id, case when session_id % 3 = 0 then null when session_id % 3 = 1 then concept_id else 'c0' end as said, concept_id as worst from w) select session_id, 'srl_autorreflexion' as dimension, case when said is null then 0 when said = worst then 0.15 else -0.05 end::double as delta from s
@@ -109,10 +125,10 @@ _WORST = ANSWERS + ", b as (select session_id, concept_id, sum(correct::int) / c
 def gd12(v):
     k = F.col("session_id") % 3
     said = F.when(k == 0, F.lit(None)).when(k == 1, F.col("concept_id")).otherwise("c0")
-    return S.worst_concept(answers(v)).select("session_id", F.explode(S.reflection_signals(said, F.col("concept_id"))).alias("s")).select("session_id", "s.*")
+    return S.worst_concept(answers(v).withColumn("seq", F.col("event_id"))).select("session_id", F.explode(S.reflection_signals(said, F.col("concept_id"))).alias("s")).select("session_id", "s.*")
 
 
-@book.page("se1_modes", "", "select 'aprendizaje' as mode, true as permite_pistas, true as feedback_inmediato, false as muestra_puntaje, true as ciclo_adquisicion, 4 as conceptos_por_sesion, 3 as calibracion_cada, true as planeacion_inicial, true as reflexion_final union all select 'evaluacion', false, false, true, false, 8, 1, false, true")
+@book.page("se1_modes", "", "select 'aprendizaje' as mode, 'libre' as ctx_temporal, 'privado' as ctx_stakes, 'independiente' as ctx_social, true as permite_pistas, true as feedback_inmediato, false as muestra_puntaje, true as ciclo_adquisicion, 4 as conceptos_por_sesion, 3 as calibracion_cada, true as planeacion_inicial, true as reflexion_final union all select 'evaluacion', 'cronometro_suave', 'visible_profesor', 'independiente', false, false, true, false, 8, 1, false, true")
 def se1(v):
     return S.modes(v.spark)
 
@@ -144,28 +160,55 @@ def se4(v):
     return S.learning_choice(plan(v)).select("student_id", "concept_id", "k")
 
 
-@book.page("se5_allowed_families", "", _PLAN + " select student_id, concept_id, case when coalesce(score, 0) < 0.4 then 'A' when score < 0.65 then 'A,B,C' else 'A,B,C,D,E,F' end as families from p")
+_RECOMMENDED = [["C", "A"], ["B", "E"], ["D"], []]
+_OFFERED = ["A1", "A3", "B1", "C1", "E1"]
+
+
+def recommended():
+    """Recommended families by unit."""
+    letters = [F.array(*[F.lit(f) for f in x]).cast("array<string>") for x in _RECOMMENDED]
+    return F.element_at(F.array(*letters), (F.col("unit") + 1).cast("int"))
+
+
+@book.page("se5_allowed_families", "", _PLAN + f""", r as (select *, coalesce(score, 0) as s, case unit when 3 then ['A'] else ({_RECOMMENDED})[unit + 1] end as rec from p), l as (select *, list_filter(rec, lambda f: f in ('A', 'B', 'C')) as low from r),
+ f as (select *, case when s < 0.4 then ['A'] when s >= 0.65 then rec when len(low) > 0 then low else ['A', 'B'] end as fam from l), g as (select *, case when position % 2 = 0 then list_concat(['A'], list_filter(fam, lambda x: x <> 'A')) else fam end as families from f),
+ m as (select *, flatten(list_transform(families, lambda x: list_filter({_OFFERED}, lambda y: starts_with(y, x)))) as ms from g)
+ select student_id, concept_id, array_to_string(families, ',') as families, case when len(ms) = 0 then 'A1' else array_to_string(ms, ',') end as mechanics from m""")
 def se5(v):
-    return plan(v).select("student_id", "concept_id", F.array_join(S.allowed_families(F.col("score")), ",").alias("families"))
+    families = S.allowed_families(F.col("score"), recommended(), F.col("position") % 2 == 0)
+    ids = S.preferred_mechanics(F.col("families"), F.array(*[F.lit(m) for m in _OFFERED]))
+    return plan(v).withColumn("families", families).select("student_id", "concept_id", F.array_join("families", ",").alias("families"), F.array_join(ids, ",").alias("mechanics"))
 
 
 _FIRST = _PLAN + ", i as (select o_orderkey as item, 'c'||cast(o_orderkey as string) as concept_id from orders union all select o_orderkey + 1000000000, 'c'||cast(o_orderkey as string) from orders where o_orderkey % 2 = 0)"
 
 
-@book.page("se6_first_unused_item", "", _FIRST + " select student_id, p.concept_id, min(item)::bigint as item from p join i on i.concept_id = p.concept_id where item % 5 <> 0 group by all")
+@book.page("se6_first_unused_item", "", _FIRST + " select student_id, p.concept_id, min(item)::bigint as item_id from p join i on i.concept_id = p.concept_id where (item + student_id) % 5 <> 0 group by all")
 def se6(v):
-    o = v("orders")
+    o, p = v("orders"), plan(v)
     c = F.concat(F.lit("c"), F.col("o_orderkey")).alias("concept_id")
-    items = o.select(F.col("o_orderkey").alias("item"), c).unionByName(o.where("o_orderkey % 2 = 0").select((F.col("o_orderkey") + 1000000000).alias("item"), c))
-    used = items.where("item % 5 = 0").select("item")
-    return plan(v).join(items.join(used, "item", "left_anti"), "concept_id").groupBy("student_id", "concept_id").agg(F.min("item").alias("item"))
+    keys = o.select(F.col("o_orderkey").alias("item_id"), c).unionByName(o.where("o_orderkey % 2 = 0").select((F.col("o_orderkey") + 1000000000).alias("item_id"), c))
+    used = p.join(keys, "concept_id").where("(item_id + student_id) % 5 = 0").select("student_id", "item_id")
+    return S.first_unused(p.select("student_id", "concept_id"), keys.withColumn("place", F.col("item_id")), used)
+
+
+def session_inputs(v, chosen):
+    """Choices and items of three courses: concepts of the answers, and those answers as items."""
+    kept = chosen.withColumn("concept_id", F.concat(F.lit("c"), F.substring("concept_id", 2, 9).cast("long") % 12)).withColumn("families", recommended())
+    first = kept.groupBy("student_id", "concept_id").agg(F.min("k").alias("k"), F.min_by(F.struct("score", "families"), "k").alias("r"))
+    choices = first.select("student_id", (F.col("student_id") % 3).alias("course"), "concept_id", "k", "r.*", F.col("r.score").isNotNull().alias("seen"), F.array(*[F.lit(m) for m in _OFFERED]).alias("available"))
+    items = answers(v).select((F.col("event_id") % 3).alias("course"), "concept_id", "mechanic_id", F.col("event_id").alias("item_id"), F.col("event_id").alias("place"))
+    return choices, items
 
 
 @book.page("se7_session_steps")
 def se7(v):
-    m = answers(v).select("concept_id", "mechanic_id").distinct()
-    c = S.learning_choice(plan(v)).withColumn("concept_id", F.concat(F.lit("c"), F.substring("concept_id", 2, 9).cast("long") % 12))
-    return S.session_steps(c, m)
+    return S.session_plan(*session_inputs(v, S.learning_choice(plan(v)))).withColumn("concepts", F.array_join("concepts", ","))
+
+
+@book.page("se7_evaluation_steps")
+def se7_evaluation(v):
+    return S.session_plan(*session_inputs(v, S.evaluation_choice(plan(v))), "evaluacion").withColumn("concepts", F.array_join("concepts", ","))
 
 
 @book.page("se8_served_options", "", """with o as (select l_orderkey as item_id, l_linenumber::varchar as id, l_linenumber = min(l_linenumber) over (partition by l_orderkey) as correct from lineitem), h as (select *, sha1(item_id||chr(124)||id) as h from (select distinct item_id::varchar as item_id, id, correct from o)),
@@ -203,12 +246,17 @@ def se11(v):
     return S.reordered(a.select("session_id", "step", kind.alias("kind"), "concept_id"), a.groupBy("session_id").agg(F.max("concept_id").alias("chosen"))).select("session_id", "step", "place")
 
 
-@book.page("se12_replayed", "", ANSWERS + """, k as (select session_id, event_id, case mechanic_id when 'B1' then 'bet' when 'E3' then 'exposition' else 'answer' end as kind, correct, partial from a), l as (select session_id, max(event_id) filter (where kind = 'answer') as last from k group by all)
- select session_id, count(*) filter (where kind <> 'bet') as done, count(*) filter (where kind = 'answer') as answers, count(*) filter (where kind = 'answer' and correct) as hits, arg_max(partial, event_id) filter (where kind = 'bet' and event_id > coalesce(last, -1)) as open_bet, false as ended from k join l using (session_id) group by session_id""")
+@book.page("se12_replayed", "", ANSWERS + """, k as (select session_id, event_id, case mechanic_id when 'B1' then 'calibracion' when 'E3' then 'exposicion' when 'C1' then 'planeacion' else 'ejercicio' end as kind, concept_id, event_id // 7 % 3 as item_id, correct, partial from a),
+ x as (select session_id, item_id, max(event_id) filter (where kind = 'calibracion') as b, arg_max(case when partial = 0 then 0.5 else partial end, event_id) filter (where kind = 'calibracion') as bet, max(event_id) filter (where kind = 'ejercicio') as e, arg_max(correct, event_id) filter (where kind = 'ejercicio') as hit from k group by all),
+ bets as (select session_id, count(*) filter (where e is null or e < b) as open_bets, avg(abs(bet - hit::int)) filter (where e > b) as gap from x where b is not null group by all), sh as (select session_id, concept_id, avg(correct::int) as share, min(event_id) as since from k where kind = 'ejercicio' group by all),
+ w as (select session_id, arg_min(concept_id, (share, since)) as worst from sh group by all)
+ select session_id, count(*) as done, count(*) filter (where kind = 'ejercicio') as answers, count(*) filter (where kind = 'ejercicio' and correct) as hits, arg_max(concept_id, event_id) filter (where kind = 'planeacion') as chosen, false as ended, any_value(worst) as worst, coalesce(any_value(open_bets), 0) as open_bets, round(any_value(gap), 6) as gap
+ from k left join bets using (session_id) left join w using (session_id) group by session_id""")
 def se12(v):
     m = F.col("mechanic_id")
-    k = answers(v).select("session_id", F.col("event_id").alias("seq"), F.when(m == "B1", "bet").when(m == "E3", "exposition").otherwise("answer").alias("kind"), "correct", F.col("partial").alias("declared"))
-    return S.replay(k)
+    kind = F.when(m == "B1", "calibracion").when(m == "E3", "exposicion").when(m == "C1", "planeacion").otherwise("ejercicio")
+    k = answers(v).select("session_id", F.col("event_id").alias("seq"), kind.alias("kind"), "concept_id", (F.floor(F.col("event_id") / 7) % 3).alias("item_id"), "correct", F.col("partial").alias("declared"))
+    return S.replay(k).withColumn("gap", F.round("gap", 6))
 
 
 @book.page("se13_planned_well", "", _CHOICES + " select session_id, max(score) filter (where chosen) <= min(score) + 0.05 as well from c group by all")
@@ -218,7 +266,7 @@ def se13(v):
 
 @book.page("se14_worst_concept", "", _WORST + " select * from w")
 def se14(v):
-    return S.worst_concept(answers(v))
+    return S.worst_concept(answers(v).withColumn("seq", F.col("event_id")))
 
 
 @book.page("se15_summary", "", ANSWERS + ", pl as (select distinct session_id, concept_id from a), b as (select * from a where hints = 0) select session_id, concept_id, count(b.event_id) as attempts, count(*) filter (where correct) as hits, count(distinct mechanic_id) as mechanics from pl left join b using (session_id, concept_id) group by all")

@@ -217,3 +217,57 @@ def test_merged_edges_keep_the_winners_columns(spark):
     edges = spark.createDataFrame(e, "doc_id long, seq long, from_concept_id string, to_concept_id string, relation_type string, confidence double, description string")
     r = R.merged(edges, (), ("description",)).first()
     assert (r["description"], r["times"]) == ("y", 3)
+
+
+def session_rows(spark, mode, choices, items):
+    from quillstone.operators.session import session_plan
+
+    c = spark.createDataFrame(choices, "student_id long, course long, concept_id string, k int, score double, seen boolean, families array<string>, available array<string>")
+    i = spark.createDataFrame(items, "course long, concept_id string, mechanic_id string, item_id long, place long")
+    out = session_plan(c, i, mode).orderBy("student_id", "step").collect()
+    return [(r["kind"], r["cycle"], r["concept_id"], r["mechanic_id"], r["item_id"]) for r in out], out
+
+
+def test_learning_session_golden(spark):
+    every = ["A1", "A3", "B1", "C1"]
+    choices = [
+        (1, 1, "n", 1, None, False, ["C"], every),  # new: shown, recognition only, free step in another format
+        (1, 1, "g", 2, 0.7, True, ["C", "B"], every),  # mastered: guided only, A first, other format than the last
+        (1, 1, "x", 3, 0.5, True, ["D"], every),  # no items: no exercise
+        (1, 1, "f", 4, 0.5, True, ["B"], every),  # only C1 items: taken as another available mechanic
+        (1, 1, "z", 5, None, False, [], every),  # beyond the four concepts of a session
+    ]
+    items = [(1, "n", "A1", 11, 1), (1, "n", "A3", 12, 2), (1, "g", "A1", 21, 1), (1, "f", "C1", 31, 9), (1, "f", "C1", 32, 3), (2, "x", "A1", 41, 1)]
+    got, out = session_rows(spark, "aprendizaje", choices, items)
+    assert got == [
+        ("planeacion", None, None, "I1", None),
+        ("exposicion", None, "n", None, None),
+        ("calibracion", None, "n", "G1", 11),
+        ("ejercicio", "guiada", "n", "A1", 11),
+        ("ejercicio", "autonoma", "n", "A3", 12),
+        ("ejercicio", "guiada", "g", "A1", 21),
+        ("calibracion", None, "f", "G1", 32),
+        ("ejercicio", "guiada", "f", "C1", 32),
+        ("ejercicio", "autonoma", "f", "C1", 31),
+        ("reflexion", None, None, "I4", None),
+    ]
+    assert out[0]["concepts"] == out[-1]["concepts"] == ["n", "g", "x", "f"]
+    assert [(r["hints"], r["feedback"], r["fewer_options"], r["fading"]) for r in out if r["concept_id"] == "n" and r["kind"] == "ejercicio"] == [(True, True, True, 0), (False, True, False, 1)]
+
+
+def test_evaluation_session_golden(spark):
+    choices = [(1, 1, "a", 1, 0.9, True, ["B"], ["B1"]), (1, 1, "b", 2, 0.9, True, ["B"], ["B1"]), (1, 1, "c", 3, 0.9, True, ["B"], ["B1"])]
+    got, out = session_rows(spark, "evaluacion", choices, [(1, "a", "B1", 1, 5), (1, "a", "B1", 2, 4), (1, "q", "B1", 3, 1)])
+    # b borrows the unused item of a, of the session; c finds none, as that of q isn't on a concept of the session
+    assert got == [("calibracion", None, "a", "G1", 2), ("ejercicio", "evaluacion", "a", "B1", 2), ("calibracion", None, "b", "G1", 1), ("ejercicio", "evaluacion", "b", "B1", 1), ("reflexion", None, None, "I4", None)]
+    assert not any(r["hints"] or r["feedback"] for r in out if r["kind"] == "ejercicio")
+    assert session_rows(spark, "evaluacion", choices, [])[0] == []
+
+
+def test_session_state_golden(spark):
+    from quillstone.operators.session import replay
+
+    log = [(1, 1, "planeacion", "b", None, None, None), (1, 2, "calibracion", "a", 7, None, 0.9), (1, 3, "ejercicio", "a", 7, False, None), (1, 4, "calibracion", "b", 8, None, None), (1, 5, "ejercicio", "b", 9, None, None), (1, 6, "reflexion", "a", None, None, None), (2, 1, "exposicion", "a", None, None, None)]
+    got = {r["session_id"]: r.asDict() for r in replay(spark.createDataFrame(log, "session_id long, seq long, kind string, concept_id string, item_id long, correct boolean, declared double")).collect()}
+    assert got[1] == {"session_id": 1, "done": 6, "answers": 2, "hits": 0, "chosen": "b", "ended": True, "open_bets": 1, "gap": 0.9, "worst": "a"}
+    assert got[2] == {"session_id": 2, "done": 1, "answers": 0, "hits": 0, "chosen": None, "ended": False, "open_bets": 0, "gap": None, "worst": None}
