@@ -125,13 +125,14 @@ def token_estimate(chars: Column) -> Column:
 
 
 def acronym_split(title: Column) -> Column:
-    """struct(base, acronym): a trailing parenthesis that is an acronym, else the title and null."""
-    pattern = r"^(.*?)\s*\(([^)]{2,24})\)\s*$"
-    inner = F.regexp_extract(title, pattern, 2)
+    """struct(base, acronym): a trailing parenthesis that is an acronym, else the title and null; a title that
+    is nothing but a parenthesis has none."""
+    pattern = r"^\s*(\S.*?)\s*\(([^)]{2,24})\)\s*$"
+    inner = F.trim(F.regexp_extract(title, pattern, 2))
     letters = F.length(F.regexp_replace(inner, r"\P{L}", ""))
     upper = F.length(F.regexp_replace(inner, r"\P{Lu}", ""))
     good = (inner != "") & ~inner.rlike(r"[,/ ]") & (letters > 0) & (upper >= 0.6 * letters)
-    return F.struct(F.when(good, F.regexp_extract(title, pattern, 1)).otherwise(title).alias("base"), F.when(good, inner).alias("acronym"))
+    return F.struct(F.when(good, F.regexp_extract(title, pattern, 1)).otherwise(F.trim(title)).alias("base"), F.when(good, inner).alias("acronym"))
 
 
 def strict_acronym(title: Column) -> Column:

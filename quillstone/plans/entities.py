@@ -105,9 +105,9 @@ STOP = "', '".join(STOP_WORDS)
 NORM = lambda c: f"""array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' and w not in ('{STOP}')), lambda w: case when length(w) > 3 and w[-1:] = 's' then w[:-2] else w end), ' ')"""
 PARTS = f"""{TITLES}, x as (select *, regexp_extract(title, '^(.*?)\\s*\\(([^)]{{2,24}})\\)\\s*$', 2) as i, regexp_extract(title, '^(.*?)\\s*\\(([^)]{{2,24}})\\)\\s*$', 1) as base0 from c),
 y as (select *, i <> '' and not regexp_matches(i, '[,/ ]') and length(regexp_replace(i, '\\P{{L}}', '', 'g')) > 0 and length(regexp_replace(i, '\\P{{Lu}}', '', 'g')) >= 0.6 * length(regexp_replace(i, '\\P{{L}}', '', 'g')) as good from x),
-p as (select concept_id, title, {NORM('title')} as t, {NORM('case when good then base0 else title end')} as b, case when good then lower(i) end as a from y),
+p as (select concept_id, title, {NORM('title')} as t, {NORM('case when good then base0 else title end')} as b, nullif(case when good then {NORM('i')} end, '') as a from y),
 amb as (select a, count(distinct b) as n_bases from p where a is not null group by a having count(distinct b) > 1),
-k as (select concept_id, unnest(list_distinct([t, b])) as key from p union all select concept_id, '@'||a from p where a is not null and a not in (select a from amb))"""
+k as (select concept_id, unnest(list_distinct([t, b])) as key from p union all select concept_id, '@'||a from (select concept_id, a from p union select concept_id, t from p) where a in (select a from p where a is not null) and a not in (select a from amb))"""
 
 
 def titled(v, acronym=lambda t: F.upper(F.substring(t, 1, 3))):
@@ -133,8 +133,7 @@ def ca3(v):
 
 @book.page("ca4_ambiguous_acronyms", "v_concepts", f"with {PARTS} select * from amb")
 def ca4(v):
-    parts = titled(v).select(acronym_split(F.col("title")).alias("p")).select(F.lower("p.acronym").alias("a"), title_norm("p.base").alias("b"))
-    return E.ambiguous_acronyms(parts)
+    return E.ambiguous_acronyms(E.title_parts(titled(v)))
 
 
 COMPONENTS = f"""with recursive {{views}}{PARTS}, e as (select distinct x.concept_id as a, y.concept_id as b from k x join k y on x.key = y.key and x.key <> ''),
@@ -161,27 +160,62 @@ def ca6(v):
 
 
 ORACLE["ca6_oversize_groups"] = component_oracle(f" select component, count(*) as n from g group by all having count(*) > {E.MAX_AUTO_GROUP}")
+
+
 _MERGED = """, x1 as (select c.*, g.component, count(*) over (partition by coalesce(nullif(""" + NORM("title") + """, ''), c.concept_id)) as n_extracted, count(*) over (partition by g.component) as size from c join g using (concept_id)),
-x2 as (select * replace (case when size > 3 then concept_id else component end as component) from x1),
-x3 as (select x2.*, row_number() over (partition by x2.component order by is_enriched desc, n_extracted desc, coalesce(first_page, 999), (y.good) desc, length(definition) desc, importance desc, x2.seq) as rk from x2 join (select concept_id, good from y) y using (concept_id))"""
+x2 as (select * replace (case when size > 3 then concept_id else component end as component), case when seq % 5 = 0 then [title||' syn', 'común'] else [] end as synonyms, case when seq % 4 = 0 then ['v'||seq] else [] end as variants, case when seq % 3 = 0 then 'm'||seq else '' end as measure,
+ case when seq % 7 = 0 then definition||repeat('.', 200) else definition end as long_definition from x1),
+x3 as (select x2.*, y.t as norm, row_number() over (partition by x2.component order by is_enriched desc, n_extracted desc, coalesce(first_page, 999), (y.a is not null) desc, length(long_definition) desc, importance desc, x2.seq) as rk from x2 join (select concept_id, t, a from p) y using (concept_id)),
+x4 as (select component, arg_min(concept_id, rk) as canonical_id, arg_min(title, rk) as title, arg_min(norm, rk) as norm, list_reduce(list(long_definition order by rk), lambda x, y: case when length(y) > 2 * length(x) then y else x end) as definition, list_sort(list(concept_id)) as members, list_sort(list_distinct(list(first_page))) as pages,
+ list_distinct(flatten(list(synonyms))) as syn, list_sort(list_distinct(flatten(list(variants)))) as variants, max(importance) as importance, bool_or(is_gateway) as is_gateway, bool_or(is_threshold) as is_threshold, arg_min(measure, rk) filter (where measure <> '') as measure from x3 group by component),
+x5 as (select x4.component, list_distinct(list(x3.title)) as spelled from x4 join x3 on x3.component = x4.component and x3.norm <> x4.norm and trim(x3.title) <> '' group by all),
+m as (select x4.*, list_sort(list_distinct(list_concat(syn, coalesce(spelled, [])))) as synonyms from x4 left join x5 using (component))"""
+
+
+def variants(v):
+    """Titled concepts with synonyms, variants, a field to fill and some long definitions."""
+    i, t = F.col("seq"), F.col("title")
+    none = F.array().cast("array<string>")
+    return titled(v).select(
+        "*", F.when(i % 5 == 0, F.array(F.concat(t, F.lit(" syn")), F.lit("común"))).otherwise(none).alias("synonyms"), F.when(i % 4 == 0, F.array(F.concat(F.lit("v"), i))).otherwise(none).alias("variants"),
+        F.when(i % 3 == 0, F.concat(F.lit("m"), i)).otherwise("").alias("measure"),
+    ).withColumn("definition", F.when(i % 7 == 0, F.concat("definition", F.repeat(F.lit("."), 200))).otherwise(F.col("definition")))
 
 
 @book.page("ca7_best_variant")
 def ca7(v):
-    return E.merged(titled(v), E.key_groups(titled(v))).select("component", "canonical_id", "title")
+    return E.merged(variants(v), E.key_groups(titled(v))).select("component", "canonical_id", "title")
 
 
-ORACLE["ca7_best_variant"] = component_oracle(_MERGED + " select component, concept_id as canonical_id, title from x3 where rk = 1")
+ORACLE["ca7_best_variant"] = component_oracle(_MERGED + " select component, canonical_id, title from m")
 
 
 @book.page("ca8_merged_concepts")
 def ca8(v):
-    m = E.merged(titled(v), E.key_groups(titled(v)))
-    return m.select("canonical_id", F.array_join("members", ",").alias("members"), F.array_join("pages", ",").alias("pages"), "importance", "is_gateway", "is_threshold")
+    m = E.merged(variants(v), E.key_groups(titled(v)), ("measure",))
+    texts = [F.array_join(c, "|").alias(c) for c in ("members", "pages", "synonyms", "variants")]
+    return m.select("canonical_id", "definition", "importance", "is_gateway", "is_threshold", "measure", *texts)
+
+
+ORACLE["ca8_merged_concepts"] = component_oracle(_MERGED + """ select canonical_id, definition, importance, is_gateway, is_threshold, measure, array_to_string(members, '|') as members, array_to_string(pages, '|') as pages, array_to_string(synonyms, '|') as synonyms, array_to_string(variants, '|') as variants from m""")
+
+
+@book.page("ca9_id_map")
+def ca9(v):
+    return E.deterministic_pass(variants(v), ("measure",))[1]
+
+
+ORACLE["ca9_id_map"] = component_oracle(_MERGED + " select unnest(members) as old, canonical_id as new from m")
+
+
+@book.page("ca9_report")
+def ca9_report(v):
+    out, _, oversized = E.deterministic_pass(variants(v))
+    return E.pass_report(variants(v), out, oversized)
 
 
-ORACLE["ca8_merged_concepts"] = component_oracle(_MERGED + """ select arg_min(concept_id, rk) as canonical_id, string_agg(concept_id, ',' order by concept_id) as members, array_to_string(list_sort(list_distinct(list(first_page))), ',') as pages,
- max(importance) as importance, bool_or(is_gateway) as is_gateway, bool_or(is_threshold) as is_threshold from x3 group by component""")
+ORACLE["ca9_report"] = component_oracle(_MERGED + """ select (select count(*) from c) as n_in, (select count(*) from m) as n_out, (select count(*) from m where len(members) > 1) as fusions, (select sum(len(members) - 1)::bigint from m) as absorbed,
+ (select count(*) from amb) as ambiguous, (select count(*) from (select component from g group by all having count(*) > 3)) as oversized""")
 
 
 #: Acronyms that few titles share, so that groups stay within 2 to 6 on tables of any size.

@@ -100,8 +100,3 @@ def ll3_lengths(v):
 @book.page("rg8_split_communities")
 def rg8(v):
     return C.communities(bundles.edges(v))
-
-
-@book.page("ca9_canonical_titles", "v_concepts", f"select {NORM('title')} as norm, min(concept_id) as first_id, count(*) as n from v_concepts group by 1")
-def ca9(v):
-    return v("v_concepts").groupBy(T.title_norm("title").alias("norm")).agg(F.min("concept_id").alias("first_id"), F.count(F.lit(1)).alias("n"))

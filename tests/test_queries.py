@@ -271,3 +271,23 @@ def test_session_state_golden(spark):
     got = {r["session_id"]: r.asDict() for r in replay(spark.createDataFrame(log, "session_id long, seq long, kind string, concept_id string, item_id long, correct boolean, declared double")).collect()}
     assert got[1] == {"session_id": 1, "done": 6, "answers": 2, "hits": 0, "chosen": "b", "ended": True, "open_bets": 1, "gap": 0.9, "worst": "a"}
     assert got[2] == {"session_id": 2, "done": 1, "answers": 0, "hits": 0, "chosen": None, "ended": False, "open_bets": 0, "gap": None, "worst": None}
+
+
+def test_merge_of_variants_golden(spark):
+    from quillstone.operators.resolve import deterministic_pass
+
+    cols = "concept_id string, seq long, title string, definition string, importance double, is_enriched boolean, is_gateway boolean, is_threshold boolean, pages array<int>, synonyms array<string>, role array<string>"
+    data = [
+        ("a", 1, "Deep Index (DI)", "short", 0.2, False, None, False, [7], ["depth"], []),
+        ("b", 2, "DI", "a definition of much more than twice that", 0.9, False, True, False, [3], None, ["r"]),  # the owner's bare acronym
+        ("c", 3, "Deep Indices", "x", None, None, None, None, None, [], None),  # another word, its own concept
+        ("d", 4, "One (XY)", None, 0.1, True, False, False, [], [], []),
+        ("e", 5, "Two (XY)", "", 0.1, True, False, False, [], [], []),  # XY is ambiguous: not joined
+        *[(f"f{i}", 10 + i, "Same", "s", 0.0, False, False, False, [i], [], []) for i in range(4)],  # too many to merge
+    ]
+    out, id_map, large = deterministic_pass(spark.createDataFrame(data, cols), ("role",))
+    assert {(r["old"], r["new"]) for r in id_map.collect()} == {("a", "b"), ("b", "b")} | {(x, x) for x in ("c", "d", "e", "f0", "f1", "f2", "f3")}
+    b = next(r for r in out.collect() if r["canonical_id"] == "b")
+    assert (b["title"], b["definition"], b["importance"], b["is_gateway"], b["pages"], b["synonyms"], b["role"]) == ("DI", "a definition of much more than twice that", 0.9, True, [3, 7], ["Deep Index (DI)", "depth"], ["r"])
+    assert [r["members"] for r in large.collect()] == [["f0", "f1", "f2", "f3"]]
+    assert deterministic_pass(spark.createDataFrame([], cols))[1].count() == 0
