@@ -87,6 +87,40 @@ def levels(needs: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFra
     raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
 
 
+def kahn_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """doc_id, concept_id and place (from 1): prerequisites first, of those that are free the least id first;
+    concepts in or behind cycles come last, in their input order.
+
+    nodes: doc_id, concept_id, seq; needs: doc_id, concept_id, required (others than nodes don't count).
+    What is free depends on what came before, so a document's concepts are ordered in one group."""
+    required = needs.groupBy("doc_id", "concept_id").agg(F.collect_set("required").alias("required"))
+    rows = nodes.select("doc_id", "concept_id", "seq").join(required, ["doc_id", "concept_id"], "left")
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "concept_id"])
+        open_ = {c: set() for c in pdf["concept_id"]}
+        opens = {c: [] for c in open_}
+        for c, wants in zip(pdf["concept_id"], pdf["required"]):
+            for r in [] if wants is None else wants:
+                if r in open_:
+                    open_[c].add(r)
+                    opens[r].append(c)
+        free = sorted(c for c, r in open_.items() if not r)
+        out = []
+        while free:
+            out.append(heapq.heappop(free))
+            for c in opens[out[-1]]:
+                open_[c].discard(out[-1])
+                if not open_[c]:
+                    heapq.heappush(free, c)
+        placed = set(out)
+        out += [c for c in open_ if c not in placed]
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(out), "concept_id": out, "place": range(1, len(out) + 1)})
+
+    kind = dict(nodes.dtypes)["doc_id"]
+    return rows.groupBy("doc_id").applyInPandas(order, f"doc_id {kind}, concept_id string, place long")
+
+
 def order_quality(evidence: list[Column]) -> Column:
     """buena, parcial or debil by how many of five signs of an order hold."""
     n = sum((F.coalesce(e, F.lit(False)).cast("int") for e in evidence[1:]), F.coalesce(evidence[0], F.lit(False)).cast("int"))
@@ -217,13 +251,38 @@ def provisional_axes(concepts: DataFrame, degrees: DataFrame) -> DataFrame:
     return c.select("concept_id", F.explode(rows).alias("x")).select("concept_id", "x.axis", "x.position")
 
 
-def capabilities(degrees: DataFrame, pool: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: anchors (degree 3 or more, 20 at most), large pools, and the gates that they open."""
-    anchors = degrees.where("degree >= 3").orderBy(F.desc("degree"), "concept_id").limit(20).agg(F.count(F.lit(1)).alias("anchors"))
-    large = pool.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").agg(F.count(F.lit(1)).alias("large_pools"))
-    kinds = edges.agg(F.count_distinct("relation_type").alias("types"), F.count_if(F.col("confidence") >= 0.6).alias("asserted"))
-    out = anchors.join(F.broadcast(large)).join(F.broadcast(kinds))
-    return out.withColumns({"chain": F.col("anchors") >= 2, "monoculture": F.col("types") >= 2, "swarm": F.col("large_pools") >= 5, "echo": F.col("large_pools") >= 1})
+def capabilities(concepts: DataFrame, edges: DataFrame, pool: DataFrame, repertoires: DataFrame, scenarios: DataFrame, cases: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """One row: what a material can sustain, as counts, and the conditions that those open.
+
+    concepts: concept_id, is_gateway, is_threshold; edges: from_concept_id, to_concept_id, relation_type, confidence (null: 0.6);
+    pool: concept_id; scenarios: distancia, cases: prediction_enabled, both error_embebido; frameworks: rival_id.
+    Anchors are concepts of three edges or more, top_anchors the first 20. Every part is one row by construction.
+    """
+    one = F.count(F.lit(1))
+    trust = F.coalesce(F.col("confidence"), F.lit(0.6))
+    ends = edges.select(F.explode(F.array("from_concept_id", "to_concept_id")).alias("concept_id"))
+    anchors = ends.groupBy("concept_id").agg(one.alias("degree")).where("degree >= 3").join(concepts.select("concept_id"), "concept_id", "left_semi")
+    top = anchors.orderBy(F.desc("degree"), "concept_id").limit(20).agg(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "concept_id"))).alias("a"))
+    sizes = concepts.select("concept_id").join(pool.groupBy("concept_id").agg(one.alias("n")), "concept_id", "left")
+    erroneous = lambda df: df.select(F.trim(F.coalesce("error_embebido", F.lit(""))).alias("e"))
+    at = lambda d: F.count_if(F.coalesce(F.col("distancia") == d, F.lit(False)))
+    parts = [
+        anchors.agg(one.alias("anchors")),
+        top.select(F.array_join(F.transform("a", lambda x: x["concept_id"]), ",").alias("top_anchors")),
+        concepts.agg(F.count_if("is_gateway").alias("gateways"), F.count_if("is_threshold").alias("thresholds")),
+        sizes.agg(F.count_if(F.col("n").isNull()).alias("without_pool"), F.count_if(F.col("n") < 2).alias("least_pools"), F.count_if(F.col("n") >= 3).alias("large_pools")),
+        edges.agg(F.count_distinct("relation_type").alias("types"), F.count_if(trust >= 0.8).alias("asserted"), F.count_if((trust >= 0.6) & (trust < 0.8)).alias("implied"), F.count_if(trust < 0.6).alias("inferred")),
+        repertoires.agg(one.alias("repertoires")),
+        scenarios.agg(one.alias("scenarios"), at("cercana").alias("near"), at("media").alias("middle"), at("lejana").alias("far")),
+        cases.agg(F.count_if("prediction_enabled").alias("predicted_cases")),
+        erroneous(cases).unionByName(erroneous(scenarios)).agg(F.count_if(F.col("e") != "").alias("with_error")),
+        frameworks.agg(F.count_if(F.length("rival_id") > 0).alias("rivals")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part))
+    least = {"chain": ("anchors", 2), "monoculture": ("types", 2), "threshold": ("thresholds", 2), "swarm": ("large_pools", 5), "echo": ("repertoires", 1), "portal": ("scenarios", 1), "rival_framework": ("rivals", 2)}
+    return out.withColumns({name: F.col(c) >= n for name, (c, n) in least.items()})
 
 
 def problems(concepts: DataFrame, pool: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:

@@ -193,10 +193,16 @@ def co24(v):
     return K.provisional_axes(v("v_concepts"), R.degrees(edges(v)))
 
 
-@page("co28_capabilities", POOL + """, dg as (select c, count(*) as degree from (select f as c from eg union all select t from eg) group by all), a as (select count(*) as anchors from (select * from dg where degree >= 3 order by degree desc, c limit 20)), l as (select count(*) as large_pools from (select concept_id from pool group by all having count(*) >= 3)),
- k as (select count(distinct relation_type) as types, count(*) filter (where confidence >= 0.6) as asserted from eg) select *, anchors >= 2 as chain, types >= 2 as monoculture, large_pools >= 5 as swarm, large_pools >= 1 as echo from a cross join l cross join k""", "v_repertoires")
+@page("co28_capabilities", POOL + """, dg as (select c, count(*) as degree from (select f as c from eg union all select t from eg) where c in (select concept_id from v_concepts) group by all having count(*) >= 3), sz as (select c.concept_id, n from v_concepts c left join (select concept_id, count(*) as n from pool group by all) p using (concept_id)),
+ er as (select error_embebido as e from v_cases union all select case when distancia = 'INVALID' then 'x' end from v_scenarios),
+ z as (select (select count(*) from dg) as anchors, (select string_agg(c, ',' order by degree desc, c) from (select * from dg order by degree desc, c limit 20)) as top_anchors, (select count(*) from v_concepts where is_gateway) as gateways, (select count(*) from v_concepts where is_threshold) as thresholds,
+ (select count(*) from sz where n is null) as without_pool, (select count(*) from sz where n < 2) as least_pools, (select count(*) from sz where n >= 3) as large_pools, (select count(distinct relation_type) from eg) as types, (select count(*) from eg where confidence >= 0.8) as asserted, (select count(*) from eg where confidence >= 0.6 and confidence < 0.8) as implied,
+ (select count(*) from eg where confidence < 0.6) as inferred, (select count(*) from v_repertoires) as repertoires, (select count(*) from v_scenarios) as scenarios, (select count(*) from v_scenarios where distancia = 'cercana') as near, (select count(*) from v_scenarios where distancia = 'media') as middle, (select count(*) from v_scenarios where distancia = 'lejana') as far,
+ (select count(*) from v_cases where prediction_enabled) as predicted_cases, (select count(*) from er where trim(e) <> '') as with_error, (select count(*) from v_frameworks where rival_id <> '') as rivals)
+ select *, anchors >= 2 as chain, types >= 2 as monoculture, thresholds >= 2 as threshold, large_pools >= 5 as swarm, repertoires >= 1 as echo, scenarios >= 1 as portal, rivals >= 2 as rival_framework from z""", "v_repertoires v_scenarios v_cases v_frameworks")
 def co28(v):
-    return K.capabilities(R.degrees(edges(v)), pools(v)[1], edges(v))
+    scenarios = v("v_scenarios").withColumn("error_embebido", F.when(F.col("distancia") == "INVALID", "x"))
+    return K.capabilities(v("v_concepts"), edges(v), pools(v)[1], v("v_repertoires"), scenarios, v("v_cases"), v("v_frameworks"))
 
 
 @page("co29_problem_concepts", POOL + """, it as (select distinct primary_concept_id as concept_id from v_cases where trim(resolucion_esperada) <> ''), x as (select concept_id, concept_id not in (select concept_id from p0) as p, concept_id not in (select f from eg union select t from eg) as e, concept_id not in (select concept_id from it) as i from v_concepts)
@@ -218,6 +224,13 @@ def rg12(v):
     return K.levels(needs, v("v_concepts"))
 
 
+@book.page("rg12_order")
+def rg12_order(v):
+    of = v("v_concepts").select(F.col("cluster_id").alias("doc_id"), "concept_id", "seq")
+    needs = edges(v).where("relation_type = 'requiere'").select(F.col("from_concept_id").alias("concept_id"), F.col("to_concept_id").alias("required"))
+    return K.kahn_order(of, needs.join(of, "concept_id").select("doc_id", "concept_id", "required"))
+
+
 def _levels_oracle() -> str:
     from quillstone.sources.fixtures import oracle
 

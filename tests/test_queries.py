@@ -291,3 +291,13 @@ def test_merge_of_variants_golden(spark):
     assert (b["title"], b["definition"], b["importance"], b["is_gateway"], b["pages"], b["synonyms"], b["role"]) == ("DI", "a definition of much more than twice that", 0.9, True, [3, 7], ["Deep Index (DI)", "depth"], ["r"])
     assert [r["members"] for r in large.collect()] == [["f0", "f1", "f2", "f3"]]
     assert deterministic_pass(spark.createDataFrame([], cols))[1].count() == 0
+
+
+def test_kahn_order_golden(spark):
+    from quillstone.operators.compiler import kahn_order
+
+    nodes = [(1, c, i) for i, c in enumerate("zyxadbe")] + [(2, "q", 0)]
+    needs = [(1, "a", "z"), (1, "a", "d"), (1, "b", "a"), (1, "b", "a"), (1, "y", "x"), (1, "x", "y"), (1, "e", "x"), (1, "d", "gone")]
+    out = kahn_order(spark.createDataFrame(nodes, "doc_id long, concept_id string, seq int"), spark.createDataFrame(needs, "doc_id long, concept_id string, required string"))
+    got = {d: "".join(r["concept_id"] for r in out.where(f"doc_id = {d}").orderBy("place").collect()) for d in (1, 2)}
+    assert got == {1: "dzabyxe", 2: "q"}
