@@ -140,10 +140,24 @@ COMPONENTS = f"""with recursive {{views}}{PARTS}, e as (select distinct x.concep
 r(node, root) as (select concept_id, concept_id from c union select e.b, r.root from r join e on e.a = r.node), g as (select node as concept_id, min(root) as component from r group by node)"""
 
 
-def component_oracle(body: str) -> str:
+#: Titles in blocks: an owner of an acronym, the bare acronym and the base title, which merge, and six equal ones, which are too many.
+BLOCKS = "case seq % 6 when 0 then 'Base'||(seq // 6)||' index (BX'||(seq // 6)||')' when 1 then 'BX'||(seq // 6) when 2 then 'Base'||(seq // 6)||' index' else 'Same'||(seq // 12) end as title"
+
+BLOCK_TITLES = f"c as (select concept_id, seq, {BLOCKS}, definition, importance, is_gateway, is_threshold, is_enriched, first_page from v_concepts)"
+
+
+def blocks(v):
+    i = F.col("seq")
+    n = lambda k: F.floor(i / k).cast("string")
+    base, acronym = F.concat(F.lit("Base"), n(6), F.lit(" index")), F.concat(F.lit("BX"), n(6))
+    title = F.when(i % 6 == 0, F.concat(base, F.lit(" ("), acronym, F.lit(")"))).when(i % 6 == 1, acronym).when(i % 6 == 2, base)
+    return v("v_concepts").withColumn("title", title.otherwise(F.concat(F.lit("Same"), n(12))))
+
+
+def component_oracle(body: str, titles: str = TITLES) -> str:
     from quillstone.sources.fixtures import VIEWS
 
-    return COMPONENTS.replace("{views}", f"v_concepts as ({VIEWS['v_concepts']}), ") + body
+    return COMPONENTS.replace(TITLES, titles).replace("{views}", f"v_concepts as ({VIEWS['v_concepts']}), ") + body
 
 
 @book.page("ca5_components")
@@ -173,10 +187,10 @@ m as (select x4.*, list_sort(list_distinct(list_concat(syn, coalesce(spelled, []
 
 
 def variants(v):
-    """Titled concepts with synonyms, variants, a field to fill and some long definitions."""
+    """Concepts of blocks with synonyms, variants, a field to fill and some long definitions."""
     i, t = F.col("seq"), F.col("title")
     none = F.array().cast("array<string>")
-    return titled(v).select(
+    return blocks(v).select(
         "*", F.when(i % 5 == 0, F.array(F.concat(t, F.lit(" syn")), F.lit("común"))).otherwise(none).alias("synonyms"), F.when(i % 4 == 0, F.array(F.concat(F.lit("v"), i))).otherwise(none).alias("variants"),
         F.when(i % 3 == 0, F.concat(F.lit("m"), i)).otherwise("").alias("measure"),
     ).withColumn("definition", F.when(i % 7 == 0, F.concat("definition", F.repeat(F.lit("."), 200))).otherwise(F.col("definition")))
@@ -184,20 +198,20 @@ def variants(v):
 
 @book.page("ca7_best_variant")
 def ca7(v):
-    return E.merged(variants(v), E.key_groups(titled(v))).select("component", "canonical_id", "title")
+    return E.merged(variants(v), E.key_groups(blocks(v))).select("component", "canonical_id", "title")
 
 
-ORACLE["ca7_best_variant"] = component_oracle(_MERGED + " select component, canonical_id, title from m")
+ORACLE["ca7_best_variant"] = component_oracle(_MERGED + " select component, canonical_id, title from m", BLOCK_TITLES)
 
 
 @book.page("ca8_merged_concepts")
 def ca8(v):
-    m = E.merged(variants(v), E.key_groups(titled(v)), ("measure",))
+    m = E.merged(variants(v), E.key_groups(blocks(v)), ("measure",))
     texts = [F.array_join(c, "|").alias(c) for c in ("members", "pages", "synonyms", "variants")]
     return m.select("canonical_id", "definition", "importance", "is_gateway", "is_threshold", "measure", *texts)
 
 
-ORACLE["ca8_merged_concepts"] = component_oracle(_MERGED + """ select canonical_id, definition, importance, is_gateway, is_threshold, measure, array_to_string(members, '|') as members, array_to_string(pages, '|') as pages, array_to_string(synonyms, '|') as synonyms, array_to_string(variants, '|') as variants from m""")
+ORACLE["ca8_merged_concepts"] = component_oracle(_MERGED + """ select canonical_id, definition, importance, is_gateway, is_threshold, measure, array_to_string(members, '|') as members, array_to_string(pages, '|') as pages, array_to_string(synonyms, '|') as synonyms, array_to_string(variants, '|') as variants from m""", BLOCK_TITLES)
 
 
 @book.page("ca9_id_map")
@@ -205,7 +219,7 @@ def ca9(v):
     return E.deterministic_pass(variants(v), ("measure",))[1]
 
 
-ORACLE["ca9_id_map"] = component_oracle(_MERGED + " select unnest(members) as old, canonical_id as new from m")
+ORACLE["ca9_id_map"] = component_oracle(_MERGED + " select unnest(members) as old, canonical_id as new from m", BLOCK_TITLES)
 
 
 @book.page("ca9_report")
@@ -215,7 +229,7 @@ def ca9_report(v):
 
 
 ORACLE["ca9_report"] = component_oracle(_MERGED + """ select (select count(*) from c) as n_in, (select count(*) from m) as n_out, (select count(*) from m where len(members) > 1) as fusions, (select sum(len(members) - 1)::bigint from m) as absorbed,
- (select count(*) from amb) as ambiguous, (select count(*) from (select component from g group by all having count(*) > 3)) as oversized""")
+ (select count(*) from amb) as ambiguous, (select count(*) from (select component from g group by all having count(*) > 3)) as oversized""", BLOCK_TITLES)
 
 
 #: Acronyms that few titles share, so that groups stay within 2 to 6 on tables of any size.
