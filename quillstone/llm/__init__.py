@@ -20,6 +20,7 @@ MODULES = (
     "langid",
     "bpe",
     "packing",
+    "source_divergence",
 )
 
 

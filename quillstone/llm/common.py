@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.sources.shared import scratch, shared_dir, written
 
-__all__ = ["flagged", "join_hot", "let", "located", "lower_ascii", "placed", "prepare", "scratch", "shared_dir", "table", "without_rows", "written"]
+__all__ = ["arrow_batches", "changes", "flagged", "join_hot", "let", "located", "lower_ascii", "picked", "placed", "prepare", "scratch", "shared_dir", "table", "whole_runs", "without_rows", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,6 +42,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 8192) -> Iterator[None]:
+    """Arrow batches of at most so many rows and BATCH_BYTES in plans that run inside; the caller's settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    prepare(spark)
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def picked(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns of docs under other names (new: old). Goes by place, so further columns can have any names."""
+    names = docs.columns
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -111,3 +138,41 @@ def join_hot(rows: DataFrame, keys: DataFrame, on: str, n: str, total: int, how:
     cool = rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col(n) <= most), on, how)
     out = rows.join(hot, on)
     return out.unionByName(cool.select(*out.columns))
+
+
+# --- sorted Arrow batches ------------------------------------------------------------------
+
+
+def changes(b: pa.RecordBatch, keys: list[int], before: pa.RecordBatch | None) -> np.ndarray:
+    """Where rows of a sorted batch differ in key columns from the row before; before: the batch that ends there."""
+    out = np.zeros(b.num_rows, dtype=bool)
+    out[0] = before is None or any(b.column(k)[0] != before.column(k)[before.num_rows - 1] for k in keys)
+    for k in keys:
+        c = b.column(k)
+        out[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False))
+    return out
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted batches dealt anew so that no run of equal keys is cut, with the places where runs start.
+    Holds one batch and one run at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        b = pa.concat_batches(held)
+        return b, np.flatnonzero(changes(b, keys, None))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.flatnonzero(changes(b, keys, held[-1] if held else None))
+        if len(at):
+            if at[-1]:
+                held.append(b.slice(0, at[-1]))
+            if held:
+                yield joined()
+            held = [b.slice(at[-1])]
+        else:
+            held.append(b)
+    if held:
+        yield joined()
