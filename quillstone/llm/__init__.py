@@ -21,6 +21,7 @@ MODULES = (
     "bpe",
     "packing",
     "source_divergence",
+    "vector_codes",
 )
 
 
