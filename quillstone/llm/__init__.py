@@ -22,6 +22,7 @@ MODULES = (
     "packing",
     "source_divergence",
     "vector_codes",
+    "substring_fm",
 )
 
 
