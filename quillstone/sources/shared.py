@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Folders that open scratch() blocks have seen made, one list a block.
-_SEEN: list[list[str]] = []
+#: Folders that open scratch() blocks have seen made, one list a block; every thread has its own blocks.
+_SEEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="quillstone-"))
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    for seen in _SEEN:
+    for seen in _SEEN.get():
         seen.append(path)
     return path
 
@@ -48,12 +49,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Removes the folders that were made inside, but for those that the block takes out of the list."""
+    """Removes the folders that this thread made inside, but for those that the block takes out of the list."""
     seen: list[str] = []
-    _SEEN.append(seen)
+    opened = _SEEN.set((*_SEEN.get(), seen))
     try:
         yield seen
     finally:
-        _SEEN.remove(seen)
+        _SEEN.reset(opened)
         for path in seen:
             remove(spark, path)
