@@ -1,17 +1,26 @@
 """Grounding: which claims the source text supports.
 
-Quotes and sources are normalised once; n-gram overlap is an equi-join on hashed n-grams, so the
-work follows the n-grams that quotes and sources share, not quotes times sources.
+Quotes meet sources through an inverted index with prefix filtering: a quote joins on its rarest keys
+only, so the work follows the rare keys that quotes and sources share, not quotes times sources, and
+every candidate is verified on its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.grams import KeySet, piece_keys, word_keys
 from quillstone.functions.text import source_norm, word_grams
+from quillstone.sources.shared import written
 
 MIN_CHARS, OVERLAP, N = 25, 0.82, 4
+#: Words of 64 bits of the table that tells which keys quotes have: 8 MB, whatever the number of quotes.
+MOST_WORDS = 1 << 20
 
 
 def source_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,30 +29,70 @@ def source_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return norm.withColumn("n_grams", F.size(word_grams(F.col("norm"), N)))
 
 
-def grams(rows: DataFrame, id_col: str, norm: str = "norm") -> DataFrame:
-    """id and hashed n-grams of normalised texts, one row each."""
-    return rows.select(id_col, F.explode(F.transform(word_grams(F.col(norm), N), lambda g: F.xxhash64(g))).alias("gram"))
+def _quote_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows quote_id, norm: every key, whether of a piece or of words, and how many of its kind the quote has."""
+    for b in batches:
+        keys = [(k, kind, own) for k, t in enumerate(b.column(1).to_pylist()) for kind, own in (("piece", piece_keys(t)), ("words", word_keys(t, N)))]
+        rows = np.repeat([k for k, _, _ in keys], [len(own) for _, _, own in keys]) if keys else np.zeros(0, np.int64)
+        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array([kind for _, kind, own in keys for _ in own], pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *[own for _, _, own in keys]])), pa.array([len(own) for _, _, own in keys for _ in own], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["quote_id", "kind", "key", "total"])
+
+
+def wanted_keys(keys: DataFrame) -> KeySet:
+    """The keys as a bounded table of bits, the only thing that goes through the driver."""
+    n, words = keys.count(), 1024
+    while words < MOST_WORDS and words < n:
+        words *= 2
+    word = F.col("key").bitwiseAND(F.lit(words - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = KeySet(words)
+    out.add_words([r["word"] for r in rows], [r["bits"] for r in rows])
+    return out
+
+
+def inverted(docs: DataFrame, wanted: KeySet) -> DataFrame:
+    """doc_id and key of the keys of normalised texts that wanted may have. docs: doc_id, norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.concatenate([piece_keys(t), word_keys(t, N)]) for t in b.column(1).to_pylist()]
+            keys = [own[wanted.hits(own)] for own in keys]
+            rows = np.repeat(np.arange(len(keys)), [len(own) for own in keys])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["doc_id", "key"])
+
+    return docs.select("doc_id", "norm").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long")
+
+
+def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """quote_id and doc_id of all pairs where a source can support a quote, by an inverted index of the keys of quotes.
+
+    A quote joins on its rarest keys alone: one of its pieces, as a source that holds the quote has all of them, and
+    so many of its word n-grams that a source of enough overlap can't lack them all. quotes: quote_id, norm; docs: doc_id, norm."""
+    keys = written(quotes.mapInArrow(_quote_keys, f"quote_id {dict(quotes.dtypes)['quote_id']}, kind string, key long, total long"), "quote-keys")
+    postings = written(inverted(docs, wanted_keys(keys.select("key").distinct())), "quote-postings")
+    df = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    ranked = keys.join(df, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("quote_id", "kind").orderBy("df", "key")))
+    least = F.ceil(OVERLAP * F.col("total") - 1e-9)
+    joins_on = F.when(F.col("kind") == "piece", 1).otherwise(F.col("total") - least + 1)
+    chosen = ranked.where((F.col("rank") <= joins_on) & (F.col("df") > 0)).select("quote_id", "key")
+    return chosen.join(postings, "key").select("quote_id", "doc_id").distinct()
 
 
 def best_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """quote_id, found and similarity of each quote: the best overlap with any source, 1 where all
-    its n-grams are in one; 0 for quotes shorter than MIN_CHARS or without any shared n-gram.
+    """quote_id, found and similarity of each quote: whether any source holds it, as it is (1) or by enough of its
+    word n-grams (their share); similarity is null where none does. Quotes shorter than MIN_CHARS are never found.
 
-    quotes: quote_id, quote; docs: doc_id, text.
-    """
+    quotes: quote_id, quote; docs: doc_id, text. Candidates are verified on whole texts."""
     q = quotes.select("quote_id", source_norm("quote").alias("norm"))
-    long = q.where(F.length("norm") >= MIN_CHARS)
-    qg = grams(long, "quote_id").distinct()
-    total = qg.groupBy("quote_id").agg(F.count(F.lit(1)).alias("total"))
-    d = docs.select("doc_id", source_norm("text").alias("norm"))
-    # the wanted n-grams are few; a source sends only those
-    wanted = qg.select("gram").distinct()
-    dg = grams(d, "doc_id").join(wanted, "gram", "left_semi").distinct()
-    shared = qg.join(dg, "gram").groupBy("quote_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy("quote_id").agg(F.max("shared").alias("shared"))
-    out = q.join(total, "quote_id", "left").join(best, "quote_id", "left")
-    ratio = F.coalesce(F.col("shared") / F.col("total"), F.lit(0.0))
-    return out.select("quote_id", (ratio >= OVERLAP).alias("found"), F.round(ratio, 2).alias("similarity"))
+    pairs = candidates(q.where(F.length("norm") >= MIN_CHARS), docs.select("doc_id", source_norm("text").alias("norm")))
+    both = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("source", source_norm("text")).join(q, "quote_id")
+    mine = word_grams(F.col("norm"), N)
+    share = F.when(F.contains("source", "norm"), 1.0).otherwise(F.size(F.array_intersect(mine, word_grams(F.col("source"), N))) / F.size(mine))
+    best = both.select("quote_id", share.alias("share")).groupBy("quote_id").agg(F.max("share").alias("share")).where(F.col("share") >= OVERLAP)
+    out = q.select("quote_id").join(best, "quote_id", "left")
+    return out.select("quote_id", F.col("share").isNotNull().alias("found"), F.round("share", 2).alias("similarity"))
 
 
 def in_own_source(claims: DataFrame, docs: DataFrame, quote: str) -> DataFrame:

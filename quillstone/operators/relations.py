@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.shared import written
+
 # The closed set of relation types, spellings that stand for them, and groups of types.
 TYPES = "apoya contradice matiza extiende requiere causa ejemplifica generaliza contrasta".split()
 ALIASES = {
@@ -122,16 +124,17 @@ def unordered(pairs: DataFrame, a: str, b: str, concepts: DataFrame) -> DataFram
     return pairs.join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi")
 
 
-def co_occurrences(mentions: DataFrame, total: DataFrame, max_per_paragraph: int = 8, min_shared: int = 2, top: int = 300) -> DataFrame:
+def co_occurrences(paragraphs: DataFrame, max_per_paragraph: int = 8, min_shared: int = 2, top: int = 300) -> DataFrame:
     """Pairs that share paragraphs: a, b, shared, strength; the strongest first.
 
-    mentions: distinct (par, concept_id); total: one row, pars (all paragraphs). Paragraphs with more than max_per_paragraph concepts give
-    no pairs but count as appearances, so a paragraph gives 28 pairs at most.
+    paragraphs: concept_ids (sorted, distinct) of every paragraph. Those of more than max_per_paragraph concepts give
+    no pairs but count as appearances, so a paragraph gives 28 pairs at most, and no two paragraphs need to meet.
     """
-    mentions = mentions.withColumn("n_in", F.count(F.lit(1)).over(Window.partitionBy("par")))
-    seen = mentions.groupBy("concept_id").agg(F.count(F.lit(1)).alias("seen"))
-    few = mentions.where(F.col("n_in") <= max_per_paragraph)
-    pairs = few.select("par", F.col("concept_id").alias("a")).join(few.select("par", F.col("concept_id").alias("b")), "par").where("a < b")
+    total = paragraphs.agg(F.count(F.lit(1)).alias("pars"))
+    some = written(paragraphs.where(F.size("concept_ids") > 0).select("concept_ids"), "mentions")
+    seen = some.select(F.explode("concept_ids").alias("concept_id")).groupBy("concept_id").agg(F.count(F.lit(1)).alias("seen"))
+    after = F.transform("concept_ids", lambda a, k: F.transform(F.filter("concept_ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = some.where(F.size("concept_ids") <= max_per_paragraph).select(F.explode(F.flatten(after)).alias("p")).select("p.a", "p.b")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
     counts = counts.join(seen.select(F.col("concept_id").alias("a"), F.col("seen").alias("sa")), "a").join(seen.select(F.col("concept_id").alias("b"), F.col("seen").alias("sb")), "b").join(F.broadcast(total))
     expected = F.greatest(F.col("sa") * F.col("sb") / F.col("pars"), F.lit(0.5))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.patterns import phrase_finder
 from quillstone.functions.text import source_norm
 
 # Section patterns in order of precedence, and the sections of each layer in order of preference.
@@ -169,28 +170,24 @@ def section_report(segments: DataFrame) -> DataFrame:
     return segments.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
-def surface_forms(concepts: DataFrame, least: int = 3) -> DataFrame:
-    """concept_id and its normalised forms: title, title without a trailing parenthesis, what is in it.
+def surface_forms(concepts: DataFrame, least: int = 3, synonyms: bool = False) -> DataFrame:
+    """concept_id and its normalised forms: title, title without a trailing parenthesis, what is in it; with
+    synonyms a parenthesis anywhere, up to two letters longer, and the concept's synonyms too.
 
-    concepts: concept_id, title."""
-    base, inner = F.regexp_replace("title", r"\s*\([^)]*\)\s*$", ""), F.regexp_extract("title", r"\(([^)]{2,10})\)\s*$", 1)
-    each = concepts.select("concept_id", F.explode(F.array("title", base, inner)).alias("form"))
-    return each.select("concept_id", source_norm("form").alias("form")).where(F.length("form") >= least).distinct()
+    concepts: concept_id, title, and synonyms (array, may be null) where they count."""
+    base = F.regexp_replace("title", r"\s*\([^)]*\)\s*$", "")
+    inner = F.regexp_extract("title", r"\(([^)]{2,12})\)" if synonyms else r"\(([^)]{2,10})\)\s*$", 1)
+    each = F.array("title", base, inner)
+    if synonyms:
+        each = F.concat(each, F.coalesce("synonyms", F.array().cast("array<string>")))
+    forms = concepts.select("concept_id", F.explode(each).alias("form"))
+    return forms.select("concept_id", source_norm("form").alias("form")).where(F.length("form") >= least).distinct()
 
 
-def mentions(texts: DataFrame, forms: DataFrame, keys: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:
-    """keys and concept_id of every form that a text holds as whole words.
-
-    Texts give their word n-grams of the lengths that forms have, so forms are found by an equi-join,
-    not by a product. texts: keys, norm; forms: concept_id, form. Lengths of forms are few; they alone
-    are collected."""
-    size = F.size(F.split("form", " "))
-    lengths = sorted(r[0] for r in forms.select(size.alias("n")).distinct().collect())
-    words = F.split("norm", " ")
-    of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    grams = [F.coalesce(of(n), F.array().cast("array<string>")) for n in lengths] or [F.array().cast("array<string>")]
-    each = texts.select(*keys, words.alias("w")).select(*keys, F.explode(F.array_distinct(F.concat(*grams))).alias("form"))
-    return each.join(forms, "form").select(*keys, "concept_id").distinct()
+def mentions(texts: DataFrame, forms: DataFrame, whole_words: bool = True) -> DataFrame:
+    """texts (norm and any columns) with concept_ids: the sorted concepts of which a text holds a form, in one pass
+    over each text. forms: concept_id, form."""
+    return texts.withColumn("concept_ids", phrase_finder(forms, whole_words)(F.col("norm")))
 
 
 def mentioning(segments: DataFrame, forms: DataFrame, budget: int) -> DataFrame:
@@ -198,8 +195,7 @@ def mentioning(segments: DataFrame, forms: DataFrame, budget: int) -> DataFrame:
     first that doesn't fit ends the document's choice, but one is always taken.
 
     segments: doc_id, seq, norm, chars; forms: concept_id, form (normalised)."""
-    hit = mentions(segments, forms).select("doc_id", "seq").distinct()
-    found = segments.join(hit, ["doc_id", "seq"], "left_semi")
+    found = mentions(segments, forms).where(F.size("concept_ids") > 0).select("doc_id", "seq", "chars")
     w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kept = found.withColumn("used", F.sum("chars").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
     return kept.where((F.col("k") == 1) | (F.col("used") <= budget)).select("doc_id", "seq", "chars")

@@ -117,15 +117,15 @@ def rg16(v):
     return R.unordered(pairs, "concept_id", "o", v("v_concepts"))
 
 
-@book.page("rg13_co_occurrence", "v_segments v_quotes", f"""with {texts.TITLES}, par as (select doc_id, seq, {texts.SOURCE('text')} as norm from v_segments where length(trim(text)) > 80), pn as (select count(*) as pars from par),
- m as (select distinct doc_id, seq, concept_id from par, (select * from fm where length(form) >= 4) f where contains(' '||norm||' ', ' '||form||' ')), n as (select *, count(*) over (partition by doc_id, seq) as n_in from m), seen as (select concept_id, count(*) as seen from n group by all),
+@book.page("rg13_co_occurrence", "v_segments v_quotes v_concepts", f"""with {texts.ALL_NAMES}, par as (select doc_id, seq, {texts.SOURCE('text')} as norm from v_segments where length(trim(text)) > 80), pn as (select count(*) as pars from par),
+ m as (select distinct doc_id, seq, concept_id from par, fm where contains(norm, form)), n as (select *, count(*) over (partition by doc_id, seq) as n_in from m), seen as (select concept_id, count(*) as seen from n group by all),
  pr as (select x.concept_id as a, y.concept_id as b, count(*) as shared from n x join n y on x.doc_id = y.doc_id and x.seq = y.seq and x.concept_id < y.concept_id where x.n_in <= 8 group by all having count(*) >= 2)
  select a, b, shared, round(least(1, shared / greatest(s.seen * u.seen / (select pars from pn), 0.5::double)), 2) as strength from pr join seen s on s.concept_id = a join seen u on u.concept_id = b
  order by strength desc, shared desc, a, b limit 300""")
 def rg13(v):
     par = v("v_segments").where(F.length(F.trim("text")) > 80).select("doc_id", "seq", source_norm("text").alias("norm"))
-    m = S.mentions(par, S.surface_forms(texts.phrase_concepts(v), least=4))
-    return R.co_occurrences(m.select(F.struct("doc_id", "seq").alias("par"), "concept_id"), par.agg(F.count(F.lit(1)).alias("pars")))
+    forms = S.surface_forms(texts.phrase_concepts(v), least=4, synonyms=True)
+    return R.co_occurrences(S.mentions(par, forms, whole_words=False))
 
 
 @page("rg14_described_edges", """, d as (select doc_id, l.seq, f.title||' y '||f.definition as description, lower(f.title) as fa, lower(t.title) as fb from lnk l join v_concepts f on f.concept_id = from_concept_id join v_concepts t on t.concept_id = to_concept_id)

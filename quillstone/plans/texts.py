@@ -228,24 +228,28 @@ def sg13(v):
     return S.section_report(S.propagated(sections(v)))
 
 
-#: Concepts that documents mention: two phrases of each quote, the second with a word of it as acronym.
-TITLES = """qw as (select quote_id, string_split({norm}, ' ') as w from v_quotes),
-qc as (select 'a'||quote_id::varchar as concept_id, w[1]||' '||w[2] as title from qw union all select 'b'||quote_id::varchar, w[3]||' '||w[4]||' '||w[5]||' ('||upper(w[6])||')' from qw),
-fm as (select distinct concept_id, form from (select concept_id, unnest([{full}, {base}, {inner}]) as form from qc) where length(form) >= 3)""".format(
-    norm=SOURCE("quote"), full=SOURCE("title"), base=SOURCE("regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')"), inner=SOURCE("regexp_extract(title, '\\(([^)]{2,10})\\)\\s*$', 1)")
-)
+#: Concepts that documents mention: two phrases of each quote, the first with another as synonym, the second with a word of it
+#: as acronym; and those of v_concepts.
+_PHRASES = f"""qw as (select quote_id, string_split({SOURCE('quote')}, ' ') as w from v_quotes),
+qc as (select 'a'||quote_id::varchar as concept_id, w[1]||' '||w[2] as title, w[7]||' '||w[8] as synonym from qw union all select 'b'||quote_id::varchar, w[3]||' '||w[4]||' '||w[5]||' ('||upper(w[6])||')', null from qw
+ union all select concept_id, title, null from v_concepts)"""
+_FORMS = "fm as (select distinct concept_id, form from (select concept_id, unnest([{forms}]) as form from qc) where length(form) >= {least})"
+_BASE = SOURCE("regexp_replace(title, '\\s*\\([^)]*\\)\\s*$', '')")
+TITLES = _PHRASES + ", " + _FORMS.format(forms=", ".join((SOURCE("title"), _BASE, SOURCE("regexp_extract(title, '\\(([^)]{2,10})\\)\\s*$', 1)"))), least=3)
+ALL_NAMES = _PHRASES + ", " + _FORMS.format(forms=", ".join((SOURCE("title"), _BASE, SOURCE("regexp_extract(title, '\\(([^)]{2,12})\\)', 1)"), SOURCE("synonym"))), least=4)
 
 
 def phrase_concepts(v):
     w = F.split(T.source_norm("quote"), " ")
-    word = lambda k: F.try_element_at(w, F.lit(k))
+    phrase = lambda *ks: F.concat(*[x for k in ks for x in (F.lit(" "), F.try_element_at(w, F.lit(k)))][1:])
     q = v("v_quotes")
-    first = q.select(F.concat(F.lit("a"), "quote_id").alias("concept_id"), F.concat(word(1), F.lit(" "), word(2)).alias("title"))
-    second = q.select(F.concat(F.lit("b"), "quote_id").alias("concept_id"), F.concat(word(3), F.lit(" "), word(4), F.lit(" "), word(5), F.lit(" ("), F.upper(word(6)), F.lit(")")).alias("title"))
-    return first.unionByName(second).where("title is not null")
+    first = q.select(F.concat(F.lit("a"), "quote_id").alias("concept_id"), phrase(1, 2).alias("title"), F.array(phrase(7, 8)).alias("synonyms"))
+    none = F.lit(None).cast("array<string>").alias("synonyms")
+    second = q.select(F.concat(F.lit("b"), "quote_id").alias("concept_id"), F.concat(phrase(3, 4, 5), F.lit(" ("), F.upper(phrase(6)), F.lit(")")).alias("title"), none)
+    return first.unionByName(second).unionByName(v("v_concepts").select("concept_id", "title", none))
 
 
-@book.page("sg14_mentioning", "v_segments v_quotes", f"""with {TITLES}, s as (select doc_id, seq, {SOURCE('text')} as norm, length(text)::bigint as chars from v_segments),
+@book.page("sg14_mentioning", "v_segments v_quotes v_concepts", f"""with {TITLES}, s as (select doc_id, seq, {SOURCE('text')} as norm, length(text)::bigint as chars from v_segments),
  h as (select distinct s.doc_id, s.seq, chars from s, (select distinct form from fm) f where contains(' '||norm||' ', ' '||form||' ')), b as (select *, sum(chars) over (partition by doc_id order by seq) as used, row_number() over (partition by doc_id order by seq) as k from h)
  select doc_id, seq, chars from b where k = 1 or used <= 3000""")
 def sg14(v):
@@ -270,10 +274,11 @@ _GRAMS = f"""with q as (select quote_id, {SOURCE('quote')} as t from v_quotes),
 qg as (select distinct quote_id, unnest(case when len(ws) < 4 then [t] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) end) as g from (select *, string_split(t, ' ') as ws from q where length(t) >= 25)),
 dg as (select distinct doc_id, unnest(case when len(ws) < 4 then [t] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) end) as g from (select *, string_split(t, ' ') as ws from d)),
 sh as (select quote_id, doc_id, count(*) as n from qg join dg using (g) group by all), bst as (select quote_id, max(n) as n from sh group by all), tot as (select quote_id, count(*) as t from qg group by all),
-fnd as (select q.quote_id, coalesce(n / tot.t, 0)::double as r from q left join bst using (quote_id) left join tot using (quote_id))"""
+ins as (select distinct quote_id from q join d on length(q.t) >= 25 and contains(d.t, q.t)),
+fnd as (select q.quote_id, case when ins.quote_id is not null then 1 else coalesce(n / tot.t, 0) end::double as r from q left join bst using (quote_id) left join tot using (quote_id) left join ins using (quote_id))"""
 
 
-@book.page("gr2_quotes_in_sources", "v_quotes", _GRAMS + " select quote_id, r >= 0.82 as found, round(r, 2) as similarity from fnd")
+@book.page("gr2_quotes_in_sources", "v_quotes", _GRAMS + " select quote_id, r >= 0.82 as found, case when r >= 0.82 then round(r, 2) end as similarity from fnd")
 def gr2(v):
     return G.best_source(v("v_quotes"), v("documents"))
 
