@@ -28,41 +28,72 @@ def sequence_similarity(a: Column, b: Column, norm) -> Column:
     return F.pandas_udf(_ratios, "double", F.PandasUDFType.SCALAR)(norm(a), norm(b))
 
 
-def near_duplicate_texts(rows: DataFrame, key: str, threshold: float = 0.6, max_items: int | None = None) -> DataFrame:
-    """Greedy merging of each group's texts from the best score down: id and the id that absorbed it.
+def near_duplicate_texts(rows: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
+    """The absorb map of a greedy pass over each group's texts, from the best score down: id, place (from 1), and kept_id, the
+    id of the text that absorbed it or its own.
 
-    Equal normalised texts always merge; others of 4 tokens or more merge at a Jaccard similarity of
-    threshold with a kept text's growing signature. rows: key, id, seq, score, text. A group is one
-    document's few theses.
+    A text whose normalised form a kept text has joins it; others of 4 tokens or more join the first kept text of as
+    many whose signature has a Jaccard similarity of threshold or more; the signature grows by what it absorbs.
+    rows: key, id, seq, score (any type that sorts), text. A group is one document's few theses or frameworks.
     """
     rows = rows.withColumns({"norm": title_norm("text"), "tokens": title_tokens("text")}).withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "seq")))
     kind = dict(rows.dtypes)[key]
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []  # id, norm, signature
+        kept: list[list] = []  # id, signature
         by_norm: dict = {}
         out = []
         for r in pdf.itertuples():
             tokens = set(r.tokens)
             into = by_norm.get(r.norm)
             if into is None and len(tokens) >= 4:
-                for k in kept:
-                    if len(k[2]) >= 4 and len(tokens & k[2]) >= threshold * len(tokens | k[2]):
-                        into = k
-                        break
+                into = next((k for k in kept if len(k[1]) >= 4 and len(tokens & k[1]) / len(tokens | k[1]) >= threshold), None)
             if into is None:
-                if max_items is not None and len(kept) >= max_items:
-                    continue
-                into = [r.id, r.norm, set()]
+                into = [r.id, set()]
                 kept.append(into)
-            into[2] |= tokens
-            by_norm.setdefault(r.norm, into)
-            out.append((r.id, into[0]))
-        frame = pd.DataFrame(out, columns=["id", "kept_id"])
+                if r.norm:
+                    by_norm[r.norm] = into
+            into[1] |= tokens
+            out.append((r.id, r.seq, into[0]))
+        frame = pd.DataFrame(out, columns=["id", "place", "kept_id"])
         frame.insert(0, key, pdf[key].iloc[0])
         return frame
 
-    return fold(rows.select(key, "id", "seq", "norm", "tokens"), key, step, f"{key} {kind}, id string, kept_id string")
+    return fold(rows.select(key, "id", "seq", "norm", "tokens"), key, step, f"{key} {kind}, id string, place long, kept_id string")
+
+
+def _united(own: Column, more: Column) -> Column:
+    """own and those of more whose normalised form isn't there yet, in order."""
+    start = F.struct(own.alias("v"), F.transform(own, title_norm).alias("n"))
+    add = lambda acc, x: F.when(F.array_contains(acc["n"], title_norm(x)), acc).otherwise(F.struct(F.concat(acc["v"], F.array(x)).alias("v"), F.concat(acc["n"], F.array(title_norm(x))).alias("n")))
+    return F.aggregate(more, start, add, lambda acc: acc["v"])
+
+
+def united(rows: DataFrame, absorbed: DataFrame, key: str, lists: list[str], max_items: int | None = None) -> DataFrame:
+    """The kept rows of a greedy pass, the best first and at most max_items a group, with aliases (the ids they absorbed, in
+    order), and with the lists of all they absorbed: a value comes in once by its normalised form. Where a group has absorbed
+    any, ids in lists are followed to who absorbed them; a row's own id and repeated ones go.
+
+    rows: key, id and lists (arrays of strings); absorbed: near_duplicate_texts of them, whose ids tell rows of a group apart."""
+    none = F.array().cast("array<string>")
+    each = rows.select(key, "id", *[F.coalesce(c, none).alias(c) for c in lists]).join(absorbed, [key, "id"])
+    member = F.struct("place", "id", *lists)
+    groups = each.groupBy(key, "kept_id").agg(F.array_sort(F.collect_list(member)).alias("m")).withColumnRenamed("kept_id", "id")
+    later = F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0)))
+    field = lambda a, name: F.transform(a, lambda x: x[name])
+    aliases = F.filter(field(later, "id"), lambda x: x != F.col("id"))
+    out = groups.select(key, "id", F.col("m")[0]["place"].alias("place"), aliases.alias("aliases"), *[_united(F.col("m")[0][c], F.flatten(field(later, c))).alias(c) for c in lists])
+    entries = out.select(key, F.explode("aliases").alias("old"), "id").groupBy(key, "old").agg(F.max("id").alias("id"))
+    maps = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "id"))).alias("remap"))
+    out = out.join(maps, key, "left")
+
+    def followed(values: Column) -> Column:
+        step = lambda acc, v: F.when((v == F.col("id")) | F.array_contains(acc, v), acc).otherwise(F.concat(acc, F.array(v)))
+        return F.aggregate(F.transform(values, lambda v: F.coalesce(F.try_element_at("remap", v), v)), none, step)
+
+    out = out.withColumns({c: F.when(F.col("remap").isNull(), F.col(c)).otherwise(followed(F.col(c))) for c in lists}).drop("remap")
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("place")).cast("long"))
+    return out.where(F.col("place") <= max_items) if max_items is not None else out
 
 
 def safe_distractors(pool: DataFrame, correct: DataFrame, limit: int = 4, most: float = 0.72) -> DataFrame:
