@@ -61,17 +61,22 @@ _BOILER = frozenset(
     "share sharing social related recommended recommendations pagination pager copyright legal disclaimer alert alerts notification search form skip".split()
 )
 _CONTENT = frozenset("article articles content contents main post story entry body text prose page markdown".split())
-_PARTS = (frozenset("article post story entry".split()), frozenset("body content text".split()), frozenset("comment comments ad ads".split()))
+_NEUTRAL = frozenset("wrap wrapper container box area block section inner outer list item items group holder panel region row col column left right top bottom links thread".split())
+#: Parts of a name that state how a page is laid out or filed, not what the element is: all from a word of the first kind on, and names that end in one of the second.
+_FROM_HERE = frozenset("has with without no not is type status format tag category".split())
+_STATES = frozenset("open opened closed enabled disabled on off target layout active visible template".split())
 _TAGS = frozenset("nav footer aside form menu dialog button fieldset article main".split())
 _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "dialog": "dialog", "alert": "dialog", "form": "form", "main": "main", "article": "article"}
-#: What a container can be; `hidden` outdoes all, then what an attribute says, then the tag.
-KINDS = (*sorted(_TAGS), "header", "hidden", "named boilerplate", "named content")
-GOOD = frozenset(("article", "main", "named content"))
+#: What a container can be by its tag or role; `hidden` outdoes all else.
+KINDS = (*sorted(_TAGS), "header")
+GOOD = frozenset(("article", "main"))
+#: What a class or id can say: its last word, a word before a word for content or a neutral one, a word before any other, the beginning of one.
+SIGNS = ("boiler", "boiler part", "boiler hint", "boiler glued", "content", "content hint")
 #: Bounds of the log-odds of a block by itself, and of a container for each of its blocks: together, a
 #: block and a container for content don't outweigh one for boilerplate around them.
 MOST, LEAST_KIND, MOST_KIND = 3.0, -7.0, 3.5
-#: What each side of a kind of container counts before any block is seen.
-FEW = 0.05
+#: Ridge of the containers' classifier, whose features often tell all labelled containers apart.
+RIDGE = 0.1
 #: Capacities: of neighbours (less with their distance in the tree), and of a block and its container, and of nested containers.
 SMOOTH, PULL = 1.2, 7.0
 #: Open elements that a list item looks back for the one that it ends.
@@ -106,33 +111,70 @@ class Block:
         return self.owner.name
 
 
-def kind_of(name: str, attributes: str, inside: bool) -> str | None:
-    """What container a start tag opens, if any; inside: below an article or the main part."""
+class Box:
+    """A container: its kind (None if only its name tells), what its names say, the container around it."""
+
+    __slots__ = ("kind", "signs", "up")
+
+    def __init__(self, kind: str | None, signs: frozenset, up: int):
+        self.kind, self.signs, self.up = kind, signs, up
+
+    @property
+    def good(self) -> bool:
+        return self.kind in GOOD or self.kind is None and "content" in self.signs
+
+
+@lru_cache(maxsize=4096)
+def signs_of(value: str) -> frozenset:
+    """What the names in a class or id attribute say."""
+    out = set()
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        words = words[: next((k for k, w in enumerate(words) if w in _FROM_HERE), len(words))]
+        if not words or words[-1] in _STATES:
+            continue
+        if any(len(w) > len(x) + 2 and w.startswith(x) for w in words if len(w) > 7 and w not in _BOILER for x in _LONG_BOILER):
+            out.add("boiler glued")
+        last = len(words) - 1
+        while last and words[last] in _NEUTRAL:
+            last -= 1
+        before = any(w in _BOILER for w in words[:last])
+        if words[last] in _BOILER:
+            out.add("boiler")
+        elif before:
+            out.add("boiler part" if words[last] in _CONTENT or words[last] in _NEUTRAL else "boiler hint")
+        elif words[last] in _CONTENT:
+            out.add("content")
+        elif any(w in _CONTENT for w in words[:last]):
+            out.add("content hint")
+    return frozenset(out)
+
+
+_LONG_BOILER = tuple(sorted(w for w in _BOILER if len(w) > 5))
+
+
+def box_of(name: str, attributes: str, up: int, inside: bool) -> Box | None:
+    """The container that a start tag opens, if any; inside: below an article or the main part."""
     kind = name if name in _TAGS else "header" if name == "header" and not inside else None
-    if not attributes or name in ("body", "html"):
-        return kind
-    said = None
-    for what, a, b, c in _ATTRIBUTE.findall(attributes):
-        what, value = what.lower(), a or b or c
-        if what == "hidden" or what == "style" and _HIDES.search(value):
-            return "hidden"
-        if what == "role":
-            said = _ROLES.get(value.lower(), said)
-        elif what in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & _BOILER and not (words & _PARTS[0] and words & _PARTS[1] and not words & _PARTS[2]) or "header" in words and name not in _INLINE and not inside:
-                said = "named boilerplate"
-            elif words & _CONTENT and said is None and (kind is None or kind in GOOD):
-                said = "named content"
-    return said or kind
+    signs: frozenset = frozenset()
+    if attributes and name not in ("body", "html"):
+        for what, a, b, c in _ATTRIBUTE.findall(attributes):
+            what, value = what.lower(), a or b or c
+            if what == "hidden" or what == "style" and _HIDES.search(value):
+                return Box("hidden", frozenset(), up)
+            if what == "role":
+                kind = _ROLES.get(value.lower(), kind)
+            elif what in ("class", "id"):
+                signs |= signs_of(value)
+    return Box(kind, signs, up) if kind or signs else None
 
 
 class Page:
-    """The blocks of a page in order, and its containers as (kind, container around it)."""
+    """The blocks of a page in order, and its containers, those around others first."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.boxes: list[tuple[str, int]] = []
+        self.boxes: list[Box] = []
         self.html, self.lenient = html, False
         self.top = _Open("", None, -1, False)
         self.open: Counter = Counter()  # open block-level elements by name
@@ -158,16 +200,17 @@ class Page:
 
     def _push(self, name: str, attributes: str) -> None:
         up, inline = self.top, name in _INLINE
-        kind = kind_of(name, attributes, up.inside)
+        own = box_of(name, attributes, up.box, up.inside)
         box = up.box
-        if kind is not None:
-            if inline and kind not in GOOD:  # an advert inside a paragraph
+        if own is not None and inline and own.kind != "hidden" and not (own.signs & {"boiler", "boiler part"} and "content" not in own.signs):
+            own = None
+        if own is not None:
+            if inline:  # an advert inside a paragraph
                 self._flush()
-            if not inline or kind not in GOOD:
-                self.boxes.append((kind, up.box))
-                box = len(self.boxes) - 1
+            self.boxes.append(own)
+            box = len(self.boxes) - 1
         self.top = _Open(name, up, box, inline)
-        self.top.inside = up.inside or kind in GOOD and not inline
+        self.top.inside = up.inside or own is not None and own.good
         (self.top.inline if inline else self.open)[name] += 1
 
     def _pop(self) -> None:
@@ -305,30 +348,64 @@ def local(b: Block) -> list[float]:
     return [1.0, min(np.log2(1 + chars), 10.0) / 5, min(1.0, b.link_chars / chars), float(b.tag == "p"), float(b.tag in _HEADINGS), float(b.tag in ("li", "td", "th", "dd", "dt")), float(b.text[-1] in ".!?…:")]
 
 
-def learn(labelled: list[tuple[str, frozenset]]) -> tuple[np.ndarray, dict[str, float]]:
-    """(weights of local(), log-odds of each kind of container) from pages with their content blocks' texts.
-    The weights come from blocks that no container for boilerplate holds, as its own odds speak for those."""
-    rows, labels, of_kind = [], [], {k: [FEW, FEW] for k in KINDS}
+def boxes_seen(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """What the classifier sees of every container, and the characters in it."""
+    chars, links, ended = (np.zeros(len(page.boxes) + 1) for _ in range(3))
+    for b in page.blocks:
+        size = len(b.text)
+        chars[b.box] += size
+        links[b.box] += b.link_chars
+        ended[b.box] += size * (b.text[-1] in ".!?…:")
+    for i in range(len(page.boxes) - 1, -1, -1):  # the last place is the page's
+        for x in (chars, links, ended):
+            x[page.boxes[i].up] += x[i]
+    out = np.zeros((len(page.boxes), 6 + len(KINDS) + len(SIGNS)))
+    for i, box in enumerate(page.boxes):
+        size, share = chars[i] or 1.0, chars[i] / (chars[-1] or 1.0)
+        out[i, :6] = 1.0, share, share > 0.5, min(1.0, links[i] / size), ended[i] / size, box.kind in GOOD and box.up < 0
+        if box.kind in KINDS:
+            out[i, 6 + KINDS.index(box.kind)] = 1.0
+        for sign in box.signs:
+            out[i, 6 + len(KINDS) + SIGNS.index(sign)] = 1.0
+    return out, chars[:-1]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Logistic regression by Newton's method with a small ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+    return w
+
+
+def learn(labelled: list[tuple[str, frozenset]]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of local(), weights of boxes_seen()) from pages with their content blocks' texts.
+    The former come from blocks that no container for boilerplate holds, as its own odds speak for those."""
+    rows, labels, boxes, box_labels = [], [], [], []
     for html, content in labelled:
         page = Page(html)
+        seen, chars = boxes_seen(page)
+        own, all_own = np.zeros(len(page.boxes) + 1), np.zeros(len(page.boxes) + 1)
+        for b in page.blocks:
+            all_own[b.box] += len(b.text)
+            own[b.box] += len(b.text) * (b.text in content)
+        for i in range(len(page.boxes) - 1, -1, -1):  # a container is what its own blocks are, one without such what is in it
+            if not all_own[i]:
+                all_own[i], own[i] = chars[i], sum(own[j] for j in range(i + 1, len(page.boxes)) if page.boxes[j].up == i)
+        good = own[:-1] > 0.5 * all_own[:-1]
         for b in page.blocks:
-            good = b.text in content
-            kind = page.boxes[b.box][0] if b.box >= 0 else None
-            if kind is not None:
-                of_kind[kind][good] += 1
-            if kind is None or kind in GOOD:
+            if b.box < 0 or good[b.box]:
                 rows.append(local(b))
-                labels.append(good)
-    x, y = np.array(rows), np.array(labels, dtype=float)
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # logistic regression by Newton's method, with a small ridge
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
-    return w, {k: float(np.clip(np.log(good / bad), LEAST_KIND, MOST_KIND)) for k, (bad, good) in of_kind.items()}
+                labels.append(b.text in content)
+        use = np.array([c > 0 and box.kind != "hidden" for c, box in zip(chars, page.boxes)], bool)
+        boxes.append(seen[use])
+        box_labels.append(good[use])
+    return _logistic(np.array(rows), np.array(labels, dtype=float), 1.0), _logistic(np.concatenate(boxes), np.concatenate(box_labels).astype(float), RIDGE)
 
 
 @lru_cache(maxsize=1)
-def learned() -> tuple[np.ndarray, dict[str, float]]:
+def learned() -> tuple[np.ndarray, np.ndarray]:
     from .labelled_pages import pages
 
     return learn(pages())
@@ -418,9 +495,16 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float, float]]) -> li
                 at[a] += 1
 
 
-def label(page: Page, weights: np.ndarray, kinds: dict[str, float]) -> list[bool]:
+def box_odds(page: Page, weights: np.ndarray) -> list[float]:
+    """How much more likely each container's blocks are content than boilerplate, by the container."""
+    seen, _ = boxes_seen(page)
+    return [LEAST_KIND if box.kind == "hidden" else x for box, x in zip(page.boxes, np.clip(seen @ weights, LEAST_KIND, MOST_KIND).tolist())]
+
+
+def label(page: Page, weights: np.ndarray, box_weights: np.ndarray) -> list[bool]:
     """Whether each block is content."""
     n = len(page.blocks)
+    kinds = box_odds(page, box_weights)
     odds = odds_alone(page, weights) + [0.0] * len(page.boxes)
     edges: list[tuple[int, int, float, float]] = []
     below: dict[_Open, int] = {}
@@ -432,18 +516,18 @@ def label(page: Page, weights: np.ndarray, kinds: dict[str, float]) -> list[bool
         below[b.owner.up] = k
         if b.box >= 0:
             edges.append((k, n + b.box, PULL, PULL))
-            odds[n + b.box] += kinds[page.boxes[b.box][0]]
+            odds[n + b.box] += kinds[b.box]
     many = Counter(b.box for b in page.blocks)
     for i in range(len(page.boxes) - 1, -1, -1):  # containers come after those around them
-        if many[i] and (up := page.boxes[i][1]) >= 0:
+        if many[i] and (up := page.boxes[i].up) >= 0:
             if not many[up]:
-                odds[n + up] += kinds[page.boxes[up][0]] * many[i]
+                odds[n + up] += kinds[up] * many[i]
             edges.append((n + i, n + up, PULL * many[i], 0.0))
             many[up] += many[i]
     return min_cut(odds, edges)[:n]
 
 
-def main_text(html: str | None, model: tuple[np.ndarray, dict[str, float]] | None = None) -> str:
+def main_text(html: str | None, model: tuple[np.ndarray, np.ndarray] | None = None) -> str:
     page = Page(html or "")
     return " ".join(b.text for b, keep in zip(page.blocks, label(page, *(model or learned()))) if keep)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import picked, prepare, table
 
 DIMS, SEED, N = 1024, 20240607, 3
 #: Codes: 0 blank, 1 to 26 a to z, the rest for other letters by code point; those below U+0FE0 have their own.
@@ -165,13 +165,15 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "
                 score = np.where(some, cosines[np.arange(len(v)), best].clip(0, 1), 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
+    rows = picked(docs, {"id": id_col, "text": text_col})
+    source = rows.select(F.col("id").cast("long").alias("doc_id"), held_out(F.col("id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the documents that aren't held out and predicts all."""
-    return predict(docs, learn(docs.where(~held_out(docs[id_col])), text_col, lang_col), id_col, text_col)
+    rows = picked(docs, {"id": id_col, "text": text_col, "lang": lang_col})
+    return predict(rows, learn(rows.where(~held_out(F.col("id"))), "text", "lang"), "id", "text")
 
 
 def least_score(distinct: np.ndarray, min_score: float) -> np.ndarray:
@@ -184,7 +186,8 @@ def with_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id
     """The rows of docs that have a language: not `und`, and a score that least_score asks for or more.
     The language column becomes the prediction, whatever it was."""
     prepare(docs.sparkSession)
-    prototypes = learn(docs.where(~held_out(docs[id_col])), text_col, lang_col)
+    rows = picked(docs, {"id": id_col, "text": text_col, "lang": lang_col})
+    prototypes = learn(rows.where(~held_out(F.col("id"))), "text", "lang")
     vectors = np.array(list(prototypes.values()), dtype=np.float32).reshape(-1, DIMS)
     place, langs, lang_place = docs.columns.index(text_col), np.array(list(prototypes), dtype=object), docs.columns.index(lang_col)
 
@@ -199,7 +202,8 @@ def with_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id
             b = b.set_column(lang_place, b.schema.field(lang_place), pa.array(langs[cosines.argmax(axis=1)], pa.string()).cast(b.schema.field(lang_place).type))
             yield b.filter(pa.array((size > 0) & (best >= least_score(distinct, min_score))))
 
-    return docs.mapInArrow(run, docs.schema)
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of the input can't be in the way
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, flagged, let, table, written
 
 MAX_RATIO, MIN_PAGES = 0.05, 5
+#: Lines of hot hosts that are broadcast at most (32 bytes each); more are joined by a shuffle whose skewed partitions Spark splits.
+HOT_LINES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -48,17 +50,22 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
 
 def drop_site_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with text_col freed of boilerplate, and __n_lines and __n_dropped (long) as last columns."""
-    bad = written(boilerplate(docs, host, docs[text_col], max_ratio, min_pages), "site-lines")
+    # the input is one column meanwhile, under names that can't clash with any of ours
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select("*", host.alias("host")).toDF(*own, "host")
+    text = F.col(own[docs.columns.index(text_col)])
+    bad = written(boilerplate(rows, F.col("host"), text, max_ratio, min_pages), "site-lines")
     most = docs.count() // HOT_SHARE
-    # the input is one column meanwhile, so its names can't clash with any of ours
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs[text_col].cast("string").alias("t"), _key(host).alias("host"))
-    hot = F.broadcast(bad.where(F.col("pages") > most).select("host", "bad"))
+    whole = rows.select(F.struct(*own).alias("whole"), text.cast("string").alias("t"), _key(F.col("host")).alias("host"))
+    hot = bad.where(F.col("pages") > most).select("host", "bad")
+    if (hot.agg(F.sum(F.size("bad"))).first()[0] or 0) <= HOT_LINES:
+        hot = F.broadcast(hot)
     cool = bad.where(F.col("pages") <= most).select("host", "bad")
     of_hot = whole.join(hot, "host", "left").select("whole", "t", "host", "bad")
     rest = flagged(of_hot.where("bad is null"), cool, ["host"])
-    own = ("whole", "t", "bad")
-    joined = of_hot.where("bad is not null").select(*own).unionByName(rest.where(~F.col("maybe")).select(*own))
-    joined = joined.unionByName(rest.where("maybe").drop("bad").join(cool, "host", "left").select(*own))
+    held = ("whole", "t", "bad")
+    joined = of_hot.where("bad is not null").select(*held).unionByName(rest.where(~F.col("maybe")).select(*held))
+    joined = joined.unionByName(rest.where("maybe").drop("bad").join(cool, "host", "left").select(*held))
     clean = let(F.col("bad"), lambda bad: F.filter(F.split("t", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(bad, _digest(x)))))
     out = joined.select("whole", "t", F.when(F.col("bad").isNull(), F.split("t", "\n")).otherwise(clean).alias("stays"))
     n = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(F.split("t", "\n"))).cast("long")
@@ -69,7 +76,7 @@ def drop_site_lines(docs: DataFrame, host: Column, text_col: str = "text", max_r
         while name in docs.columns:
             name += "_"
         more.append(value.alias(name))
-    return out.select(*[text if c == text_col else F.col(f"whole.`{c}`") for c in docs.columns], *more)
+    return out.select(*[text if c == text_col else F.col(f"whole.{k}").alias(c) for c, k in zip(docs.columns, own)], *more)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ length are encoded whole; further columns aren't read, so they can have any name
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, table, written
+from .common import picked, prepare, shared_dir, table, written
 
 SEPARATOR, BLOCK_BYTES = 0, 1 << 20
 #: Lines of a batch between the JVM and Python; they are short.
@@ -70,9 +71,17 @@ def write_tokens(docs: DataFrame, path: str, text_col: str = "text") -> None:
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\x00\x00").option("compression", "none").text(path)
 
 
+def straight_from_files(docs: DataFrame) -> bool:
+    """Whether docs only reads, filters and projects files, so that its tasks get the same rows each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return all(re.match(r"[\s:+-]*(Relation|Project|Filter)\b", line) for line in plan.strip().splitlines())
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, file_no and doc_no of the documents that write_tokens writes from a table of files:
-    a task's rows become one file, in their order, and tasks read the same rows each time."""
+    """doc_id, file_no and doc_no of the documents that write_tokens writes from docs, which must come straight
+    from files: a task's rows become one file, in their order."""
+    if not straight_from_files(docs):
+        raise ValueError("rows that don't come straight from files have other places each time; write them first")
     n = F.monotonically_increasing_id()
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.shiftright(n, 33).cast("int").alias("file_no"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
 
@@ -186,11 +195,15 @@ def documents(blocks: DataFrame, ranges: DataFrame, separator: int) -> DataFrame
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and the place (file_no, doc_no, start) of every row of docs, counted from flat
-    token files alone; the ids come from where write_tokens puts each document."""
+    token files alone; the ids come from where write_tokens puts each document. What doesn't come straight
+    from files is written first."""
+    docs = picked(docs, {"doc_id": id_col, "text": text_col})
+    if not straight_from_files(docs):
+        docs = written(docs, "token-documents")
     path = shared_dir(docs.sparkSession, "tokens")
-    write_tokens(docs, path, text_col)
+    write_tokens(docs, path)
     counted = count_tokens(docs.sparkSession, path).withColumn("file_no", F.regexp_extract("file", r"^part-(\d+)", 1).cast("int"))
-    return numbered(docs, id_col).join(counted, ["file_no", "doc_no"]).select("doc_id", "n_tokens", "file_no", "doc_no", "start")
+    return numbered(docs).join(counted, ["file_no", "doc_no"]).select("doc_id", "n_tokens", "file_no", "doc_no", "start")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -553,6 +553,54 @@ def test_pages_with_known_main_text(spark):
     assert changed_ > 0.05 * n
 
 
+PROSE = "".join(f"<p>Line {k} of prose that goes on for some words, as lines of an article do.</p>" for k in range(10))
+OPENINGS = (
+    "<article>", '<div class="content has-sidebar">', '<article class="post comments-open">', '<article class="post hentry tag-social">', '<main class="site-main with-sidebar">', '<main id="skip-target">',
+    '<article class="legal-news">', '<article class="search-result">', '<div id="main" class="page-with-menu">', '<div class="entry social-share-enabled">', '<article class="post social">', '<article class="notice">',
+    '<div class="blog-post newsletter">', '<section class="related-news">', '<div class="layout no-sidebar"><div class="text">',
+)
+
+
+@pytest.mark.parametrize("opening", OPENINGS)
+def test_names_that_state_a_layout_lose_no_article(opening):
+    from quillstone.llm.html_main import main_text
+
+    end = "".join(f"</{t[1:].split()[0].rstrip('>')}>" for t in reversed(opening.split("><") if "><" in opening else [opening]) for t in ["<" + t.lstrip("<")])
+    comments = '<ol class="commentlist"><li class="comment"><p>I liked this article a lot, thank you.</p></li><li><p>Me too, it is the best I have read in years.</p></li></ol>'
+    page = f"<html><body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav>{opening}{PROSE}{end}{comments}<footer><p>Copyright by us.</p></footer></body></html>"
+    assert main_text(page) == " ".join(f"Line {k} of prose that goes on for some words, as lines of an article do." for k in range(10))
+
+
+def test_names_say_what_an_element_is():
+    from quillstone.llm.html_main import signs_of
+
+    assert signs_of("content has-sidebar") == signs_of("post comments-open tag-social") == signs_of("page-with-menu") == {"content"}
+    assert signs_of("skip-target") == signs_of("no-sidebar") == signs_of("x") == frozenset()
+    assert signs_of("legal-news") == {"boiler hint"} and signs_of("commentBody") == {"boiler part"} and signs_of("commentlist") == {"boiler glued"}
+    assert signs_of("sidebar-wrapper") == signs_of("site_footer") == signs_of("nav") == {"boiler"} and signs_of("post-meta") == {"content hint"}
+
+
+def test_blog_layout_that_no_labelled_page_has():
+    """Blocks of pages laid out as none of labelled_pages: nested wrappers, comments as articles, bylines, galleries."""
+    from quillstone.llm import html_main as H
+
+    rng = random.Random(11)
+    words = lambda a, b: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    right = n = 0
+    for _ in range(60):
+        content = [words(3, 8).capitalize(), *[f"{words(15, 60).capitalize()}." for _ in range(rng.randint(3, 9))]]
+        body = f"<h2>{content[0]}</h2>" + "".join(f"<p>{c}</p>" for c in content[1:])
+        said = "".join(f'<article class="comment"><p>{words(4, 40).capitalize()}.</p></article>' for _ in range(rng.randint(1, 6)))
+        page = H.Page(
+            f'<body class="single has-sidebar"><div id="page"><div id="top" class="site-branding"><a href=/>{words(1, 2)}</a></div><div class="menu-main-container"><ul>{"".join(f"<li><a href=x>{words(1, 2)}</a></li>" for _ in range(6))}</ul></div>'
+            f'<div class="row with-sidebar"><div class="col primary {rng.choice(("hentry", "type-post", "story comments-closed"))}">{body}</div><div class="secondary-widgets widget-area"><h3>{words(1, 3)}</h3>{"".join(f"<p>{words(3, 12)}</p>" for _ in range(3))}</div></div>'
+            f'<section class="comments-area">{said}</section></div><div class="colophon site-footer"><p>{words(4, 9)}</p></div></body>'
+        )
+        right += sum((b.text in content) == y for b, y in zip(page.blocks, H.label(page, *H.learned())))
+        n += len(page.blocks)
+    assert right > 0.93 * n, right / n
+
+
 def test_classifier_on_unseen_pages(monkeypatch):
     from quillstone.llm import html_main as H
     from quillstone.llm import labelled_pages as L
@@ -599,6 +647,77 @@ def test_html_operator(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+# --- names and places of the input ---
+
+
+def odd_docs(spark):
+    rows = [(k, "x", f"the cat sat on the mat and went home number {k}\nline\nof the", "en", "s", "y") for k in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, `a.b` string, text string, lang string, source string, Text string")
+
+
+def test_operators_take_any_further_names(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import langid, line_dedup, near_copies, quality
+
+    docs = odd_docs(spark)
+    assert langid.identify(docs).count() == 12
+    for out in (langid.with_language(docs), line_dedup.drop_site_lines(docs, F.col("source")), quality.good(docs), near_copies.without_near_copies(docs)):
+        assert out.columns[:6] == docs.columns
+        assert out.count() in (0, 1, 12)
+    kept = line_dedup.drop_site_lines(docs, F.col("source"), max_ratio=0.5).toPandas()
+    assert set(kept.iloc[:, 2].str.count("\n")) == {0} and set(kept.iloc[:, 1]) == {"x"} and set(kept.iloc[:, 5]) == {"y"}
+
+
+def test_many_lines_of_hot_hosts_are_not_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import line_dedup
+
+    want = rows(line_dedup.drop_site_lines(odd_docs(spark), F.col("source"), max_ratio=0.5))
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 0)
+    assert rows(line_dedup.drop_site_lines(odd_docs(spark), F.col("source"), max_ratio=0.5)) == want
+
+
+def test_token_counts_of_rows_whose_places_change(spark):
+    from quillstone.llm import separator_scan as S
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
+    straight = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    want = {r["doc_id"]: len(S.encoder().encode(r["text"], disallowed_special=())) for r in docs.union(straight.select("doc_id", "text")).collect()}
+    assert S.straight_from_files(straight) and not S.straight_from_files(docs.repartition(5)) and not S.straight_from_files(docs.orderBy("text"))
+    for rows_ in (docs.repartition(5), docs.orderBy("text").coalesce(3), straight.union(straight.limit(0)), docs.limit(0)):
+        got = {r["doc_id"]: r["n_tokens"] for r in S.token_counts(rows_).collect()}
+        assert got == {k: want[k] for k in got} and len(got) == rows_.count()
+    with pytest.raises(ValueError):
+        S.numbered(docs.repartition(5))
+
+
+def test_scratch_folders_belong_to_their_thread(spark):
+    import threading
+
+    from quillstone.llm.common import scratch, written
+
+    made = {}
+    inside, done = threading.Event(), threading.Event()
+
+    def other():
+        with scratch(spark):
+            inside.wait(60)
+            made["b"] = written(spark.range(5), "other")
+            done.set()
+            made["rows"] = made["b"].count()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with scratch(spark) as mine:
+        inside.set()
+        done.wait(60)
+        assert not mine
+    t.join()
+    assert made["rows"] == 5
+
+
 # --- op8, op10 ---
 
 
