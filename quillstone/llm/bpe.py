@@ -19,8 +19,9 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import picked, prepare, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens and their characters whose ids a worker remembers, and pre-tokens of one slice of a text.
@@ -158,7 +159,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 ids = [[int(k) for s in c.slices(t.as_py() or "") for k in s.split(",")] for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = picked(docs, {"doc_id": id_col, "text": text_col})
+    source = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, SCHEMA if digests else "doc_id long, ids array<int>")
 
 

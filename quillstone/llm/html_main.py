@@ -30,8 +30,9 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import picked, prepare, table
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -542,7 +543,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h.as_py(), model) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    rows = picked(pages, {"page_id": id_col, "url": url_col, "html": html_col})
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
 
 
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import picked, prepare, table
 
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 1024
 #: Of the windows that aren't cut from one document, tasks of 8,000 documents close 83 % online, tasks of 1,000 27 %.
@@ -191,7 +192,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         if (rows := packer.rows()) is not None:
             yield rows
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = picked(docs, {"doc_id": id_col, "text": text_col})
+    source = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.coalesce(max(1, -(-docs.count() // ROWS_A_TASK))).mapInArrow(run, SCHEMA)
 
 

@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, path: str, text_col: str = "text") -> None:
             raw = [(e.encode_to_numpy(t.as_py() or "", disallowed_special=()) + 1).astype("<u2").tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["ids"])
 
-    ids = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "ids binary")
+    ids = picked(docs, {"text": text_col}).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
     # the line separator of the text writer is the separator id: two zero bytes
     ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\x00\x00").option("compression", "none").text(path)
 

@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, join_hot, let, table, written
+from .common import UPPER, join_hot, let, picked, table, written
 
 # The rules of op9, as (host, path, verdict).
 RULES = (
@@ -144,7 +144,8 @@ def margin(model) -> Column:
 
 def features(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """page_id, url, host, path, r (rule and verdict, null if none fits), fold and FEATURES of every row."""
-    urls = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"))
+    rows = picked(pages, {"page_id": id_col, "url": url_col})
+    urls = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = parts(F.col("url"))
     urls = urls.select("page_id", "url", host.alias("host"), path.alias("path"))
     return with_suffixes(lexical(urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))))

@@ -661,7 +661,12 @@ def test_operators_take_any_further_names(spark):
     from quillstone.llm import langid, line_dedup, near_copies, quality
 
     docs = odd_docs(spark)
-    assert langid.identify(docs).count() == 12
+    from quillstone.llm import bpe, html_main, packing, simhash_vp, source_divergence, substring_fm, url_trees
+
+    assert langid.identify(docs).count() == bpe.encode(docs).count() == simhash_vp.near_duplicates(docs).count() == substring_fm.substring_dedup(docs).count() == 12
+    assert packing.pack(docs).count() >= 12 and source_divergence.source_divergence(docs).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>x</p>", "y", "z")], "page_id long, url string, html string, Url string, `a.b` string")
+    assert html_main.extract(pages).count() == url_trees.judge(pages).count() == 1
     for out in (langid.with_language(docs), line_dedup.drop_site_lines(docs, F.col("source")), quality.good(docs), near_copies.without_near_copies(docs)):
         assert out.columns[:6] == docs.columns
         assert out.count() in (0, 1, 12)
