@@ -58,26 +58,73 @@ def fold(rows: DataFrame, key: str, step, schema: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(lambda pdf: step(pdf.sort_values("seq", kind="stable")), schema)
 
 
+def _in_order(rows: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
+    """key and rows: a document's rows as one array of structs, in order. A document is a group, whatever its size."""
+    each = F.struct(F.col(order).alias("o"), *[c.alias(f) for f, c in fields.items()])
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("rows"))
+
+
+def _slice(first: Column, last: Column) -> Column:
+    return F.slice("rows", first, last - first + 1)
+
+
+def segmented(lines: DataFrame, heading: Column, max_chars: int = 4000, least: int = 100, title: str = "Introducción") -> DataFrame:
+    """Segments of documents, cut at headings and at size: doc_id, seq, section_title, text, pages, char_count.
+
+    A heading below text ends a segment and is the next one's title; with no text before it, it is text itself. A segment
+    that reaches max_chars ends there; the next one keeps its title and begins on the same page. White space in a text
+    is collapsed, and segments of at most `least` characters go. lines: doc_id, seq, text, page; blank ones don't count.
+
+    One fold over a document's lines in the JVM: its state is the cuts so far, so a line copies nothing."""
+    text = F.trim("text")
+    rows = lines.where(text != "").withColumn("h", F.coalesce(heading, F.lit(False)))
+    rows = _in_order(rows, "doc_id", "seq", {"text": text, "page": F.col("page").cast("int"), "h": F.col("h"), "size": F.length(text)})
+    cut = "struct<first:int,last:int,title:int,carry:int>"
+    zero, no_page = F.lit(0), F.lit(None).cast("int")
+    state = lambda cuts, k, first, size, title, carry: F.struct(cuts.alias("cuts"), k.cast("int").alias("k"), first.cast("int").alias("first"), size.cast("int").alias("size"), title.cast("int").alias("title"), carry.alias("carry"))
+    ended = lambda acc, first, last: F.concat(acc["cuts"], F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), acc["title"].alias("title"), acc["carry"].alias("carry"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        k, first, size = acc["k"] + 1, F.when(acc["first"] > 0, acc["first"]).otherwise(acc["k"] + 1), acc["size"] + x["size"]
+        return (
+            F.when(x["h"] & (acc["first"] > 0), state(ended(acc, acc["first"], acc["k"]), k, zero, zero, k, no_page))
+            .when(size >= max_chars, state(ended(acc, first, k), k, zero, zero, acc["title"], x["page"]))
+            .otherwise(state(acc["cuts"], k, first, size, acc["title"], acc["carry"]))
+        )
+
+    start = state(F.array().cast(f"array<{cut}>"), zero, zero, zero, zero, no_page)
+    finish = lambda acc: F.when(acc["first"] > 0, ended(acc, acc["first"], acc["k"])).otherwise(acc["cuts"])
+    cuts = rows.withColumn("cuts", F.aggregate("rows", start, step, finish))
+
+    def made(c: Column) -> Column:
+        own = _slice(c["first"], c["last"])
+        pages = F.transform(own, lambda x: x["page"])
+        return F.struct(
+            F.coalesce(F.try_element_at("rows", F.nullif(c["title"], zero))["text"], F.lit(title)).alias("section_title"),
+            collapsed(F.array_join(F.transform(own, lambda x: x["text"]), " ")).alias("text"),
+            F.array_distinct(F.when(c["carry"].isNull(), pages).otherwise(F.concat(F.array(c["carry"]), pages))).alias("pages"),
+        )
+
+    out = cuts.select("doc_id", F.posexplode(F.transform("cuts", made)).alias("seq", "s")).select("doc_id", F.col("seq").cast("long").alias("seq"), "s.*")
+    return out.withColumn("char_count", F.length("text")).where(F.col("char_count") > least)
+
+
 def cut_by_size(lines: DataFrame, max_chars: int = 6000) -> DataFrame:
     """Cuts each document's lines when the text since the last cut reaches max_chars.
 
     lines: doc_id, seq, text. Returns doc_id, segment, first_seq, char_count."""
+    rows = _in_order(lines, "doc_id", "seq", {"size": F.length(F.coalesce("text", F.lit("")))})
+    one = lambda first, size: F.array(F.struct(first.alias("first"), size.alias("size")))
+    state = lambda cuts, first, size: F.struct(cuts.alias("cuts"), first.alias("first"), size.cast("long").alias("size"))
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        segment, size, first, out = 0, 0, None, []
-        for seq, text in zip(pdf["seq"], pdf["text"]):
-            first = seq if first is None else first
-            size += len(text or "")
-            if size >= max_chars:
-                out.append((segment, first, size))
-                segment, size, first = segment + 1, 0, None
-        if first is not None:
-            out.append((segment, first, size))
-        frame = pd.DataFrame(out, columns=["segment", "first_seq", "char_count"])
-        frame.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return frame
-
-    return fold(lines, "doc_id", step, "doc_id long, segment long, first_seq long, char_count long")
+    def step(acc: Column, x: Column) -> Column:
+        first, size = F.coalesce(acc["first"], x["o"]), acc["size"] + x["size"]
+        return F.when(size >= max_chars, state(F.concat(acc["cuts"], one(first, size)), F.lit(None).cast("long"), F.lit(0))).otherwise(state(acc["cuts"], first, size))
+
+    start = state(F.array().cast("array<struct<first:long,size:long>>"), F.lit(None).cast("long"), F.lit(0))
+    finish = lambda acc: F.when(acc["first"].isNotNull(), F.concat(acc["cuts"], one(acc["first"], acc["size"]))).otherwise(acc["cuts"])
+    cuts = rows.select("doc_id", F.posexplode(F.aggregate("rows", start, step, finish)).alias("segment", "c"))
+    return cuts.select("doc_id", F.col("segment").cast("long").alias("segment"), F.col("c.first").alias("first_seq"), F.col("c.size").alias("char_count"))
 
 
 def kind_of(title: Column) -> Column:
@@ -96,23 +143,33 @@ def propagated(segments: DataFrame) -> DataFrame:
 
 
 def merged(segments: DataFrame, target: int = 6000) -> DataFrame:
-    """Joins neighbours of one kind while they stay within target characters.
-
-    segments: doc_id, seq, kind, chars. Returns doc_id, seq (first), kind, chars, merged_count."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for seq, kind, chars in zip(pdf["seq"], pdf["kind"], pdf["chars"]):
-            if out and out[-1][1] == kind and out[-1][2] + chars <= target:
-                out[-1][2] += chars
-                out[-1][3] += 1
-            else:
-                out.append([seq, kind, chars, 1])
-        frame = pd.DataFrame(out, columns=["seq", "kind", "chars", "merged_count"])
-        frame.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return frame
-
-    return fold(segments, "doc_id", step, "doc_id long, seq long, kind string, chars long, merged_count long")
+    """Joins neighbours of one kind while their characters stay within target: doc_id, seq and section_title of the first, kind,
+    text (joined by a blank line), pages (sorted), char_count, merged_count. A segment over target stays alone.
+
+    segments: doc_id, seq, kind, section_title, text, pages, and char_count (of the text where null)."""
+    text = F.coalesce("text", F.lit(""))
+    pages = F.coalesce("pages", F.array().cast("array<int>"))
+    rows = _in_order(segments, "doc_id", "seq", {"kind": F.col("kind"), "title": F.col("section_title"), "text": text, "pages": pages, "size": F.coalesce("char_count", F.length(text)).cast("long")})
+    state = lambda cuts, k, first, size: F.struct(cuts.alias("cuts"), k.cast("int").alias("k"), first.cast("int").alias("first"), size.cast("long").alias("size"))
+    ended = lambda acc: F.concat(acc["cuts"], F.array(F.struct(acc["first"].alias("first"), acc["k"].alias("last"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = acc["k"] + 1
+        same = x["kind"].eqNullSafe(F.try_element_at("rows", F.nullif(acc["first"], F.lit(0)))["kind"])
+        goes_on = same & (acc["size"] + x["size"] <= target)
+        return F.when(acc["first"] == 0, state(acc["cuts"], k, k, x["size"])).when(goes_on, state(acc["cuts"], k, acc["first"], acc["size"] + x["size"])).otherwise(state(ended(acc), k, k, x["size"]))
+
+    start = state(F.array().cast("array<struct<first:int,last:int>>"), F.lit(0), F.lit(0), F.lit(0))
+    cuts = rows.withColumn("cuts", F.aggregate("rows", start, step, ended))
+
+    def made(c: Column) -> Column:
+        own, first = _slice(c["first"], c["last"]), F.element_at("rows", c["first"])
+        joined = F.array_join(F.transform(own, lambda x: x["text"]), "\n\n")
+        n = c["last"] - c["first"] + 1
+        all_pages = F.when(n == 1, first["pages"]).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(own, lambda x: x["pages"])))))
+        return F.struct(first["o"].alias("seq"), first["title"].alias("section_title"), first["kind"].alias("kind"), joined.alias("text"), all_pages.alias("pages"), F.when(n == 1, first["size"]).otherwise(F.length(joined)).alias("char_count"), n.cast("long").alias("merged_count"))
+
+    return cuts.select("doc_id", F.explode(F.transform("cuts", made)).alias("s")).select("doc_id", "s.*")
 
 
 def routed(segments: DataFrame, layer: str) -> DataFrame:

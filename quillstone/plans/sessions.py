@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import answered as N
 from quillstone.operators import grading as G
 from quillstone.operators import session as S
 from quillstone.plans.book import Book
 from quillstone.plans.texts import ANSWER
+from quillstone.sources.fixtures import stream
+from quillstone.streaming.answered import answered_stream
+from quillstone.streaming.profile import drained
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
@@ -22,7 +26,7 @@ def answers(v):
     e, i = v("events"), F.col("event_id")
     c = lambda p, k: F.concat(F.lit(p), (i % k).cast("string"))
     return e.select(
-        "event_id", "user_id", (F.col("user_id") * 100 + i % 5).alias("session_id"), c("c", 12).alias("concept_id"),
+        "event_id", "user_id", "ts", (F.col("user_id") * 100 + i % 5).alias("session_id"), c("c", 12).alias("concept_id"),
         F.element_at(F.array(*[F.lit(m) for m in ("A1", "A3", "B1", "B2", "C1", "E1", "E3")]), (i % 7 + 1).cast("int")).alias("mechanic_id"),
         (F.col("value") > 250).alias("correct"), (F.floor(F.col("value") / 5) / 100).alias("partial"), (i % 4).alias("hints"), F.floor(F.col("value") * 10).cast("long").alias("duration"),
         F.when(i % 6 == 0, c("r", 9)).alias("repertoire"), F.when(i % 8 == 0, c("c", 5)).alias("confused"),
@@ -259,6 +263,52 @@ def se12(v):
     return S.replay(k).withColumn("gap", F.round("gap", 6))
 
 
+#: A log of steps: mechanics stand for kinds; every session has bets, exercises on three items, plans and reflections.
+_LOG = ANSWERS + """, g as (select a.*, e.ts, case mechanic_id when 'B1' then 'calibracion' when 'E3' then 'exposicion' when 'C1' then 'planeacion' when 'E1' then 'reflexion' else 'ejercicio' end as kind, (event_id // 5 % 3)::varchar as item_id,
+ case when event_id % 5 = 0 then '_ninguno' else 'c'||event_id % 4 end as said, [{'id': 'c0', 'score': partial}, {'id': 'c1', 'score': 0.4}, {'id': 'c2', 'score': partial / 2}] as options from a join events e using (event_id))"""
+_SIGNALS = _LOG + f""", p as (select *, sum(paused) over (partition by session_id order by event_id) as epoch from (select *, case when epoch(ts) - epoch(lag(ts) over (partition by session_id order by event_id)) > {7 * 86_400} then 1 else 0 end as paused from g)),
+ x as (select * from g where kind = 'ejercicio'),
+ own as (select session_id, event_id as seq, case mechanic_id when 'B2' then 'transferencia' else 'recuperacion' end as dimension, 'escalar' as forma, 'concepto' as target, concept_id as targets, round((partial - 0.5) * 0.4, 3) as delta, null::bigint as latency, null::double as declared, null::double as real from x
+  union all select session_id, event_id, 'anclaje', 'observacional', 'repertorio', repertoire, null, null, null, null from x where repertoire is not null union all select session_id, event_id, 'relacion', 'escalar', 'arista', concept_id||','||confused, -0.1, null, null, null from x where confused is not null and confused <> concept_id
+  union all select session_id, event_id, 'automatizacion', 'temporal', 'concepto', concept_id, null, duration, null, null from x where mechanic_id in ('A1', 'A3') and duration > 0 and hints = 0 union all select session_id, event_id, 'srl_accion', 'observacional', 'sesion', '', null, null, null, null from x where hints > 0
+  union all select session_id, event_id, 'srl_planeacion', 'escalar', 'sesion', said, case when coalesce(list_filter(options, lambda o: o.id = said)[-1].score, 1) <= list_min(list_transform(options, lambda o: o.score)) + 0.05 then 0.15 else -0.05 end, null, null, null from g where kind = 'planeacion'),
+ bt as (select *, lag(kind) over w as before, lag(partial) over w as bet, lag(concept_id) over w as about from p where kind in ('calibracion', 'ejercicio') window w as (partition by session_id, epoch, item_id order by event_id)),
+ cl as (select session_id, event_id as seq, 'calibracion' as dimension, 'calibracion' as forma, 'concepto' as target, about as targets, null::double as delta, null::bigint as latency, coalesce(nullif(bet, 0), 0.5) as declared, correct::int::double as real from bt where kind = 'ejercicio' and before = 'calibracion'),
+ r as (select * from p where kind = 'reflexion'), b as (select r.event_id as asked, y.* from r join p y on y.session_id = r.session_id and y.epoch = r.epoch and y.kind = 'ejercicio' and y.event_id < r.event_id),
+ it as (select asked, item_id, arg_max(correct, event_id)::int as hit from b group by all), sh as (select asked, concept_id, avg(hit) as share, min(event_id) as since from b join it using (asked, item_id) group by all), ws as (select asked, arg_min(concept_id, (share, since)) as worst from sh group by all),
+ rf as (select r.*, worst from r left join ws on asked = event_id), lt as (select session_id, event_id as seq, 'srl_autorreflexion' as dimension, 'escalar' as forma, 'sesion' as target, case when said = '_ninguno' or worst is null then '' else said end as targets, case when said = '_ninguno' or worst is null then 0 when said = worst then 0.15 else -0.05 end as delta, null::bigint as latency, null::double as declared, null::double as real from rf
+  union all select session_id, event_id, 'calibracion', 'calibracion', 'sesion', said, null, null, 1, (said = worst)::int from rf where said <> '_ninguno' and worst is not null),
+ z as (from own union all by name from cl union all by name from lt) select session_id, seq, dimension, forma, target, targets, delta::double as delta, latency, declared::double as declared, real::double as real, round(abs(declared - real), 3)::double as error from z"""
+
+
+def step_log(v, events=None):
+    from pyspark.sql.types import StringType
+
+    class Given:  # the same columns over a table or a stream of events
+        def __call__(self, name):
+            return v(name) if events is None else events
+
+    a = answers(Given())
+    m, i, text = F.col("mechanic_id"), F.col("event_id"), StringType()
+    kind = F.when(m == "B1", "calibracion").when(m == "E3", "exposicion").when(m == "C1", "planeacion").when(m == "E1", "reflexion").otherwise("ejercicio")
+    option = lambda k, score: F.struct(F.lit(k).alias("id"), score.cast("double").alias("score"))
+    return a.select(
+        "session_id", i.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), "concept_id", (F.floor(i / 5) % 3).cast(text).alias("item_id"), "mechanic_id", F.array("concept_id", F.lit("x")).alias("pair"), "correct", "partial", "repertoire", "confused", "hints", "duration",
+        F.col("partial").alias("declared"), F.when(i % 5 == 0, "_ninguno").otherwise(F.concat(F.lit("c"), (i % 4).cast(text))).alias("said"), F.array(option("c0", F.col("partial")), option("c1", F.lit(0.4)), option("c2", F.col("partial") / 2)).alias("options"),
+    )
+
+
+@book.page("se12_signals", "", _SIGNALS)
+def se12_signals(v):
+    return N.answered(step_log(v), 7 * 86_400).withColumn("targets", F.array_join("targets", ","))
+
+
+@book.page("se12_streamed_signals", "", _SIGNALS)
+def se12_streamed(v):
+    signals = answered_stream(step_log(v, stream(v.spark, v.sf_dir, "events")), 7 * 86_400)
+    return drained(signals.withColumn("targets", F.array_join("targets", ",")), "append", "answered", state="rocksdb")
+
+
 @book.page("se13_planned_well", "", _CHOICES + " select session_id, max(score) filter (where chosen) <= min(score) + 0.05 as well from c group by all")
 def se13(v):
     return S.planned_well(choices(v))

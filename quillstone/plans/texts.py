@@ -134,7 +134,24 @@ def sg2(v):
     return S.islands(v("v_segments"), headed(v)).select("doc_id", "island", "section_title", "char_count")
 
 
-@book.page("sg2_cut_by_size")
+#: Lines of documents in order, ten to a page; each step of the recursion puts the next line of every document into its segment.
+_LINES = f"""l as (select doc_id, row_number() over (partition by doc_id order by seq) as k, seq, trim(text) as text, seq // 10 + 1 as page, {HEAD} as h from v_segments where trim(text) <> ''),
+st as (select doc_id, 0::bigint as k, 0 as seg, 0::bigint as size, true as fresh, 'Introducción' as title, null::bigint as carry, -1 as own, '' as own_title, null::bigint as own_carry from (select distinct doc_id from l) union all
+ select l.doc_id, l.k, seg + (case when h and not fresh or st.size + length(l.text) >= 600 then 1 else 0 end), case when h and not fresh or st.size + length(l.text) >= 600 then 0 else st.size + length(l.text) end, h and not fresh or st.size + length(l.text) >= 600,
+  case when h and not fresh then l.text else title end, case when h and not fresh then null when st.size + length(l.text) >= 600 then page else carry end, case when h and not fresh then -1 else seg end, title, carry from st join l on l.doc_id = st.doc_id and l.k = st.k + 1)"""
+
+
+@book.page("sg2_segments", "v_segments", f"""with recursive {_LINES}, p as (select doc_id, k, text, page, own, own_title, own_carry from st join l using (doc_id, k) where own >= 0),
+ g as (select doc_id, own, any_value(own_title) as section_title, trim(regexp_replace(string_agg(text, ' ' order by k), '\\s+', ' ', 'g')) as text, array_to_string(list_sort(list_distinct(list_filter(list(page) || list(own_carry), lambda x: x is not null))), ',') as pages from p group by all)
+ select doc_id, section_title, text, pages, length(text)::int as char_count from g where length(text) > 100""")
+def sg2_segments(v):
+    lines = v("v_segments").withColumn("page", F.floor(F.col("seq") / 10) + 1)
+    return S.segmented(lines, headed(v), 600).select("doc_id", "section_title", "text", F.array_join("pages", ",").alias("pages"), "char_count")
+
+
+@book.page("sg2_cut_by_size", "v_segments", """with recursive l as (select doc_id, row_number() over (partition by doc_id order by seq) as k, seq, length(text) as n from v_segments), st as (select doc_id, 0::bigint as k, 0::bigint as seg, 0::bigint as size, null::bigint as first, 0::bigint as own, null::bigint as own_first from (select distinct doc_id from l)
+ union all select l.doc_id, l.k, seg + (size + n >= 1500)::int, case when size + n >= 1500 then 0 else size + n end, case when size + n >= 1500 then null else coalesce(first, l.seq) end, seg, coalesce(first, l.seq) from st join l on l.doc_id = st.doc_id and l.k = st.k + 1)
+ select doc_id, own as segment, min(own_first) as first_seq, sum(n)::bigint as char_count from st join l using (doc_id, k) group by all""")
 def sg2_cut(v):
     return S.cut_by_size(v("v_segments"), 1500)
 
@@ -177,9 +194,14 @@ def sg7(v):
     return S.propagated(sections(v)).where("kind != 'backmatter'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.page("sg8_merged")
+@book.page("sg8_merged", "v_segments", SECTIONS.replace("with ", "with recursive ", 1) + """, l as (select p.*, v_segments.text, seq // 10 + 1 as page, row_number() over (partition by doc_id order by seq) as k from p join v_segments using (doc_id, seq)),
+ st as (select doc_id, 0::bigint as k, 0 as seg, 0::bigint as size, null::varchar as kind from (select distinct doc_id from l) union all
+  select l.doc_id, l.k, seg + (case when st.kind = l.kind and size + chars <= 900 then 0 else 1 end), case when st.kind = l.kind and size + chars <= 900 then size + chars else chars end, l.kind from st join l on l.doc_id = st.doc_id and l.k = st.k + 1)
+ select doc_id, min(l.seq) as seq, arg_min(l.title, l.k) as section_title, any_value(l.kind) as kind, string_agg(l.text, chr(10)||chr(10) order by l.k) as text, array_to_string(list_sort(list(distinct page)), ',') as pages, length(string_agg(l.text, chr(10)||chr(10) order by l.k))::bigint as char_count, count(*) as merged_count from st join l using (doc_id, k) group by doc_id, seg""")
 def sg8(v):
-    return S.merged(S.propagated(sections(v)))
+    s = S.propagated(sections(v)).join(v("v_segments"), ["doc_id", "seq"])
+    s = s.select("doc_id", "seq", "kind", F.coalesce("title", F.lit("")).alias("section_title"), "text", F.array((F.floor(F.col("seq") / 10) + 1).cast("int")).alias("pages"), F.col("chars").alias("char_count"))
+    return S.merged(s, 900).withColumn("pages", F.array_join("pages", ","))
 
 
 @book.page("sg9_routed", "v_segments", SECTIONS + f""" select doc_id, seq, list_position({S.ROUTES['cases'].split()}, kind)::int as rank from p where kind in ({str(S.ROUTES['cases'].split())[1:-1]})""")

@@ -113,6 +113,8 @@ def oracle(views: str, body: str) -> str:
     """DuckDB text of body over the named views (space separated)."""
     ctes = [f"{v} as ({SEGMENTS_DUCKDB if v == 'v_segments' else VIEWS[v]})" for v in views.split()]
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(ctes + [body[15:]])}"
     if body.lower().startswith("with "):
         return f"with {', '.join(ctes + [body[5:]])}" if ctes else body
     return f"with {', '.join(ctes)} {body}" if ctes else body

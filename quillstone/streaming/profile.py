@@ -67,22 +67,28 @@ def bet_gaps(events: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def drained(stream: DataFrame, mode: str, what: str, expires: bool = False) -> DataFrame:
+#: What operators with map state and timers need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained(stream: DataFrame, mode: str, what: str, expires: bool = False, state: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote last (complete) or in all (append).
 
     expires: the stream has timeouts by processing time. Such a stream asks for batches without
     data for ever, so it is drained without them; otherwise they close windows by the watermark.
+    state: `rocksdb` where the stream's state needs that store.
     """
     spark: SparkSession = stream.sparkSession
     home = shared_dir(spark, what)
-    before = spark.conf.get(NO_DATA, None)
-    if expires:
-        spark.conf.set(NO_DATA, "false")
+    wanted = ({NO_DATA: "false"} if expires else {}) | (ROCKSDB if state == "rocksdb" else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, x in wanted.items():
+        spark.conf.set(k, x)
     try:
         query = _started(stream, mode, home)  # the query has its own copy of the settings from here on
     finally:
-        if expires:
-            spark.conf.unset(NO_DATA) if before is None else spark.conf.set(NO_DATA, before)
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
