@@ -16,9 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.sources.shared import scratch, shared_dir, written
+from quillstone.sources.shared import remove, scratch, shared_dir, written
 
-__all__ = ["arrow_batches", "changes", "flagged", "join_hot", "let", "located", "lower_ascii", "picked", "placed", "prepare", "scratch", "shared_dir", "table", "whole_runs", "without_rows", "written"]
+__all__ = ["arrow_batches", "changes", "flagged", "join_hot", "let", "located", "lower_ascii", "picked", "placed", "prepare", "remove", "scratch", "shared_dir", "table", "whole_runs", "without_rows", "written"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -144,12 +144,12 @@ def join_hot(rows: DataFrame, keys: DataFrame, on: str, n: str, total: int, how:
 
 
 def changes(b: pa.RecordBatch, keys: list[int], before: pa.RecordBatch | None) -> np.ndarray:
-    """Where rows of a sorted batch differ in key columns from the row before; before: the batch that ends there."""
+    """Where rows of a sorted batch differ in key columns from the row before; before: the batch that ends there. Nulls are all different."""
     out = np.zeros(b.num_rows, dtype=bool)
     out[0] = before is None or any(b.column(k)[0] != before.column(k)[before.num_rows - 1] for k in keys)
     for k in keys:
         c = b.column(k)
-        out[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False))
+        out[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
     return out
 
 

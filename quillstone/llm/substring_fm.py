@@ -3,8 +3,8 @@
 A window is `window` consecutive words. It belongs to its leftmost minimal k-gram of words (by hash),
 so equal windows belong to equal k-grams, and consecutive windows of one occurrence of a k-gram form a
 segment of at most 2 * window words. A k-gram that the corpus has once can't have a repeated window;
-segments of the others go, with their words, to the shard of their k-gram, equal segments as one. A
-shard's segments become an FM-index: suffixes sorted by their first `window` words, the
+segments of the others go, with their words, to the shard of their k-gram, equal ones of a task as one
+(all but the first place are repeats whatever else there is). A shard's different segments become an FM-index: suffixes sorted by their first `window` words, the
 Burrows-Wheeler transform in a wavelet tree stored level by level as bits with counts, counts of
 smaller words, and where suffixes begin to differ. The shard's segments are then streamed through it:
 backward search adds a word to the left, and beyond the threshold the interval widens to that of the
@@ -28,16 +28,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, flagged, join_hot, placed, table, whole_runs, written
+from .common import arrow_batches, changes, flagged, join_hot, placed, remove, table, whole_runs, written
 
 WINDOW, GRAM = 20, 6
 #: A k-gram of more segments sends windows; words of a shard; bytes of a text and words read at a time.
 HOT, SHARD_WORDS, SLICE, CHUNK = 1 << 15, 400_000, 1 << 20, 1 << 20
+#: Segments that a task holds to find equal ones.
+HELD = 1 << 17
 SEGMENT = "key long, file long, `row` long, at int, n int"
-CUT = "key long, doc_id long, file long, `row` long, at int, n int, words binary"
+CUT = "shard int, doc_id long, file long, `row` long, at int, n int, words binary"
 SPAN = "file long, `row` long, start int, stop int"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -140,17 +143,37 @@ def scanned(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             k = many
 
 
-def cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The words of segments. Rows: doc_id, file, row, text, list of (at, n, key, hot)."""
-    names = ["key", "doc_id", "file", "row", "at", "n", "words"]
-    held: list[tuple] = []
+class Firsts:
+    """Of equal segments the first one by place; what is known not to be first is handed over as a span, with no words."""
 
-    def rows() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
-        held.clear()
+    def __init__(self, shards: int):
+        self.shards, self.own, self.spans = shards, {}, []
+
+    def add(self, key: int, place: tuple, n: int, words: bytes) -> None:
+        had = self.own.get(words)
+        if had is None:
+            self.own[words] = (key, place, n)
+            return
+        first, later = (had[1], place) if _order(had[1]) <= _order(place) else (place, had[1])
+        self.own[words] = (key, first, n)
+        self.spans.append((later, n))
+
+    def rows(self) -> pa.RecordBatch:
+        rows = [(int(mixed(np.array([key], np.int64).view(np.uint64))[0]) % self.shards, *place, n, words) for words, (key, place, n) in self.own.items()]
+        rows += [(int(mixed(np.array([place[1] ^ place[2]], np.int64).view(np.uint64))[0]) % self.shards, *place, n, None) for place, n in self.spans]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0].strip("`") for c in CUT.split(", ")])
+        self.own, self.spans = {}, []
         return out
 
+
+def _order(place: tuple) -> tuple:
+    return place[0] is not None, place[0] or 0, *place[1:]
+
+
+def cut(batches: Iterator[pa.RecordBatch], window: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """The words of segments and their shards, equal ones of a task as one. Rows: doc_id, file, row, text, list of (at, n, key, hot)."""
+    firsts = Firsts(shards)
     for b in batches:
         for k in range(b.num_rows):
             doc_id, file, row = (b.column(c)[k].as_py() for c in range(3))
@@ -161,11 +184,11 @@ def cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBat
                 for at, n in [(s["at"] + j, 1) for j in range(s["n"])] if s["hot"] else [(s["at"], s["n"])]:
                     words = b" ".join(text[starts[at] : starts[at + n + window - 1]].split())
                     key = int(mixed(word_hashes(words)[0] * _ODD ** np.arange(window, dtype=np.uint64)).sum().view(np.int64)) if s["hot"] else s["key"]
-                    held.append((key, doc_id, file, row, at, n, words))
-            if len(held) > 1 << 15:
-                yield rows()
-    if held:
-        yield rows()
+                    firsts.add(key, (doc_id, file, row, at), n, words)
+            if len(firsts.own) + len(firsts.spans) > HELD:
+                yield firsts.rows()
+    if firsts.own:
+        yield firsts.rows()
 
 
 def _with_offsets(text: bytes) -> Iterator[tuple[bytes, int]]:
@@ -268,23 +291,41 @@ def numbered_words(texts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, n
     return text, first
 
 
+def _spans(file, row, start, stop) -> pa.RecordBatch:
+    columns = [file, row, start.astype(np.int32), stop.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file", "row", "start", "stop"])
+
+
 def searched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that begin earlier in their shard too. Rows: shard, file, row, at, n, words, by shard and place."""
+    """Spans of windows that begin earlier in their shard too, and of segments that occur earlier as they are. Rows of CUT,
+    by shard, words and place; those without words are such spans already."""
     for b, bounds in whole_runs(batches, [0]):
         for lo, hi in zip(bounds, [*bounds[1:], b.num_rows]):
-            file, row, at, n = (b.column(k).slice(lo, hi - lo).to_numpy() for k in range(1, 5))
+            own = b.slice(lo, hi - lo)
+            known = own.column(6).is_valid().to_numpy(zero_copy_only=False)
+            first = known & changes(own, [6], None)
+            file, row, at, n = (own.column(k).to_numpy() for k in range(2, 6))
+            later = ~first
+            if later.any():
+                yield _spans(file[later], row[later], at[later], at[later] + n[later] + window - 1)
+            if not first.any():
+                continue
+            own = _by_place(own.filter(pa.array(first)))
+            file, row, at, n = (own.column(k).to_numpy() for k in range(2, 6))
             sizes = n.astype(np.int64) + window - 1
-            text, first = numbered_words(b.column(5).slice(lo, hi - lo).to_pylist(), sizes)
-            found = [place[place != earliest] for place, _, _, earliest in FMIndex(text, window).matches(text, first, first + sizes)]
+            text, begins = numbered_words(own.column(6).to_pylist(), sizes)
+            found = [place[place != earliest] for place, _, _, earliest in FMIndex(text, window).matches(text, begins, begins + sizes)]
             place = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
             if not len(place):
                 continue
             run = np.flatnonzero(np.diff(place, prepend=-2) != 1)  # windows of two segments are never neighbours
             last = place[np.append(run[1:], len(place)) - 1]
-            seg = np.searchsorted(first, place[run], "right") - 1
-            start, stop = at[seg] + place[run] - first[seg], at[seg] + last - first[seg] + window
-            columns = [file[seg], row[seg], start.astype(np.int32), stop.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file", "row", "start", "stop"])
+            seg = np.searchsorted(begins, place[run], "right") - 1
+            yield _spans(file[seg], row[seg], at[seg] + place[run] - begins[seg], at[seg] + last - begins[seg] + window)
+
+
+def _by_place(b: pa.RecordBatch) -> pa.RecordBatch:
+    return b.take(pc.sort_indices(b, [("doc_id", "ascending"), ("file", "ascending"), ("row", "ascending"), ("at", "ascending")], null_placement="at_start"))
 
 
 # --- documents ------------------------------------------------------------------------------
@@ -308,22 +349,16 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         found = written(texts.select("file", "row", "text").mapInArrow(lambda b: scanned(b, window, gram), SEGMENT), "substring-segments")
         repeated = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "substring-keys")
         doubtful = join_hot(found, repeated, "key", "of", found.count())
-        wanted = doubtful.groupBy("file", "row").agg(F.collect_list(F.struct("at", "n", "key", (F.col("of") > HOT).alias("hot"))).alias("segments"))
-        segs = texts.join(wanted, ["file", "row"]).select("doc_id", "file", "row", "text", "segments").mapInArrow(lambda b: cut(b, window), CUT)
-        segs = written(segs, "substring-words")
-
-        place = F.struct("doc_id", "file", "row", "at")
-        firsts = written(segs.groupBy("key", "words").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("of")), "substring-firsts")
-        words, total = firsts.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)), F.coalesce(F.sum("of"), F.lit(0))).first()
-        shards = max(1, -(-words // SHARD_WORDS))
-        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-        rows = firsts.select(shard.alias("shard"), "first.file", "first.row", "first.at", "n", "words", "first.doc_id")
-        rows = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "file", "row", "at")
-        spans = rows.drop("doc_id").mapInArrow(lambda b: searched(b, window), SPAN)
-
-        copies = join_hot(segs, firsts.where("of > 1").select("words", "first", "of"), "words", "of", total)
-        copies = copies.where(~place.eqNullSafe(F.col("first"))).select("file", "row", F.col("at").alias("start"), (F.col("at") + F.col("n") + window - 1).alias("stop"))
-        return written(spans.unionByName(copies), "substring-spans")
+        segments_of = F.collect_list(F.struct("at", "n", "key", (F.col("of") > HOT).alias("hot"))).alias("segments")
+        wanted = written(doubtful.groupBy("file", "row").agg(segments_of, F.sum(F.col("n") + window - 1).alias("words")), "substring-wanted")
+        for done in (found, repeated):
+            remove(spark, done.written_to)
+        shards = max(1, -(-(wanted.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
+        segs = texts.join(wanted.drop("words"), ["file", "row"]).select("doc_id", "file", "row", "text", "segments").mapInArrow(lambda b: cut(b, window, shards), CUT)
+        segs = segs.repartition("shard").sortWithinPartitions("shard", "words", "doc_id", "file", "row", "at")
+        spans = written(segs.mapInArrow(lambda b: searched(b, window), SPAN), "substring-spans")
+        remove(spark, wanted.written_to)
+        return spans
 
 
 def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
