@@ -70,11 +70,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_starts(text: bytes) -> np.ndarray:
+    """The bytes where the words of a text begin."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else np.zeros(0, np.int64)
+
+
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a text and the bytes where they begin."""
-    data = np.frombuffer(text, np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, np.int64)
+    data, starts = np.frombuffer(text, np.uint8), word_starts(text)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
@@ -159,12 +163,14 @@ class Firsts:
         self.spans.append((later, n))
 
     def rows(self) -> pa.RecordBatch:
-        rows = [(int(mixed(np.array([key], np.int64).view(np.uint64))[0]) % self.shards, *place, n, words) for words, (key, place, n) in self.own.items()]
-        rows += [(int(mixed(np.array([place[1] ^ place[2]], np.int64).view(np.uint64))[0]) % self.shards, *place, n, None) for place, n in self.spans]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0].strip("`") for c in CUT.split(", ")])
+        keys = [key for key, _, _ in self.own.values()] + [place[1] ^ place[2] for place, _ in self.spans]
+        shard = (mixed(np.array(keys, np.int64).view(np.uint64)) % np.uint64(self.shards)).astype(np.int32)
+        places = [(*place, n) for _, place, n in self.own.values()] + [(*place, n) for place, n in self.spans]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        words = pa.array([*self.own, *[None] * len(self.spans)], pa.binary())
+        columns = [pa.array(shard), *[pa.array(c, t) for c, t in zip(zip(*places), kinds)], words]
         self.own, self.spans = {}, []
-        return out
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0].strip("`") for c in CUT.split(", ")])
 
 
 def _order(place: tuple) -> tuple:
@@ -175,16 +181,22 @@ def cut(batches: Iterator[pa.RecordBatch], window: int, shards: int) -> Iterator
     """The words of segments and their shards, equal ones of a task as one. Rows: doc_id, file, row, text, list of (at, n, key, hot)."""
     firsts = Firsts(shards)
     for b in batches:
-        for k in range(b.num_rows):
-            doc_id, file, row = (b.column(c)[k].as_py() for c in range(3))
+        wanted = b.column(4)
+        bounds = wanted.offsets.to_numpy()
+        ats, ns, keys, hots = (wanted.values.field(f).to_numpy(zero_copy_only=False) for f in ("at", "n", "key", "hot"))
+        for k, (doc_id, file, row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
             text = b.column(3)[k].as_py().encode()
-            starts = np.concatenate([word_hashes(p)[1] + at for p, at in _with_offsets(text)]).tolist()
-            starts += [len(text)]
-            for s in b.column(4)[k].as_py():
-                for at, n in [(s["at"] + j, 1) for j in range(s["n"])] if s["hot"] else [(s["at"], s["n"])]:
-                    words = b" ".join(text[starts[at] : starts[at + n + window - 1]].split())
-                    key = int(mixed(word_hashes(words)[0] * _ODD ** np.arange(window, dtype=np.uint64)).sum().view(np.int64)) if s["hot"] else s["key"]
-                    firsts.add(key, (doc_id, file, row, at), n, words)
+            starts = np.append(np.concatenate([word_starts(p) + at for p, at in _with_offsets(text)]), len(text))
+            own = slice(bounds[k], bounds[k + 1])
+            at, n = ats[own].astype(np.int64), ns[own].astype(np.int64)
+            for first, many, key, hot, lo, hi in zip(at.tolist(), n.tolist(), keys[own].tolist(), hots[own].tolist(), starts[at].tolist(), starts[at + n + window - 1].tolist()):
+                if not hot:
+                    firsts.add(key, (doc_id, file, row, first), many, b" ".join(text[lo:hi].split()))
+                    continue
+                for j in range(first, first + many):  # single windows, by their words
+                    words = b" ".join(text[starts[j] : starts[j + window]].split())
+                    own_key = mixed(word_hashes(words)[0] * _ODD ** np.arange(window, dtype=np.uint64)).sum()
+                    firsts.add(int(own_key.view(np.int64)), (doc_id, file, row, j), 1, words)
             if len(firsts.own) + len(firsts.spans) > HELD:
                 yield firsts.rows()
     if firsts.own:
