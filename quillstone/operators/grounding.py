@@ -123,6 +123,36 @@ def verified(items: DataFrame) -> DataFrame:
     return items.withColumn("level", level).withColumn("confidence", capped)
 
 
+# Why a concept is dropped.
+INVENTED = "la sigla aparece en el documento pero su desarrollo no: el extractor lo inventó a partir de lo que suena plausible"
+ABSENT = "ni el término ni la cita aparecen en el documento"
+
+
+def verified_concepts(concepts: DataFrame, docs: DataFrame) -> DataFrame:
+    """concepts with level, similarity, diagnosis, capped confidence, and reason and stated (its quote's beginning) where
+    neither title nor quote is in its document; such a concept is dropped, which is what a reason says.
+
+    concepts: doc_id, concept_id, title, quote, confidence; docs: doc_id, text."""
+    c = concepts.withColumn("quote", F.trim(F.coalesce("quote", F.lit(""))))
+    found = in_own_source(c, docs, "quote").join(docs.select("doc_id", source_norm("text").alias("source")), "doc_id")
+    found = found.withColumn("diagnosis", term_state(F.coalesce("title", F.lit("")), F.col("source"))).drop("source")
+    out = verified(found.withColumn("term_present", F.col("diagnosis") == "presente"))
+    dropped = F.col("level") == "sin_anclaje"
+    reason = F.when(dropped, F.when(F.col("diagnosis") == "sigla", INVENTED).otherwise(ABSENT))
+    return out.withColumns({"reason": reason, "stated": F.when(dropped, F.substring("quote", 1, 160))}).drop("found", "term_present")
+
+
+def verification_counts(concepts: DataFrame) -> DataFrame:
+    """A row a document: concepts verified, without a quote, with a quote that isn't there, with a title that isn't there,
+    with an acronym spelled out without support, and dropped. concepts: verified_concepts."""
+    level, quote = F.col("level"), F.col("quote")
+    absent = level == "sin_anclaje"
+    return concepts.groupBy("doc_id").agg(
+        F.count_if(level == "verificado").alias("verified"), F.count_if(quote == "").alias("without_quote"), F.count_if((level == "parcial") & (quote != "")).alias("quote_not_found"),
+        F.count_if(absent).alias("title_absent"), F.count_if(absent & (F.col("diagnosis") == "sigla")).alias("acronym_invented"), F.count_if(F.col("reason").isNotNull()).alias("dropped"),
+    )
+
+
 def verified_relations(items: DataFrame) -> DataFrame:
     """level of relations: by quote, else by description, else inferred, capped at 0.7 without a quote."""
     level = F.when(F.col("quote_found"), "verificado").when(F.col("description_found"), "parcial").otherwise("inferida")

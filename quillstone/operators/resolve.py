@@ -161,10 +161,19 @@ def remapped(rows: DataFrame, col: str, id_map: DataFrame) -> DataFrame:
 
 
 def acronym_candidates(concepts: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
-    """Groups of concepts that share an acronym: members (sorted array), n; larger first."""
+    """Groups of concepts that share an acronym: members (sorted array), n. An acronym is in a title's trailing
+    parenthesis, is a title of one short word, or is a synonym of 2 to 8 characters in capitals.
+
+    concepts: concept_id, title, and synonyms (array) where there are any."""
     t = F.col("title")
-    keys = F.array_compact(F.array(F.lower(acronym_split(t)["acronym"]), F.when(~F.contains(F.trim(t), F.lit(" ")) & (F.length(F.trim(t)) <= 8), F.lower(F.trim(t)))))
-    groups = concepts.select("concept_id", F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("concept_id")).alias("members"))
+    one_word = title_norm(t)
+    keys = F.array(title_norm(acronym_split(t)["acronym"]), F.when(~F.contains(one_word, F.lit(" ")) & (F.length(one_word) <= 8), one_word))
+    if "synonyms" in concepts.columns:
+        capitals = lambda s: F.length(s).between(2, 8) & (F.upper(s) == s) & (F.lower(s) != s)
+        said = F.filter(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), F.trim), capitals)
+        keys = F.concat(keys, F.transform(said, title_norm))
+    each = concepts.select("concept_id", F.explode(F.array_distinct(keys)).alias("key")).where("key != ''")
+    groups = each.groupBy("key").agg(F.array_sort(F.collect_set("concept_id")).alias("members"))
     return groups.where(F.size("members").between(least, most)).select("members").distinct().withColumn("n", F.size("members"))
 
 

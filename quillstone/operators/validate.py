@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,32 @@ def split(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFra
     return out.where(F.size("errors") == 0).drop("errors"), out.where(F.size("errors") > 0)
 
 
+def assembled(root: DataFrame, lists: dict[str, DataFrame], rules: dict[str, dict[str, Column]]) -> DataFrame:
+    """doc_id, record and rejects: everything of a document as one typed struct (the root's columns, then every list as an
+    array in its order), and beside it the list, place and errors of what breaks a rule. A list's rejects aren't in its
+    array; documents whose root breaks a rule have a null record. Documents without rows of a list have it empty.
+
+    root: doc_id (once each) and any columns; lists: each with doc_id, seq and any columns; rules: by list, `root` for the root."""
+    ok, bad = split(root, rules.get("root", {}))
+    out = root.select("doc_id")
+    rejects = [bad.select("doc_id", F.lit("root").alias("list"), F.lit(None).cast("long").alias("seq"), "errors")]
+    record = [F.col(f"root.{c}").alias(c) for c in root.columns]
+    out = out.join(ok.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in ok.columns]).alias("root")), "doc_id", "left")
+    for name, rows in lists.items():
+        good, wrong = split(rows, rules.get(name, {}))
+        fields = [c for c in rows.columns if c not in ("doc_id", "seq")]
+        own = F.struct("seq", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("r"))
+        each = good.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(own), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)), lambda x: x["r"]).alias(name))
+        out = out.join(each, "doc_id", "left")
+        record.append(F.coalesce(F.col(name), F.array().cast(each.schema[name].dataType)).alias(name))
+        rejects.append(wrong.select("doc_id", F.lit(name).alias("list"), F.col("seq").cast("long").alias("seq"), "errors"))
+    all_rejects = reduce(DataFrame.unionByName, rejects)
+    by_doc = all_rejects.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("list", "seq", "errors"))).alias("rejects"))
+    out = out.select("doc_id", F.when(F.col("root").isNotNull(), F.struct(*record)).alias("record"))
+    none = F.array().cast(by_doc.schema["rejects"].dataType)
+    return out.join(by_doc, "doc_id", "left").withColumn("rejects", F.coalesce("rejects", none))
+
+
 def pruned(rows: DataFrame, id_col: str, refs: str, valid: DataFrame, valid_col: str, drop_empty: bool = True) -> DataFrame:
     """refs (array) cut to known ids, in order; rows left without any go if drop_empty."""
     each = rows.select(id_col, F.posexplode(refs).alias("k", "ref")).join(valid.select(F.col(valid_col).alias("ref")).distinct(), "ref", "left_semi")

@@ -64,6 +64,24 @@ def cascade(children: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return children.join(gone.select(key), key, "left_anti")
 
 
+def delete_tree(tables: dict[str, DataFrame], parents: dict[str, tuple[str, str, str]], root: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """What is left of all tables once rows of the root and all that hangs on them are deleted, children of children included.
+
+    parents: of every other table its parent, its own key column and the parent's; in any order. gone: key rows of the root
+    that go, under the names of its columns. Children whose key is null hang on nothing and stay."""
+    lost, left = {root: tables[root].join(gone, gone.columns, "left_semi")}, {root: tables[root].join(gone, gone.columns, "left_anti")}
+    waiting = dict(parents)
+    while waiting:
+        ready = [t for t, (up, *_) in waiting.items() if up in lost]
+        if not ready:
+            raise ValueError(f"no way from {root} to {', '.join(sorted(waiting))}")
+        for t in ready:
+            up, own, theirs = waiting.pop(t)
+            keys = lost[up].select(F.col(theirs).alias(own)).distinct()
+            lost[t], left[t] = tables[t].join(keys, own, "left_semi"), tables[t].join(keys, own, "left_anti")
+    return left
+
+
 def bundle_json(rows: DataFrame, key: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Each row as JSON without its heavy columns."""
     kept = [c for c in sorted(rows.columns) if c not in drop]
