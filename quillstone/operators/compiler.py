@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import heapq
 
 import pandas as pd
@@ -292,3 +294,99 @@ def problems(concepts: DataFrame, pool: DataFrame, edges: DataFrame, items: Data
     c = concepts.select("concept_id").join(has(pool, "p"), "concept_id", "left").join(has(ends, "e"), "concept_id", "left").join(has(items, "i"), "concept_id", "left")
     lacks = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(v)) for k, v in (("p", "pool"), ("e", "edges"), ("i", "items"))]))
     return c.select("concept_id", lacks.alias("lacks")).where(F.size("lacks") > 0)
+
+
+# Why an item isn't made; {} stands for a number or names.
+REASONS = {
+    "alike": "indistinguible de la respuesta correcta (similitud {})",
+    "few": "solo quedaron {} distractores utilizables",
+    "claimed": "su única forma aceptada la reclama otro concepto ({})",
+    "bodiless": "sin una forma aceptada con cuerpo suficiente para pedir evocación",
+    "none": "sin distractores utilizables",
+    "told": "el caso no admite predicción (prediction_enabled falso)",
+}
+
+
+def _reason(name: str, value: Column | None = None) -> Column:
+    text = REASONS[name]
+    return F.lit(text) if value is None else F.concat(*[x for k, part in enumerate(text.split("{}")) for x in ([value] if k else []) + [F.lit(part)]])
+
+
+def _rejected(rows: DataFrame, mechanic: str, source: str, reason: Column, detail: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit(mechanic).alias("mechanic_id"), F.col(source).alias("source_id"), (none if detail is None else detail).alias("detail"), reason.alias("reason"))
+
+
+def choice_rejections(pool: DataFrame, limits: DataFrame, most: float = 0.72, least: int = 2) -> DataFrame:
+    """A1: distractors that can't be told from the answer, of those looked at until a concept had enough (the most plausible first),
+    and concepts with a pool that were left with fewer than `least`.
+
+    pool: concept_id, distractor_id, plausibility, similarity (to the right answer); limits: concept_id, n_options."""
+    w = Window.partitionBy("concept_id").orderBy(F.desc("plausibility"), "distractor_id")
+    safe = (F.col("similarity") < most).cast("int")
+    seen = pool.join(limits, "concept_id", "left").withColumn("wanted", F.coalesce("n_options", F.lit(4)) - 1)
+    seen = seen.withColumn("before", F.coalesce(F.sum(safe).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    alike = seen.where((F.col("before") < F.col("wanted")) & (F.col("similarity") >= most))
+    few = seen.groupBy("concept_id").agg(F.least(F.sum(safe), F.first("wanted")).alias("n")).where(F.col("n") < least)
+    said = F.format_string("%.2f", "similarity")
+    return _rejected(alike, "A1", "concept_id", _reason("alike", said), F.col("distractor_id")).unionByName(_rejected(few, "A1", "concept_id", _reason("few", F.col("n").cast("string"))))
+
+
+def form_rejections(forms: DataFrame) -> DataFrame:
+    """A3: concepts without an accepted form, and whether others claim the ones they have (two are named). forms: accepted_forms."""
+    lost = F.size("ambiguous") > 0
+    reason = F.when(lost, _reason("claimed", F.array_join(F.slice("ambiguous", 1, 2), ", "))).otherwise(_reason("bodiless"))
+    return _rejected(forms.where(F.size("accepted") == 0), "A3", "concept_id", reason)
+
+
+def case_rejections(cases: DataFrame, spread: DataFrame) -> DataFrame:
+    """B2: cases with a known main concept and a resolution but no distractors; E1: cases that already tell what happens.
+
+    cases: case_id, primary_concept_id, resolucion_esperada, prediction_enabled; spread: case_id of those that got distractors."""
+    gold = cases.where(F.trim(F.coalesce("resolucion_esperada", F.lit(""))) != "")
+    without = cases.where("primary_concept_id is not null").join(spread.select("case_id").distinct(), "case_id", "left_anti")
+    told = gold.where(~F.coalesce("prediction_enabled", F.lit(False)))
+    return _rejected(without, "B2", "case_id", _reason("none")).unionByName(_rejected(told, "E1", "case_id", _reason("told")))
+
+
+def several_types(edges: DataFrame) -> DataFrame:
+    """One row, n: edges between concepts that edges of several types join."""
+    pair = [F.least("from_concept_id", "to_concept_id").alias("a"), F.greatest("from_concept_id", "to_concept_id").alias("b")]
+    by = edges.select(*pair, "relation_type").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation_type").alias("types"))
+    return by.where("types > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def explanation_sources(pool: DataFrame) -> DataFrame:
+    """One row: distractors with an explanation of their own, and with one derived from the graph. pool: explanation, derived."""
+    filled = F.length(F.coalesce("explanation", F.lit(""))) > 0
+    derived = F.coalesce("derived", F.lit(False))
+    return pool.agg(F.count_if(filled & ~derived).alias("own"), F.count_if(derived).alias("derived"))
+
+
+def bundle_stats(concepts: DataFrame, edges: DataFrame, items: DataFrame, verdicts: DataFrame, pool: DataFrame, rejected: DataFrame, units: DataFrame) -> DataFrame:
+    """name, n: the counts of a bundle, items a mechanic among them (items:A1 and so on).
+
+    edges: confidence; items: mechanic_id; verdicts: mechanic_id, available, playable; units: one row a unit."""
+    one, trust = F.count(F.lit(1)), F.coalesce(F.col("confidence"), F.lit(0.6))
+    wide = [
+        concepts.agg(one.alias("concepts")), edges.agg(one.alias("edges"), F.count_if(trust >= 0.6).alias("asserted"), F.count_if(trust < 0.6).alias("inferred")), items.agg(one.alias("items")),
+        verdicts.agg(one.alias("mechanics"), F.count_if("available").alias("mechanics_available"), F.count_if("playable").alias("mechanics_playable")),
+        pool.agg(one.alias("distractors")), rejected.agg(one.alias("rejected")), units.agg(one.alias("units")),
+    ]
+    rows = [x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in x.columns])).alias("r")).select("r.*") for x in wide]
+    rows.append(items.groupBy(F.concat(F.lit("items:"), "mechanic_id").alias("name")).agg(one.alias("n")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def no_links(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Pairs that a text keeps apart, whose ends are both known. pairs: a, b and more."""
+    known = lambda c: concepts.select(F.col("concept_id").alias(c)).distinct()
+    return pairs.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi")
+
+
+def meta_lists(concepts: DataFrame, levels: tuple[str, ...] = ("basico", "intermedio", "avanzado")) -> DataFrame:
+    """doc_id, its gateway and threshold concepts in order, and how many concepts each known difficulty has (n_ columns; a null
+    difficulty counts as the second level). concepts: doc_id, seq, concept_id, is_gateway, is_threshold, difficulty."""
+    in_order = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("seq", "concept_id")))), lambda x: x["concept_id"])
+    level = F.coalesce("difficulty", F.lit(levels[1]))
+    return concepts.groupBy("doc_id").agg(in_order("is_gateway").alias("gateways"), in_order("is_threshold").alias("thresholds"), *[F.count_if(level == x).alias(f"n_{x}") for x in levels])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("quillstone.plans.profiles", "quillstone.plans.graphs", "quillstone.plans.entities", "quillstone.plans.coverages", "quillstone.plans.texts", "quillstone.plans.bundles", "quillstone.plans.sessions", "quillstone.plans.material", "quillstone.plans.more", "quillstone.plans.merges", "quillstone.plans.records")
+MODULES: tuple[str, ...] = ("quillstone.plans.profiles", "quillstone.plans.graphs", "quillstone.plans.entities", "quillstone.plans.coverages", "quillstone.plans.texts", "quillstone.plans.bundles", "quillstone.plans.sessions", "quillstone.plans.material", "quillstone.plans.more", "quillstone.plans.merges", "quillstone.plans.records", "quillstone.plans.stats")
 
 
 def _all(what: str) -> dict:
