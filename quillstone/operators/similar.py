@@ -157,14 +157,16 @@ def adjudicated(decisions: DataFrame, concepts: DataFrame, most: int = 4) -> Dat
     gone, or if fewer than two or more than `most` members are left.
 
     decisions: doc_id, seq, canonical_id, members (array); concepts: doc_id, concept_id."""
-    known = concepts.groupBy("doc_id").agg(F.collect_set("concept_id").alias("known"))
-    rows = decisions.join(known, "doc_id").select("doc_id", "seq", "canonical_id", "members", "known")
+    named = F.posexplode(F.concat(F.array("canonical_id"), F.coalesce("members", F.array().cast("array<string>")))).alias("k", "concept_id")
+    each = decisions.select("doc_id", "seq", "canonical_id", named).join(concepts.select("doc_id", "concept_id"), ["doc_id", "concept_id"], "left_semi")
+    members = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "concept_id"))), lambda x: x["concept_id"]))
+    rows = each.groupBy("doc_id", "seq", "canonical_id").agg(members.alias("members"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        known_ids, gone, out = set(pdf["known"].iloc[0]), set(), []
+        gone, out = set(), []
         for r in pdf.itertuples():
-            members = [m for m in dict.fromkeys([r.canonical_id, *r.members]) if m in known_ids and m not in gone]
+            members = [m for m in r.members if m not in gone]
             if r.canonical_id not in members or not 2 <= len(members) <= most:
                 continue
             for m in members:
