@@ -5,7 +5,8 @@ its negative rank, so that sentencepiece's best-score merges are the lowest-rank
 rank encoder. Normalisation is the identity. Texts are pre-split by the vocabulary's pattern
 and each pre-token is encoded alone; a pre-token that is an entry as a whole is that entry, as
 in the rank encoder. Decoding maps ids back to their bytes. Edge cases: null and empty texts
-have no ids; repeated rows are encoded each; very long texts go through in slices.
+have no ids; repeated rows are encoded each; very long texts go through in slices; of pairs of equal
+rank there are none, as ranks are distinct; an empty table gives no rows; further columns can have any names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ and it returns links of a spanning forest, never all pairs of a group. Groups ar
 all cells by alternating large-star and small-star rounds.
 
 Edge cases: a null text is empty; texts without words have fingerprint zero and are linked like
-any other; fewer words than a shingle give one shingle; repeated rows are points once and
+any other; fewer words than a shingle give one shingle; a bit that is set in exactly half the hashes is 0; texts
+of any length are read whole, their hashes counted in slices; repeated rows are points once and
 returned each; a null doc_id is in its fingerprint's component but never names one unless all
 its members are null; an empty table gives no rows; only the id and text columns are read.
 """
