@@ -43,8 +43,11 @@ def plain(c) -> Column:
 
 
 def source_norm(c) -> Column:
-    """For quotes and sources: plain with runs of white space as one blank."""
-    return F.trim(F.regexp_replace(plain(c), r"(?U)\s+", " "))
+    """For quotes and sources: plain with runs of white space as one blank. What is no word character separates words, so
+    one pass does for both; ASCII texts need no accents folded and no Unicode classes."""
+    t = F.coalesce(_col(c).cast("string"), F.lit(""))
+    words = F.regexp_replace(F.lower(fold_accents(t)), r"(?U)\W+", " ")
+    return F.trim(F.when(F.octet_length(t) == F.length(t), F.regexp_replace(F.lower(t), "[^a-z0-9_]+", " ")).otherwise(words))
 
 
 def answer_norm(c) -> Column:

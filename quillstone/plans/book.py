@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.sources.fixtures import oracle, view
+from quillstone.sources.shared import importable
 
 
 class Views:
@@ -28,7 +29,7 @@ class Book:
         """Registers a plan: a function of Views. sql is its oracle over the named views."""
 
         def add(plan: Callable[[Views], DataFrame]) -> Callable:
-            self.queries[name] = lambda spark, sf_dir: plan(Views(spark, sf_dir))
+            self.queries[name] = lambda spark, sf_dir: plan(Views(importable(spark), sf_dir))
             if sql:
                 self.oracle[name] = oracle(views, sql)
             return plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,14 @@ _OWN: dict[str, str] = {}
 _SEEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, wherever the driver was started; safe to repeat."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir. Where that is unset, a temporary one in local mode;
     on a cluster a folder of the driver's machine would lose data without a word, so that is an error."""
