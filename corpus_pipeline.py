@@ -3,8 +3,9 @@
 Every stage works on all rows that its predecessor kept and, but for the last, returns the
 columns of documents. Stages handle nulls, empty tables and repeated rows as their operators
 do: texts without letters go in the first stage, short and repetitive ones in the second. Texts of
-any length are read whole, in slices where they are long; further columns, whatever their names, come
-through all stages but the last, also names with dots or that differ from others in case alone.
+any length are read whole, in slices where they are long; further columns come through all stages but
+the last, also names with dots. Names that differ in case alone pass every stage, but Spark writes such
+tables between stages only where spark.sql.caseSensitive is on, and refuses them else.
 """
 
 from __future__ import annotations
