@@ -102,8 +102,8 @@ def _followed(value: Column, kind: DataType, path: list[str], new) -> Column:
     return new(value)
 
 
-def referenced(rows: DataFrame, refs: list[str]) -> DataFrame:
-    """Distinct doc_id and id that columns of rows refer to; a column is a name, with a dot and a field for arrays of structs."""
+def _referred(rows: DataFrame, refs: list[str]) -> Column:
+    """The distinct ids, sorted, that columns of a row refer to; a column is a name, with a dot and a field for arrays of structs."""
     found = []
     for ref in refs:
         name, *path = ref.split(".")
@@ -116,31 +116,40 @@ def referenced(rows: DataFrame, refs: list[str]) -> DataFrame:
             else:
                 break
         found.append(ids if isinstance(kind, ArrayType) else F.array(ids))
-    each = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in found])
-    return rows.select("doc_id", F.explode(each).alias("id")).where("id is not null").distinct()
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in found]))))
+
+
+def referenced(rows: DataFrame, refs: list[str]) -> DataFrame:
+    """Distinct doc_id and id that columns of rows refer to (see _referred)."""
+    return rows.select("doc_id", F.explode(_referred(rows, refs)).alias("id")).distinct()
 
 
 def id_maps(groups: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
-    """doc_id and ids: a document's map from its concepts' ids to the canonical ones. foreign: doc_id and id of what its
-    lists refer to; ids that aren't its own but canonical stand for themselves.
+    """doc_id, id and canonical: a document's map from its concepts' ids to the canonical ones, a row an id. foreign: doc_id
+    and id of what its lists refer to; ids that aren't its own but canonical stand for themselves.
 
-    groups: doc_id, id, canonical of every concept; a document's concepts are one map."""
+    groups: doc_id, id, canonical of every concept."""
     own = groups.groupBy("doc_id", "id").agg(F.min("canonical").alias("canonical"))
     if foreign is not None:
         valid = groups.select(F.col("canonical").alias("id")).distinct()
         others = foreign.select("doc_id", "id").distinct().join(valid, "id", "left_semi").join(own.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
         own = own.unionByName(others.select("doc_id", "id", F.col("id").alias("canonical")))
-    return own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "canonical"))).alias("ids"))
+    return own
 
 
 def remapped(rows: DataFrame, refs: dict[str, bool], maps: DataFrame) -> DataFrame:
-    """rows with the ids in columns refs (see referenced) replaced by their document's canonical ones, in one join whatever
-    the number and depth of the columns; order within arrays stays. Unknown ids go (null, or out of their array) where refs
-    says True, and stay where it says False."""
-    name = "ids"
-    while name in rows.columns:
-        name += "_"
-    out = rows.join(maps.withColumnRenamed("ids", name), "doc_id", "left")
+    """rows with the ids in columns refs (see _referred) replaced by their document's canonical ones, whatever the number
+    and depth of the columns; order within arrays stays. Unknown ids go (null, or out of their array) where refs says
+    True, and stay where it says False. maps: see id_maps.
+
+    Each set of ids that rows of a document refer to meets their canonical ones once, so a row only carries its own."""
+    name, asked = "ids", "asked"
+    while {name, asked} & set(rows.columns):
+        name, asked = name + "_", asked + "_"
+    keyed = rows.withColumn(asked, _referred(rows, list(refs)))
+    wanted = keyed.select("doc_id", asked).distinct().select("doc_id", asked, F.explode(asked).alias("id"))
+    found = wanted.join(maps, ["doc_id", "id"]).groupBy("doc_id", asked).agg(F.map_from_entries(F.collect_list(F.struct("id", "canonical"))).alias(name))
+    out = keyed.join(found, ["doc_id", asked], "left").select(*rows.columns, name)
     for ref, must_be_known in refs.items():
         column, *path = ref.split(".")
 

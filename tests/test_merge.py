@@ -25,6 +25,15 @@ def test_ids_are_followed_through_arrays_and_structs_in_one_pass(spark):
     assert out[3] == {"doc_id": 3, "one": "a", "many": None, "nested": None, "inside": None}
 
 
+def test_a_row_carries_the_ids_it_refers_to_and_no_others(spark):
+    groups = spark.range(2000).selectExpr("1 as doc_id", "concat('c', id) as id", "concat('m', id) as canonical")
+    maps = M.id_maps(groups)
+    assert maps.groupBy("doc_id", "id").count().where("count > 1").count() == 0 and maps.count() == 2000
+    rows = frame(spark, [(1, ["c7", "c3", "c7"]), (1, ["c3", "c7"]), (1, []), (None, ["c3"])], "doc_id int, ids array<string>")
+    out = [r["ids"] for r in M.remapped(rows, {"ids": True}, maps).collect()]
+    assert sorted(out) == [[], [], ["m3", "m7"], ["m7", "m3", "m7"]]
+
+
 def test_all_lists_of_two_documents(spark):
     groups = frame(spark, GROUPS, "doc_id int, id string, canonical string")
     lists = {
