@@ -23,6 +23,12 @@ def lookup(key: Column, values: dict, default) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, half away from zero on the double itself; F.round goes by its decimal text, where a sum just
+    below a half counts as one."""
+    return F.round(x * 10**digits) / 10**digits
+
+
 def evidence_weight(modality: Column, n_effective: Column, hints: Column, scaffolds: Column, via: Column | None = None) -> Column:
     """Base weight lowered by guessing (recognition only), hints, scaffolds and the way of answering."""
     guess = F.when(modality == "reconocimiento", 1 - 1 / F.greatest(n_effective, F.lit(1.01))).otherwise(F.lit(1.0))
@@ -42,7 +48,7 @@ def weighted_profile(signals: DataFrame) -> DataFrame:
     scalar = signals.where((F.col("forma") == "escalar") & F.col("concept_id").isNotNull() & F.col("delta").isNotNull()).withColumn("w", w)
     sums = scalar.groupBy("student_id", "concept_id", "dimension").agg(F.sum(F.col("delta") * F.col("w")).alias("dw"), F.sum("w").alias("ws"), F.count(F.lit(1)).alias("n"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), CENTRE + GAIN * F.col("dw") / F.col("ws")))
-    return sums.select("student_id", "concept_id", "dimension", F.round(score, 3).alias("score"), F.round("ws", 2).alias("evidence"), "n")
+    return sums.select("student_id", "concept_id", "dimension", rounded(score, 3).alias("score"), rounded(F.col("ws"), 2).alias("evidence"), "n")
 
 
 def pivoted_profile(profile: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
