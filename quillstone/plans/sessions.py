@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import answered as N
 from quillstone.operators import grading as G
 from quillstone.operators import session as S
+from quillstone.operators.profile import rounded
 from quillstone.plans.book import Book
 from quillstone.plans.texts import ANSWER
 from quillstone.sources.fixtures import stream
@@ -143,10 +144,10 @@ _PLAN = """with p as (select c_custkey as student_id, 'c'||cast(o_orderkey as st
 def plan(v):
     from pyspark.sql import Window
 
-    o = v("orders")
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
-    score = F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.round((F.col("o_totalprice") % 1000) / 1000, 3))
-    return o.join(v("customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("student_id"), F.concat(F.lit("c"), F.col("o_orderkey")).alias("concept_id"), pos.alias("position"), score.alias("score"), (F.col("o_orderkey") % 4).alias("unit"))
+    o = v("orders").join(v("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    pos = F.row_number().over(Window.partitionBy("c_custkey").orderBy("o_orderkey")).cast("long")
+    score = F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(rounded((F.col("o_totalprice") % 1000) / 1000, 3))
+    return o.select(F.col("c_custkey").alias("student_id"), F.concat(F.lit("c"), F.col("o_orderkey")).alias("concept_id"), pos.alias("position"), score.alias("score"), (F.col("o_orderkey") % 4).alias("unit"))
 
 
 @book.page("se2_frontier", "", _PLAN + " select student_id, concept_id from (select *, count(*) filter (where score >= 0.6) over (partition by student_id) + 6 as reach from p) where position <= reach")
