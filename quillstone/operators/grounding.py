@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.grams import KeySet, piece_keys, word_keys
 from quillstone.functions.text import source_norm, word_grams
+from quillstone.operators.profile import rounded
 from quillstone.sources.shared import written
 
 MIN_CHARS, OVERLAP, N = 25, 0.82, 4
@@ -64,13 +65,17 @@ def inverted(docs: DataFrame, wanted: KeySet) -> DataFrame:
     return docs.select("doc_id", "norm").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key long")
 
 
-def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+def indexed(quotes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys of quotes (quote_id, kind, key, total), and postings (doc_id, key) of those that sources have."""
+    keys = written(quotes.mapInArrow(_quote_keys, f"quote_id {dict(quotes.dtypes)['quote_id']}, kind string, key long, total long"), "quote-keys")
+    return keys, written(inverted(docs, wanted_keys(keys.select("key").distinct())), "quote-postings")
+
+
+def candidates(keys: DataFrame, postings: DataFrame) -> DataFrame:
     """quote_id and doc_id of all pairs where a source can support a quote, by an inverted index of the keys of quotes.
 
     A quote joins on its rarest keys alone: one of its pieces, as a source that holds the quote has all of them, and
-    so many of its word n-grams that a source of enough overlap can't lack them all. quotes: quote_id, norm; docs: doc_id, norm."""
-    keys = written(quotes.mapInArrow(_quote_keys, f"quote_id {dict(quotes.dtypes)['quote_id']}, kind string, key long, total long"), "quote-keys")
-    postings = written(inverted(docs, wanted_keys(keys.select("key").distinct())), "quote-postings")
+    so many of its word n-grams that a source of enough overlap can't lack them all. keys, postings: see indexed."""
     df = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     ranked = keys.join(df, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("quote_id", "kind").orderBy("df", "key")))
@@ -80,19 +85,36 @@ def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return chosen.join(postings, "key").select("quote_id", "doc_id").distinct()
 
 
+def _supported(q: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """quote_id and share of the quotes that a source of pairs supports, verified on whole texts. q: quote_id, norm."""
+    both = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("source", source_norm("text")).join(q, "quote_id")
+    mine = word_grams(F.col("norm"), N)
+    share = F.when(F.contains("source", "norm"), 1.0).otherwise(F.size(F.array_intersect(mine, word_grams(F.col("source"), N))) / F.size(mine))
+    return both.select("quote_id", share.alias("share")).groupBy("quote_id").agg(F.max("share").alias("share")).where(F.col("share") >= OVERLAP)
+
+
 def best_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """quote_id, found and similarity of each quote: whether any source holds it, as it is (1) or by enough of its
     word n-grams (their share); similarity is null where none does. Quotes shorter than MIN_CHARS are never found.
 
     quotes: quote_id, quote; docs: doc_id, text. Candidates are verified on whole texts."""
     q = quotes.select("quote_id", source_norm("quote").alias("norm"))
-    pairs = candidates(q.where(F.length("norm") >= MIN_CHARS), docs.select("doc_id", source_norm("text").alias("norm")))
-    both = pairs.join(docs.select("doc_id", "text"), "doc_id").withColumn("source", source_norm("text")).join(q, "quote_id")
-    mine = word_grams(F.col("norm"), N)
-    share = F.when(F.contains("source", "norm"), 1.0).otherwise(F.size(F.array_intersect(mine, word_grams(F.col("source"), N))) / F.size(mine))
-    best = both.select("quote_id", share.alias("share")).groupBy("quote_id").agg(F.max("share").alias("share")).where(F.col("share") >= OVERLAP)
-    out = q.select("quote_id").join(best, "quote_id", "left")
-    return out.select("quote_id", F.col("share").isNotNull().alias("found"), F.round("share", 2).alias("similarity"))
+    pairs = candidates(*indexed(q.where(F.length("norm") >= MIN_CHARS), docs.select("doc_id", source_norm("text").alias("norm"))))
+    out = q.select("quote_id").join(_supported(q, docs, pairs), "quote_id", "left")
+    return out.select("quote_id", F.col("share").isNotNull().alias("found"), rounded(F.col("share"), 2).alias("similarity"))
+
+
+def closest_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """best_source with the similarity of every quote: where no source supports it, the largest share of its word n-grams
+    that one source has, counted by their 64-bit keys over all sources; 0 where none has any or the quote is too short."""
+    q = quotes.select("quote_id", source_norm("quote").alias("norm"))
+    keys, postings = indexed(q.where(F.length("norm") >= MIN_CHARS), docs.select("doc_id", source_norm("text").alias("norm")))
+    words = keys.where("kind = 'words'").select("quote_id", "key", "total")
+    shared = words.join(postings.distinct(), "key").groupBy("quote_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+    counted = shared.groupBy("quote_id").agg(F.max(F.col("n") / F.col("total")).alias("counted"))
+    out = q.select("quote_id").join(_supported(q, docs, candidates(keys, postings)), "quote_id", "left").join(counted, "quote_id", "left")
+    share = F.coalesce("share", "counted", F.lit(0.0))
+    return out.select("quote_id", (share >= OVERLAP).alias("found"), rounded(share, 2).alias("similarity"))
 
 
 def in_own_source(claims: DataFrame, docs: DataFrame, quote: str) -> DataFrame:

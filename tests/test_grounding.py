@@ -105,3 +105,37 @@ def test_synonyms_and_parentheses_are_forms(spark):
     c = spark.createDataFrame([("a", "Large (LBB) Blue", ["Big One", None]), ("b", "Box (abcdefghijkl)", None)], "concept_id string, title string, synonyms array<string>")
     assert {tuple(r) for r in surface_forms(c, 3).collect()} == {("a", "large lbb blue"), ("b", "box abcdefghijkl"), ("b", "box")}
     assert {tuple(r) for r in surface_forms(c, 4, synonyms=True).collect()} == {("a", "large lbb blue"), ("a", "big one"), ("b", "box abcdefghijkl"), ("b", "abcdefghijkl")}
+
+
+def test_every_quote_has_the_share_of_its_closest_source(spark):
+    from quillstone.operators.grounding import closest_source
+
+    q = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "none of these words are in sources"), (3, "one two"), (4, "alpha beta gamma delta epsilon")], "quote_id long, quote string")
+    d = spark.createDataFrame([(1, "zero one two three four five and six seven eight nine"), (2, "one two three four"), (3, None), (4, "alpha beta gamma delta epsilon"), (4, "alpha beta gamma delta epsilon")], "doc_id long, text string")
+    got = [tuple(r) for r in closest_source(q, d).orderBy("quote_id").collect()]
+    assert got == [(1, False, 0.5), (2, False, 0.0), (3, False, 0.0), (4, True, 1.0)]
+
+
+def test_numbers_are_rounded_on_the_double_itself(spark):
+    from quillstone.operators.profile import rounded
+
+    df = spark.createDataFrame([(1.005,), (0.145,), (0.125,), (-0.125,), (None,)], "x double")
+    assert [r[0] for r in df.select(rounded(df["x"], 2)).collect()] == [1.0, 0.14, 0.13, -0.13, None]
+
+
+def test_segments_that_mention_a_form_count_once(spark):
+    from quillstone.operators.segment import mentioning
+
+    s = spark.createDataFrame([(1, 0, "a form", 6), (1, 0, "a form", 6), (1, 1, "form", 4), (1, 2, "a form", 6)], "doc_id long, seq long, norm string, chars long")
+    forms = spark.createDataFrame([("c", "form")], "concept_id string, form string")
+    assert sorted(tuple(r) for r in mentioning(s, forms, 10).collect()) == [(1, 0, 6), (1, 1, 4)]
+
+
+def test_plans_number_the_concepts_of_customers_that_repeat(spark, tmp_path):
+    from quillstone.plans import sessions
+    from quillstone.plans.book import Views
+
+    spark.createDataFrame([(1,), (1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(4, 1, 1001.23), (5, 1, 2001.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["position"], r["concept_id"]) for r in sessions.plan(Views(spark, str(tmp_path))).collect())
+    assert got == [(1, "c4"), (2, "c4"), (3, "c5"), (4, "c5")]
