@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,28 +129,35 @@ def statements(safe: DataFrame, concepts: DataFrame) -> DataFrame:
     return true.unionByName(false).withColumn("place", F.row_number().over(Window.partitionBy("concept_id").orderBy("k", F.desc("polarity"))))
 
 
-def spread_candidates(cases: DataFrame, candidates: DataFrame, take: int = 3, least: int = 2) -> DataFrame:
+def spread_candidates(cases: DataFrame, candidates: DataFrame, take: int = 3, least: int = 2, key: str = "case_id") -> DataFrame:
     """B2 items: of each case's candidates those used least so far, in order of the cases.
 
-    cases: doc_id, case_id, seq; candidates: case_id, concept_id, rank. One document is one group."""
-    rows = cases.join(candidates.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "concept_id"))).alias("c")), "case_id").select("doc_id", "case_id", "seq", F.transform("c", lambda x: x["concept_id"]).alias("c"))
+    cases: doc_id, case_id, seq and key; candidates: key, concept_id, rank. key: the column of the cases that tells their
+    candidates; a list that cases share meets their document once. One document is one group."""
+    rows = cases.select("doc_id", "case_id", "seq", F.col(key).alias("of"))
+    lists = candidates.groupBy(F.col(key).alias("of")).agg(F.array_sort(F.collect_list(F.struct("rank", "concept_id"))).alias("c")).where(F.size("c") >= least)
+    near = rows.select("doc_id", "of").distinct().join(lists.select("of", F.transform("c", lambda x: x["concept_id"]).alias("c")), "of").select(F.col("doc_id").alias("doc"), F.col("of").alias("list"), "c")
     kind = dict(rows.dtypes)["doc_id"]
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        out = []
-        for r in pdf.itertuples():
-            ranked = sorted(range(len(r.c)), key=lambda i: (used.get(r.c[i], 0), i))[:take]
-            if len(ranked) < least:
-                continue
-            for i in ranked:
-                used[r.c[i]] = used.get(r.c[i], 0) + 1
-                out.append((r.case_id, r.c[i]))
-        frame = pd.DataFrame(out, columns=["case_id", "concept_id"])
-        frame.insert(0, "doc_id", pdf["doc_id"].iloc[0])
+    def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        place: dict = {}
+        own = {of: np.array([place.setdefault(x, len(place)) for x in c]) for of, c in zip(right["list"], right["c"])}
+        used, names = np.zeros(len(place), np.int64), np.array(list(place), object)
+        left = left[left["of"].isin(own)].sort_values("seq", kind="stable")
+        found, times = [], []
+        for of in left["of"]:
+            at = own[of]
+            score = used[at] * len(at) + np.arange(len(at))  # used least first, then by place
+            best = at[np.argpartition(score, take - 1)[:take] if len(at) > take else np.argsort(score)]
+            np.add.at(used, best, 1)
+            found.append(best)
+            times.append(len(best))
+        every = np.concatenate(found) if found else np.zeros(0, np.int64)
+        frame = pd.DataFrame({"case_id": np.repeat(left["case_id"].to_numpy(object), times) if found else [], "concept_id": names[every]})
+        frame.insert(0, "doc_id", left["doc_id"].iloc[0] if found else None)
         return frame
 
-    return fold(rows, "doc_id", step, f"doc_id {kind}, case_id string, concept_id string")
+    return rows.groupBy("doc_id").cogroup(near.groupBy("doc")).applyInPandas(step, f"doc_id {kind}, case_id string, concept_id string")
 
 
 def adjudicated(decisions: DataFrame, concepts: DataFrame, most: int = 4) -> DataFrame:

@@ -208,8 +208,7 @@ def co15(v):
 def co18(v):
     c = v("v_cases").where(F.trim("resolucion_esperada") != "").select("dominio", "case_id", F.substring("case_id", 2, 9).cast("long").alias("seq"), "primary_concept_id").withColumnRenamed("dominio", "doc_id")
     adj = graphs.ends(graphs.settled(v)).select(F.col("from_concept_id").alias("primary_concept_id"), F.col("to_concept_id").alias("concept_id")).distinct()
-    cand = c.join(adj, "primary_concept_id").select("case_id", "concept_id", F.col("concept_id").alias("rank"))
-    return Z.spread_candidates(c.select("doc_id", "case_id", "seq"), cand)
+    return Z.spread_candidates(c, adj.withColumn("rank", F.col("concept_id")), key="primary_concept_id")
 
 
 # --- views of the client ---

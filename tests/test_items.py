@@ -63,6 +63,30 @@ def test_spread_takes_those_used_least(spark):
     assert got == {"k1": set("abc"), "k2": set("dab"), "k4": set("dcb"), "k5": set("ab")}
 
 
+def test_spread_of_cases_that_share_a_list(spark):
+    rng = random.Random(4)
+    lists = {k: rng.sample("abcdefgh", rng.randint(1, 7)) for k in range(5)}
+    cases = [(d, f"k{d}_{n}", n, rng.randrange(6)) for d in (1, 2) for n in range(40)]
+    cand = spark.createDataFrame([(k, c, i) for k, cs in lists.items() for i, c in enumerate(cs)], "of_list int, concept_id string, rank int")
+    out = Z.spread_candidates(spark.createDataFrame(cases, "doc_id int, case_id string, seq int, of_list int"), cand, key="of_list")
+    want, used = [], {}
+    for d, case, _, k in cases:
+        cs = lists.get(k, [])
+        best = sorted(range(len(cs)), key=lambda i: (used.get((d, cs[i]), 0), i))[:3]
+        for i in best if len(best) >= 2 else []:
+            used[d, cs[i]] = used.get((d, cs[i]), 0) + 1
+            want.append((d, case, cs[i]))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_levels_of_a_chain_deeper_than_100_and_of_a_cycle(spark):
+    chain = [(f"c{n}", f"c{n - 1}") for n in range(1, 105)]
+    needs = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "x"), ("c1", "gone")], "concept_id string, required string")
+    nodes = spark.createDataFrame([(f"c{n}",) for n in range(105)] + [("x",), ("y",), ("z",), ("alone",)], "concept_id string")
+    got = {r["concept_id"]: r["level"] for r in K.levels(needs, nodes).collect()}
+    assert got == {f"c{n}": n for n in range(105)} | {"x": None, "y": None, "z": None, "alone": 0}
+
+
 def test_adjudicated_merges_in_order(spark):
     d = [(1, 1, "a", ["a", "b", "zz"]), (1, 2, "b", ["b", "c"]), (1, 3, "c", ["c", "a"]), (1, 4, "d", ["d", "e", "f", "g", "h"]), (1, 5, "q", ["d", "e"]), (1, 6, "e", ["e", "d", "d"]), (2, 1, "a", ["b"])]
     decisions = spark.createDataFrame(d, "doc_id int, seq int, canonical_id string, members array<string>")
