@@ -71,22 +71,31 @@ def study_order(ranked: DataFrame, needs: DataFrame, key: str = "doc_id") -> Dat
     return ranked.select(key, "concept_id", "rank").groupBy(key).cogroup(needs.select(key, "concept_id", "required").groupBy(key)).applyInPandas(order, f"{key} {kind}, concept_id string, place long")
 
 
-def levels(needs: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def levels(needs: DataFrame, nodes: DataFrame) -> DataFrame:
     """concept_id and level: the longest chain of prerequisites below it; null in and above cycles.
 
-    A round joins the edges with what is still open and writes the nodes once."""
-    from quillstone.sources.shared import written
-
-    edges = written(needs.select("concept_id", "required").where("concept_id != required").distinct(), "level-edges")
-    state = nodes.select("concept_id", F.lit(None).cast("int").alias("level"))
-    for k in range(max_rounds):
-        open_ = state.where("level is null").select(F.col("concept_id").alias("required"))
-        blocked = edges.join(open_, "required", "left_semi").select("concept_id", F.lit(True).alias("blocked")).distinct()
-        after = state.join(blocked, "concept_id", "left").select("concept_id", F.coalesce("level", F.when(F.col("blocked").isNull(), F.lit(k))).alias("level"))
-        state = written(after, "levels")
-        if not state.where(F.col("level") == k).limit(1).count():
-            return state
-    raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
+    A round keeps the edges whose prerequisite still has prerequisites itself and notes what has none left, so it ends
+    after as many rounds as the graph is deep, and a round costs as much as is still open."""
+    from quillstone.sources.shared import remove, shared_dir, written
+
+    known = nodes.select("concept_id").distinct()
+    inside = needs.select("concept_id", "required").where("concept_id != required").join(known, "concept_id", "left_semi").join(known.withColumnRenamed("concept_id", "required"), "required", "left_semi")
+    edges = written(inside.select("concept_id", "required").distinct(), "level-edges")
+    done, left, k = shared_dir(edges.sparkSession, "levels"), edges.count(), 0
+    edges.select("concept_id", F.lit(0).alias("level")).limit(0).write.parquet(done)
+    while left:
+        open_ = edges.select(F.col("concept_id").alias("required")).distinct()
+        rest = written(edges.join(open_, "required", "left_semi").select("concept_id", "required"), "level-edges")
+        before, left, k = left, rest.count(), k + 1
+        if left == before:  # all that is left waits for itself
+            break
+        edges.select("concept_id").distinct().join(rest.select("concept_id").distinct(), "concept_id", "left_anti").select("concept_id", F.lit(k).alias("level")).write.mode("append").parquet(done)
+        remove(edges.sparkSession, edges.written_to)
+        edges = rest
+    found = edges.sparkSession.read.schema(f"concept_id {dict(nodes.dtypes)['concept_id']}, level int").parquet(done)
+    stuck = edges.select("concept_id", F.lit(None).cast("int").alias("level")).distinct() if left else None
+    found = (found if stuck is None else found.unionByName(stuck)).withColumn("open", F.lit(True))
+    return nodes.select("concept_id").join(found, "concept_id", "left").select("concept_id", F.when(F.col("open"), F.col("level")).otherwise(0).alias("level"))
 
 
 def kahn_order(nodes: DataFrame, needs: DataFrame) -> DataFrame:
