@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.profile import lookup
+from quillstone.sources.shared import written
 
 # Session modes, playable mechanics and answer formats.
 MODES = {
@@ -89,73 +92,108 @@ def session_plan(choices: DataFrame, items: DataFrame, mode: str = "aprendizaje"
     then both try the other available mechanics. Bets come before every n-th exercise, planning opens
     and reflection closes a session that has steps. A concept without items gets no exercise.
 
-    What is chosen depends on the steps before, so a session is planned in order. It uses two items a concept at most:
-    the first 2 * concepts items of each course, concept and mechanic hold all that it can take.
+    What is chosen depends on the steps before, so a session is planned in order. It uses an item a concept and cycle at most:
+    the first cycles * concepts items of each course, concept and mechanic hold all that it can take. Sessions are planned many to an
+    Arrow batch, and a task reads the offers of a concept once while it remembers them.
     """
     cfg = MODES[mode]
     most = cfg["conceptos_por_sesion"]
     guided, score = F.lit(cfg["ciclo_adquisicion"]), F.coalesce("score", F.lit(0.0))
+    enough = most * (2 if cfg["ciclo_adquisicion"] else 1)
     by_place = Window.partitionBy("course", "concept_id", "mechanic_id").orderBy("place", "item_id")
-    near = items.where(F.col("mechanic_id").isin(*PLAYABLE)).withColumn("nth", F.row_number().over(by_place)).where(F.col("nth") <= 2 * most)
+    near = items.where(F.col("mechanic_id").isin(*PLAYABLE)).withColumn("nth", F.row_number().over(by_place)).where(F.col("nth") <= enough)
     offers = near.groupBy("course", "concept_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "mechanic_id"))).alias("offers"))
     ranked = lambda g: preferred_mechanics(allowed_families(F.col("score"), F.col("families"), g), F.col("available"))
+    in_order = Window.partitionBy("student_id").orderBy("k", "concept_id")
     rows = choices.where(F.col("k") <= most).select(
         "student_id", "course", "concept_id", "k", score.alias("score"), (F.coalesce("seen", F.lit(False)) & (score >= 0.35)).alias("known"),
-        F.array_sort("available").alias("available"), ranked(guided).alias("first"), ranked(F.lit(False)).alias("second"),
-    ).join(offers, ["course", "concept_id"], "left")
-    return rows.groupBy("student_id").applyInPandas(lambda pdf: _planned(pdf, cfg), STEP)
-
-
-def _planned(pdf: pd.DataFrame, cfg: dict) -> pd.DataFrame:
-    """The steps of one student's session; see session_plan."""
-    chosen = list(pdf.sort_values("k").itertuples())
-    offers = {r.concept_id: [] if r.offers is None else [(o["place"], o["item_id"], o["mechanic_id"]) for o in r.offers] for r in chosen}
+        F.array_sort("available").alias("available"), ranked(guided).alias("first"), ranked(F.lit(False)).alias("second"), F.row_number().over(in_order).alias("own"),
+    ).join(written(offers, "offers"), ["course", "concept_id"], "left")
+    # a broadcast join keeps the order of the window before it, so that this one sorts nothing again
+    rows = rows.withColumn("turn", F.row_number().over(in_order)).drop("own")
+    return rows.select(*_CHOICE).mapInArrow(lambda batches: _sessions(batches, cfg), STEP)
+
+
+_CHOICE = "turn student_id course concept_id score known available first second offers".split()
+_STEP_NAMES = [c.split()[0] for c in STEP.split(", ")]
+#: Concepts whose offers a task remembers, and steps of an output batch.
+_REMEMBERED, _STEPS = 10_000, 20_000
+
+
+def _sessions(batches: Iterator[pa.RecordBatch], cfg: dict) -> Iterator[pa.RecordBatch]:
+    """The steps of sessions whose rows follow each other; turn is 1 where the next one begins."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in STEP.split(", "))])
+    offers, open_rows, out = {}, [], []
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for batch in batches:
+        own = batch.column(len(_CHOICE) - 1)
+        for i, row in enumerate(zip(*[batch.column(k).to_pylist() for k in range(len(_CHOICE) - 1)])):
+            if row[0] == 1 and open_rows:
+                out += _planned(open_rows, cfg)
+                open_rows = []
+                if len(out) >= _STEPS:
+                    yield made(out)
+                    out = []
+            key = row[2:4]
+            if key not in offers:
+                if len(offers) >= _REMEMBERED:
+                    offers.clear()
+                offers[key] = by_mechanic = {}
+                for o in own[i].as_py() or ():
+                    by_mechanic.setdefault(o["mechanic_id"], []).append((o["place"], o["item_id"]))
+            open_rows.append((*row[1:], offers[key]))
+    out += _planned(open_rows, cfg) if open_rows else []
+    if out:
+        yield made(out)
+
+
+def _planned(chosen: list[tuple], cfg: dict) -> list[list]:
+    """The steps of one student's session; see session_plan. chosen: rows of _CHOICE without turn, offers by mechanic in order."""
+    offers = {r[2]: r[8] for r in chosen}
     learning, every = cfg["ciclo_adquisicion"], cfg["calibracion_cada"]
-    anywhere = [] if learning else sorted(o for of_concept in offers.values() for o in of_concept)
     steps, used, last, exercises = [], set(), None, 0
 
     def unused(mechanic, among):
-        return next((item for _, item, m in among if m == mechanic and item not in used), None)
+        return next((o for o in among.get(mechanic, ()) if o[1] not in used), None)
+
+    def anywhere(mechanic):
+        return None if learning else min((o for among in offers.values() if (o := unused(mechanic, among))), default=None)
 
     def add(kind, **more):
         steps.append({"kind": kind} | more)
 
-    for r in chosen:
-        if learning and not r.known:
-            add("exposicion", concept_id=r.concept_id)
-        cycles = ["evaluacion"] if not learning else ["guiada"] if r.score >= 0.6 else ["guiada", "autonoma"]
+    for _, _, concept, score, known, available, first, second, _ in chosen:
+        if learning and not known:
+            add("exposicion", concept_id=concept)
+        cycles = ["evaluacion"] if not learning else ["guiada"] if score >= 0.6 else ["guiada", "autonoma"]
         for cycle in cycles:
-            ranked = list(r.second if cycle == "autonoma" else r.first)
+            ranked = second if cycle == "autonoma" else first
             if not ranked:
                 continue
             mechanic = next((m for m in ranked if FORMATS[m] != last), ranked[0])
-            item = unused(mechanic, offers[r.concept_id])
-            item = unused(mechanic, anywhere) if item is None else item
-            if item is None:
-                others = ((m, unused(m, offers[r.concept_id])) for m in PLAYABLE if m != mechanic and m in r.available)
-                mechanic, item = next(((m, i) for m, i in others if i is not None), (mechanic, None))
-            if item is None:
+            found = unused(mechanic, offers[concept]) or anywhere(mechanic)
+            if found is None:
+                others = ((m, unused(m, offers[concept])) for m in PLAYABLE if m != mechanic and m in available)
+                mechanic, found = next(((m, o) for m, o in others if o), (mechanic, None))
+            if found is None:
                 continue
+            item = found[1]
             if every and exercises % every == 0:
-                add("calibracion", concept_id=r.concept_id, mechanic_id="G1", item_id=item)
+                add("calibracion", concept_id=concept, mechanic_id="G1", item_id=item)
             guided = cycle == "guiada"
             add(
-                "ejercicio", cycle=cycle, concept_id=r.concept_id, mechanic_id=mechanic, item_id=item, hints=cfg["permite_pistas"] and guided,
-                feedback=cfg["feedback_inmediato"], fewer_options=guided and r.score < 0.4, fading=0 if guided else 1,
+                "ejercicio", cycle=cycle, concept_id=concept, mechanic_id=mechanic, item_id=item, hints=cfg["permite_pistas"] and guided,
+                feedback=cfg["feedback_inmediato"], fewer_options=guided and score < 0.4, fading=0 if guided else 1,
             )
             used.add(item)
             last, exercises = FORMATS[mechanic], exercises + 1
-    ids = [r.concept_id for r in chosen]
+    ids = [r[2] for r in chosen]
     if steps and cfg["planeacion_inicial"]:
         steps.insert(0, {"kind": "planeacion", "mechanic_id": "I1", "concepts": ids})
     if steps and cfg["reflexion_final"]:
         add("reflexion", mechanic_id="I4", concepts=ids)
-    names = [c.split()[0] for c in STEP.split(", ")]
-    rows = [[s.get(c) for c in names[2:]] for s in steps]
-    out = pd.DataFrame(rows, columns=names[2:], dtype=object)
-    out.insert(0, "student_id", pdf["student_id"].iloc[0])
-    out.insert(1, "step", range(1, len(out) + 1))
-    return out
+    return [[chosen[0][0], k, *[s.get(c) for c in _STEP_NAMES[2:]]] for k, s in enumerate(steps, 1)]
 
 
 def served(items: DataFrame, options: int = 2) -> DataFrame:
