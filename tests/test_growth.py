@@ -26,3 +26,107 @@ def test_sessions_are_planned_many_to_a_batch(spark):
         for student in range(20):
             taken = [r["item_id"] for r in whole if r["student_id"] == student and r["kind"] == "ejercicio"]
             assert taken and len(taken) == len(set(taken))
+
+
+class FakeState:
+    """What a group state holds between calls, and the time it is told."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.now, self.get, self.waits = False, False, 0, None, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.waits = ms
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+def test_bets_of_a_students_items_expire_each_in_its_time():
+    import pandas as pd
+
+    from quillstone.streaming.profile import bet_gaps
+
+    class Events:
+        def groupBy(self, *keys):
+            assert keys == ("student_id",)  # one call of Python a student, not an item
+            return self
+
+        def applyInPandasWithState(self, match, *rest):
+            return match
+
+    match, state = bet_gaps(Events(), 100), FakeState()
+
+    def told(now, *rows):
+        state.now = now
+        frame = pd.DataFrame([(1, *r) for r in rows], columns=["student_id", "item_id", "event_id", "kind", "value"])
+        return [tuple(r)[1:] for f in match((1,), iter([frame]), state) for r in f.itertuples(index=False)]
+
+    assert told(0, ("a", 1, "bet", 0.25), ("b", 2, "bet", 0.0)) == [] and state.waits == 100
+    assert told(60, ("a", 4, "bet", 0.5)) == [] and state.waits == 40  # b is due first
+    assert told(120, ("b", 5, "result", 1.0)) == [] and state.waits == 40  # b's bet has expired, a's not
+    assert told(159, ("a", 7, "result", 1.0)) == [("a", 1, 0.75), ("a", 4, 0.5)] and not state.exists
+    assert told(160, ("a", 8, "bet", 0.5)) == []
+    state.hasTimedOut, state.now = True, 261
+    assert list(match((1,), iter([]), state)) == [] and not state.exists
+
+
+def test_a_session_reads_and_writes_its_state_once_a_batch():
+    import pandas as pd
+
+    from quillstone.streaming.answered import SessionState
+
+    calls = []
+
+    class Map(dict):
+        def getValue(self, key):
+            calls.append("get")
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, name, key, value):
+            return Map()
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers = [at]
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    s = SessionState(1000)
+    s.init(Handle())
+    row = lambda seq, kind, item, **k: {"session_id": 7, "seq": seq, "at": float(seq), "kind": kind, "concept_id": "c", "item_id": item, "correct": None, "declared": None, "said": None} | k
+    first = pd.DataFrame([row(1, "calibracion", "i", declared=0.9), row(2, "ejercicio", "j", correct=True), row(3, "calibracion", "j")])
+    assert list(s.handleInputRows((5,), iter([first]), None)) == [] and calls == ["get", "update"]
+    second = pd.DataFrame([row(4, "ejercicio", "i", correct=False), row(5, "ejercicio", "j", correct=True), row(6, "reflexion", "k", said="c")])
+    out = [tuple(r)[:8] for f in s.handleInputRows((5,), iter([second]), None) for r in f.itertuples(index=False)]
+    assert [(r[1], r[5], r[6], r[7]) for r in out[:2]] == [(4, 0.9, 0.0, None), (5, 0.5, 1.0, None)] and out[2][7] == "c" and calls == ["get", "update"] * 2
+    other = pd.DataFrame([row(9, "calibracion", "i", declared=0.5, session_id=8)])
+    assert list(s.handleInputRows((5,), iter([other]), None)) == [] and s.handle.timers == [1_003_001]  # the bucket's first
+    s.handle.timers = []
+    list(s.handleExpiredTimer((5,), Now(1_006_001), None))
+    assert set(s.kept) == {(8,)} and s.handle.timers == [1_009_001]
