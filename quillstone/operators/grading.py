@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import answer_norm, answer_tokens, containment
+from quillstone.functions.text import answer_norm, answer_tokens, containment, norm_tokens, once
 
 # Modality and dimension of each playable mechanic.
 MODALITY = {"A1": "reconocimiento", "A3": "produccion_guiada", "B1": "reconocimiento", "B2": "reconocimiento", "C1": "reconocimiento", "E1": "produccion_guiada", "E3": "produccion_guiada"}
@@ -35,8 +35,8 @@ def true_false(answer: Column, polarity: Column, compat: bool = False) -> Column
 
 
 def accepted_type(answer: Column, types: Column) -> Column:
-    """Relation items: the answer is one of the pair's types, spelling aside."""
-    return F.exists(types, lambda t: answer_norm(t) == answer_norm(answer))
+    """Relation items: the answer is one of the pair's types, spelling aside. types: normalised by answer_norm, once a pair."""
+    return F.array_contains(types, answer_norm(answer))
 
 
 def open_answer(answer: Column, gold: Column) -> Column:
@@ -48,13 +48,18 @@ def open_answer(answer: Column, gold: Column) -> Column:
 
 def evoked(answer: Column, forms: Column) -> Column:
     """Recall items: struct(partial, correct, confidence) against the accepted forms (array)."""
-    a, words = answer_norm(answer), answer_tokens(answer)
-    norms = F.transform(forms, answer_norm)
-    exact = F.array_contains(norms, a)
-    inside = F.exists(norms, lambda f: (f != "") & (a != "") & (F.contains(f, a) | F.contains(a, f)))
-    best = F.coalesce(F.array_max(F.transform(forms, lambda f: containment(words, answer_tokens(f)))), F.lit(0.0))
-    partial = F.when(a == "", 0.0).when(exact, 1.0).when(inside, 0.85).when(best >= 0.6, 0.7).when(best >= 0.35, 0.4).otherwise(0.0)
-    return F.struct(partial.alias("partial"), (partial >= 0.7).alias("correct"), F.when(partial == 1.0, 0.85).otherwise(0.6).alias("confidence"))
+    norms = F.transform(forms, lambda f: once(answer_norm(f), lambda n: F.struct(n.alias("norm"), norm_tokens(n).alias("tokens"))))
+
+    def partial(x: Column) -> Column:
+        a, words = x["a"], x["words"]
+        exact = F.exists(x["forms"], lambda f: f["norm"] == a)
+        inside = F.exists(x["forms"], lambda f: (f["norm"] != "") & (a != "") & (F.contains(f["norm"], a) | F.contains(a, f["norm"])))
+        shares = F.transform(x["forms"], lambda f: containment(words, f["tokens"]))
+        best = once(F.coalesce(F.array_max(shares), F.lit(0.0)), lambda s: F.when(s >= 0.6, 0.7).when(s >= 0.35, 0.4).otherwise(0.0))
+        return F.when(a == "", 0.0).when(exact, 1.0).when(inside, 0.85).otherwise(best)
+
+    given = once(answer_norm(answer), lambda a: F.struct(a.alias("a"), norm_tokens(a).alias("words"), norms.alias("forms")))
+    return once(once(given, partial), lambda p: F.struct(p.alias("partial"), (p >= 0.7).alias("correct"), F.when(p == 1.0, 0.85).otherwise(0.6).alias("confidence")))
 
 
 def signals(mechanic: Column, concept: Column, pair: Column, correct: Column, partial: Column, repertoire: Column, confused: Column, hints: Column, duration: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import answer_norm
 from quillstone.operators import answered as N
 from quillstone.operators import grading as G
 from quillstone.operators import session as S
@@ -54,7 +55,7 @@ def gd3(v):
 @book.page("gd4_relation_type", "v_relations_raw", "with t as (select from_concept_id, to_concept_id, list(distinct lower(relation_type)) as ts from v_relations_raw group by all) select doc_id, seq, list_contains(ts, lower(case when seq % 2 = 0 then 'Apoya' else relation_type end)) as correct from v_relations_raw join t using (from_concept_id, to_concept_id)")
 def gd4(v):
     r = v("v_relations_raw")
-    t = r.groupBy("from_concept_id", "to_concept_id").agg(F.collect_set("relation_type").alias("ts"))
+    t = r.groupBy("from_concept_id", "to_concept_id").agg(F.collect_set("relation_type").alias("ts")).withColumn("ts", F.transform("ts", answer_norm))
     a = F.when(F.col("seq") % 2 == 0, "Apoya").otherwise(F.col("relation_type"))
     return r.join(t, ["from_concept_id", "to_concept_id"]).select("doc_id", "seq", G.accepted_type(a, F.col("ts")).alias("correct"))
 
@@ -219,11 +220,9 @@ def se7_evaluation(v):
 @book.page("se8_served_options", "", """with o as (select l_orderkey as item_id, l_linenumber::varchar as id, l_linenumber = min(l_linenumber) over (partition by l_orderkey) as correct from lineitem), h as (select *, sha1(item_id||chr(124)||id) as h from (select distinct item_id::varchar as item_id, id, correct from o)),
  r as (select *, row_number() over (partition by item_id, correct order by h) as k from h) select item_id, string_agg(id, ',' order by h) as options from r where correct or k <= 2 group by item_id""")
 def se8(v):
-    from pyspark.sql import Window
-
-    first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))
-    o = v("lineitem").select(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_linenumber").cast("string").alias("text"), (F.col("l_linenumber") == first).alias("correct")).distinct()
-    items = o.groupBy("item_id").agg(F.collect_list(F.struct("id", "text", "correct")).alias("options"))
+    o = v("lineitem").select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("ls"))
+    option = lambda n: F.struct(n.cast("string").alias("id"), n.cast("string").alias("text"), (n == F.array_min("ls")).alias("correct"))
+    items = o.select(F.col("l_orderkey").cast("string").alias("item_id"), F.transform("ls", option).alias("options"))
     return S.served(items).select("item_id", F.array_join(F.transform("options", lambda x: x["id"]), ",").alias("options"))
 
 

@@ -130,3 +130,26 @@ def test_a_session_reads_and_writes_its_state_once_a_batch():
     s.handle.timers = []
     list(s.handleExpiredTimer((5,), Now(1_006_001), None))
     assert set(s.kept) == {(8,)} and s.handle.timers == [1_009_001]
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def query(spark, name):
+    import __spark_entry__ as e
+
+    return e.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_texts_are_normalised_once_a_row_or_pair(spark):
+    # of an answer and its forms, each once
+    assert optimized(query(spark, "gd5_evoked")).count("translate(") == 2
+    plan = optimized(query(spark, "gd4_relation_type"))
+    assert "exists(" not in plan and plan.count("translate(") == 2  # types of a pair, answer of an edge
+
+
+def test_options_are_made_without_windows_and_descriptions_once_a_pair(spark):
+    assert "Window" not in optimized(query(spark, "se8_served_options"))
+    texts = [line for line in optimized(query(spark, "rg14_described_edges")).split("\n") if "concat_ws( y ," in line]
+    assert texts and not any("doc_id" in line for line in texts)
