@@ -153,3 +153,30 @@ def test_options_are_made_without_windows_and_descriptions_once_a_pair(spark):
     assert "Window" not in optimized(query(spark, "se8_served_options"))
     texts = [line for line in optimized(query(spark, "rg14_described_edges")).split("\n") if "concat_ws( y ," in line]
     assert texts and not any("doc_id" in line for line in texts)
+
+
+def test_small_groups_share_a_call_of_python(spark):
+    for name in ("sg10_budgeted", "ca15_near_duplicate_texts", "ca15_united_lists"):
+        assert "FlatMapGroups" not in optimized(query(spark, name)), name
+
+
+def test_folded_groups_that_lie_in_several_batches(spark):
+    from quillstone.operators.segment import folded
+
+    rows = spark.range(60).select((F.col("id") % 7).alias("g"), F.col("id").alias("seq"), F.col("id").alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = folded(rows, "g", lambda own: [(len(own), [x for (x,) in own])], "g long, n long, xs array<long>").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, out)) == [(g, len(range(g, 60, 7)), list(range(g, 60, 7))) for g in range(7)]
+
+
+def test_batches_of_large_groups_are_numbered_in_ranges(spark):
+    from quillstone.operators.segment import batches, batches_across
+
+    rows = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("l"), F.col("id") % 3)).alias("lang"), ((F.col("id") * 37) % 500).alias("seq"))
+    out = batches_across(rows, 3, ("lang",))
+    assert sorted(out.collect(), key=str) == sorted(batches(rows, 3, ("lang",)).collect(), key=str)
+    windows = [line for line in optimized(out).split("\n") if "Window" in line and "row_number" in line]
+    assert windows and all("__part" in line for line in windows)  # no window over a whole group
