@@ -103,5 +103,5 @@ def ll12(v):
     run.run("long", lambda: lines.where("chars > 100"))
     run.run("none", lambda: lines.where("chars < 0"))
     run.run("broken", lambda: lines.where("no_such_column > 0"))
-    run.run("documents", lambda: S.batches(v("documents").withColumn("seq", F.col("doc_id")), 3, ("lang",)))
+    run.run("documents", lambda: S.batches_across(v("documents").withColumn("seq", F.col("doc_id")), 3, ("lang",)))
     return v.spark.createDataFrame(told, "layer string, status string, items long, fraction double")
