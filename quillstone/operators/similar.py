@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import stable_id, title_norm, title_tokens
-from quillstone.operators.segment import fold
+from quillstone.operators.segment import fold, folded
 
 
 def similarity(x: str | None, y: str | None) -> float:
@@ -40,27 +40,37 @@ def near_duplicate_texts(rows: DataFrame, key: str, threshold: float = 0.6) -> D
     rows = rows.withColumns({"norm": title_norm("text"), "tokens": title_tokens("text")}).withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "seq")))
     kind = dict(rows.dtypes)[key]
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []  # id, signature
-        by_norm: dict = {}
+    def step(own: list) -> list[tuple]:
+        kept: list[tuple[str, set]] = []  # id, signature
+        holding: dict[str, list[int]] = {}  # the kept whose signature holds a token
+        by_norm: dict[str, int] = {}
         out = []
-        for r in pdf.itertuples():
-            tokens = set(r.tokens)
-            into = by_norm.get(r.norm)
-            if into is None and len(tokens) >= 4:
-                into = next((k for k in kept if len(k[1]) >= 4 and len(tokens & k[1]) / len(tokens | k[1]) >= threshold), None)
+        for place, (id_, norm, words) in enumerate(own, 1):
+            tokens = set(words)
+            n = len(tokens)
+            into = by_norm.get(norm)
+            if into is None and n >= 4:
+                # a signature that is alike misses at most n * (1 - threshold) tokens, so it holds one of any so many and one more
+                rare = sorted(tokens, key=lambda t: len(holding.get(t, ())))[: int(n * (1 - threshold) + 1e-9) + 1]
+                for k in sorted({k for t in rare for k in holding.get(t, ())}):
+                    signature = kept[k][1]
+                    shared = len(tokens & signature) if len(signature) >= 4 and len(signature) * threshold <= n + 1e-9 else 0
+                    if shared and shared / (n + len(signature) - shared) >= threshold:
+                        into = k
+                        break
             if into is None:
-                into = [r.id, set()]
-                kept.append(into)
-                if r.norm:
-                    by_norm[r.norm] = into
-            into[1] |= tokens
-            out.append((r.id, r.seq, into[0]))
-        frame = pd.DataFrame(out, columns=["id", "place", "kept_id"])
-        frame.insert(0, key, pdf[key].iloc[0])
-        return frame
-
-    return fold(rows.select(key, "id", "seq", "norm", "tokens"), key, step, f"{key} {kind}, id string, place long, kept_id string")
+                into = len(kept)
+                kept.append((id_, set()))
+                if norm:
+                    by_norm[norm] = into
+            signature = kept[into][1]
+            for t in tokens - signature:
+                holding.setdefault(t, []).append(into)
+            signature |= tokens
+            out.append((id_, place, kept[into][0]))
+        return out
+
+    return folded(rows.select(key, "id", "seq", "norm", "tokens"), key, step, f"{key} {kind}, id string, place long, kept_id string")
 
 
 def _united(own: Column, more: Column) -> Column:
