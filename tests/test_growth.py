@@ -180,3 +180,40 @@ def test_batches_of_large_groups_are_numbered_in_ranges(spark):
     assert sorted(out.collect(), key=str) == sorted(batches(rows, 3, ("lang",)).collect(), key=str)
     windows = [line for line in optimized(out).split("\n") if "Window" in line and "row_number" in line]
     assert windows and all("__part" in line for line in windows)  # no window over a whole group
+
+
+def test_a_pass_of_python_holds_one_block_of_forms_and_no_ids(spark, monkeypatch):
+    from quillstone.functions import patterns
+
+    made = []
+    finder = patterns._finder
+    monkeypatch.setattr(patterns, "_finder", lambda phrases, whole: made.append(phrases) or finder(phrases, whole))
+    monkeypatch.setattr(patterns, "BLOCK_CHARS", 40)
+    forms = spark.range(600).select(F.concat(F.lit("concept"), F.col("id")).alias("concept_id"), F.concat(F.lit("form"), F.col("id") % 20).alias("form"))
+    texts = spark.createDataFrame([(1, "a form1 and form12"), (2, "none"), (3, "form7"), (4, None)], "doc_id long, norm string")
+    found = patterns.phrases_found(texts, forms)
+    assert sorted(map(tuple, found.collect())) == [(1, "form1"), (1, "form12"), (3, "form7")]
+    assert len(made) > 2 and sorted(x for block in made for x in block) == sorted(f"form{k}" for k in range(20))  # each form once, whatever the concepts
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == len(made)  # passes of their own
+
+
+def test_concepts_that_share_forms_are_counted_in_groups(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    from quillstone.operators import relations as R
+    from quillstone.operators import segment as S
+
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(12)]
+    forms = [(f"c{k:02}", rng.choice(words[:9])) for k in range(14)] + [(f"c{k:02}", rng.choice(words)) for k in range(5)] + [(f"h{k:02}", words[11]) for k in range(9)]
+    texts = [(k // 4, k % 4, " ".join(rng.sample([*words, "else"], rng.randint(0, 4)))) for k in range(60)]
+    mine = {(d, s): {c for c, f in forms if f in t} for d, s, t in texts}
+    seen, shared = Counter(c for m in mine.values() for c in m), Counter(p for m in mine.values() if len(m) <= 8 for p in itertools.combinations(sorted(m), 2))
+    want = {(a, b, n, round(min(1, n / max(seen[a] * seen[b] / len(texts), 0.5)) + 1e-9, 2)) for (a, b), n in shared.items() if n >= 2}
+    frame = spark.createDataFrame(texts, "doc_id long, seq long, norm string")
+    mentions, sizes, members = S.mentioned_groups(frame, spark.createDataFrame(sorted(set(forms)), "concept_id string, form string"), whole_words=False)
+    assert sizes.where("size >= 9").count() == 1 and members.count() == len(seen)  # 9 concepts are one row of a paragraph
+    got = [tuple(r) for r in R.co_occurrences(mentions, sizes, members, len(texts)).collect()]
+    assert len(got) > 10 and set(got) == want and len(got) == len(want)
