@@ -217,3 +217,21 @@ def test_concepts_that_share_forms_are_counted_in_groups(spark):
     assert sizes.where("size >= 9").count() == 1 and members.count() == len(seen)  # 9 concepts are one row of a paragraph
     got = [tuple(r) for r in R.co_occurrences(mentions, sizes, members, len(texts)).collect()]
     assert len(got) > 10 and set(got) == want and len(got) == len(want)
+
+
+def test_relations_are_counted_as_they_come_and_read_once(spark):
+    from quillstone.operators import relations as R
+    from quillstone.plans import graphs
+
+    rows = [(k, k % 3, x, y, t, c) for k, (x, y, t, c) in enumerate([("a", "b", "requiere", 0.5), ("b", "a", "contrasta", 0.4), ("a", "b", "contrasta", 0.6), (None, "a", "contrasta", 0.9), ("a", None, "causa", 0.9), ("a", "a", "causa", 0.9), ("a", "z", "causa", 0.9), ("d", "a", "otro", None), ("d", "a", "otro", 0.1), ("d", "a", "OTRO", 0.2), ("c", "b", "causa", 0.2), ("c", "b", "causa", 0.2), ("d", "c", "apoya", 0.3)] * 3)]
+    edges = spark.createDataFrame(rows, "doc_id long, seq long, from_concept_id string, to_concept_id string, relation_type string, confidence double")
+    concepts = spark.createDataFrame([(x,) for x in "abcd"], "concept_id string")
+    asked = []
+    v = lambda name: asked.append(name) or {"v_relations_raw": edges, "v_concepts": concepts}[name]
+    plain = R.merged(R.linked(graphs.repaired(v), concepts), ())
+    assert sorted(graphs.merged(v).collect()) == sorted(plain.collect()) and plain.count() == 5
+    assert R.counted(edges, ()).count() == 12  # of 39 rows
+    asked.clear()
+    hinted = graphs.rg17(v)
+    assert [tuple(r) for r in hinted.collect()] == [("a", "d", 9), ("b", "c", 6), ("c", "d", 3)]
+    assert asked.count("v_relations_raw") == 1
