@@ -16,6 +16,7 @@ from quillstone.plans.entities import NORM, PARTS, titled
 from quillstone.plans.sessions import TOK
 from quillstone.plans.texts import SOURCE
 from quillstone.sources import store as S
+from quillstone.sources.shared import written
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
@@ -100,6 +101,6 @@ def ll3_lengths(v):
 @book.page("rg8_split_communities")
 def rg8(v):
     """All linked concepts as one community that is too large."""
-    edges = bundles.edges(v)
+    edges = written(bundles.edges(v).select("from_concept_id", "to_concept_id"), "community-graph")
     one = edges.select(F.explode(F.array("from_concept_id", "to_concept_id")).alias("concept_id")).distinct().withColumn("label", F.lit("all"))
     return C.named(C.split(one, edges), edges)

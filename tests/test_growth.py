@@ -235,3 +235,22 @@ def test_relations_are_counted_as_they_come_and_read_once(spark):
     hinted = graphs.rg17(v)
     assert [tuple(r) for r in hinted.collect()] == [("a", "d", 9), ("b", "c", 6), ("c", "d", 3)]
     assert asked.count("v_relations_raw") == 1
+
+
+def test_a_split_community_reads_its_relations_once(spark, monkeypatch):
+    from quillstone.plans import bundles, more
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    sides = [(f"{x}{j}", f"{x}{k}", "apoya") for x in "mp" for k in range(7) for j in range(k)]
+    frame = spark.createDataFrame([*sides, *[(f"a{h}", f"{x}{k}", "causa") for h in range(3) for x in "mp" for k in range(7)]], "from_concept_id string, to_concept_id string, relation_type string")
+    monkeypatch.setattr(bundles, "edges", lambda v: frame.mapInArrow(seen, frame.schema))
+    groups = {}
+    for r in more.rg8(None).collect():
+        groups.setdefault(r["community"], set()).add(r["concept_id"])
+    assert sorted(map(len, groups.values())) == [7, 10] and read.value == frame.count()
