@@ -41,8 +41,9 @@ def title_parts(concepts: DataFrame) -> DataFrame:
 def structural_keys(concepts: DataFrame) -> DataFrame:
     """concept_id and each of its keys: title, title without parenthesis, unambiguous acronym (@).
 
-    A title may itself be the acronym of others, so every title that is one gets that key too."""
-    parts = title_parts(concepts)
+    A title may itself be the acronym of others, so every title that is one gets that key too. Titles are read once, and what
+    they give is written: filters and joins over it would else repeat the reading."""
+    parts = written(title_parts(concepts), "title-parts")
     clear = parts.where("a is not null").groupBy("a").agg(F.count_distinct("b").alias("n_bases")).where("n_bases = 1").select("a")
     owners = parts.select("concept_id", "a").where("a is not null")
     bare = parts.select("concept_id", F.col("t").alias("a"))
@@ -77,7 +78,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def key_groups(concepts: DataFrame) -> DataFrame:
     """concept_id and component over shared structural keys; concepts alone are their own."""
-    keys = structural_keys(concepts)
+    keys = written(structural_keys(concepts), "structural-keys")
     hub = keys.groupBy("key").agg(F.min("concept_id").alias("a"))
     edges = keys.join(hub, "key").select("a", F.col("concept_id").alias("b")).where("a != b").distinct()
     found = components(edges)

@@ -254,3 +254,20 @@ def test_a_split_community_reads_its_relations_once(spark, monkeypatch):
     for r in more.rg8(None).collect():
         groups.setdefault(r["community"], set()).add(r["concept_id"])
     assert sorted(map(len, groups.values())) == [7, 10] and read.value == frame.count()
+
+
+def test_titles_are_read_once_for_structural_keys(spark):
+    from quillstone.operators import resolve as E
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    titles = ["Large Blue (LBB)", "LBB", "Large Blue", "Box", "box", "Tall Red (TR)", "Tin Rod (TR)", "TR", "", None]
+    frame = spark.createDataFrame([(f"c{k}", t) for k, t in enumerate(titles)], "concept_id string, title string").mapInArrow(seen, "concept_id string, title string")
+    keys = {tuple(r) for r in E.structural_keys(frame).collect()}
+    assert keys == {("c0", "large blue lbb"), ("c0", "large blue"), ("c0", "@lbb"), ("c1", "lbb"), ("c1", "@lbb"), ("c2", "large blue"), ("c3", "box"), ("c4", "box"), ("c5", "tall red tr"), ("c5", "tall red"), ("c6", "tin rod tr"), ("c6", "tin rod"), ("c7", "tr")}
+    assert read.value == len(titles)
